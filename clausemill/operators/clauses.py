@@ -371,7 +371,7 @@ def chunk_policy(
         merged.select("doc_id", "clause_number", "seq", "_segment"),
         group=["doc_id"],
         segment="_segment",
-        order="seq",
+        order=["seq"],
         name="_pos",
     ).select("doc_id", "clause_number", (F.col("_pos") - 1).cast("int").alias("chunk_index"))
     section_title = F.coalesce(

@@ -46,10 +46,10 @@ def last_before(
 
 
 def numbered(
-    df: DataFrame, *, group: Sequence[str], segment: str, order: str, name: str
+    df: DataFrame, *, group: Sequence[str], segment: str, order: Sequence[str], name: str
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group."""
-    local = Window.partitionBy(*group, segment).orderBy(order)
+    """Add the 1-based position of each row in its group; ``segment`` must not decrease along ``order``."""
+    local = Window.partitionBy(*group, segment).orderBy(*order)
     sizes = df.groupBy(*group, segment).agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*group).orderBy(segment).rowsBetween(*BEFORE)
     offsets = sizes.select(*group, segment, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
