@@ -401,3 +401,10 @@ def chunk_policy(
             ).alias("metadata"),
         )
     )
+
+
+def payload_rejection(clause_number: Column, text: Column) -> Column:
+    """Why a clause may not be stored, or null: it needs a number and at least one character."""
+    return F.when(F.coalesce(clause_number, F.lit("")) == "", F.lit("MISSING_NUMBER")).when(
+        F.length(F.coalesce(text, F.lit(""))) < 1, F.lit("EMPTY_TEXT")
+    )
