@@ -5,13 +5,21 @@ Every function takes and returns a ``Column``, so the work stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as white space and as line ends.
-SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
+# White space inside a line; single blanks are left alone because they stay as they are.
+BLANK_RUN = "[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]{2,}|[\t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+SPACE_RUN = f"[{SPACES}]+"
+
 # The five forms of a line that is only a page number.
 PAGE_NUMBER_FORMS = (
     r"\d+",
@@ -25,24 +33,45 @@ PAGE_NUMBER_LINE = rf"(?iU)^\s*(?:{'|'.join(PAGE_NUMBER_FORMS)})\s*$"
 SOFT_HYPHEN = "\u00ad"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    Expressions around lambdas get no common-subexpression elimination, so a
+    repeated argument would be evaluated again at every mention and nesting level.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove white space (any Unicode space or line end) at both ends."""
-    return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def split_lines(col: Column) -> Column:
     """Lines of a text; a final line end opens no further line, '' has no line."""
-    parts = F.split(col, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bind(
+        F.split(col, LINE_END, -1),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def line_key(line: Column) -> Column:
-    """Comparison key of a line: lower case, runs of white space made one blank."""
-    return F.regexp_replace(F.lower(strip(line)), rf"[{SPACE}]+", " ")
+def squeeze_blanks(col: Column) -> Column:
+    """One blank for every run of white space inside a line; line ends stay."""
+    return F.regexp_replace(col, BLANK_RUN, " ")
+
+
+def line_keys(col: Column) -> Column:
+    """Comparison keys of a text's lines: lower case, white space squeezed, stripped.
+
+    Squeezing the text once is much cheaper than line by line.
+    """
+    return F.transform(split_lines(F.lower(squeeze_blanks(col))), strip)
 
 
 def drop_soft_hyphens(col: Column) -> Column:
@@ -55,7 +84,7 @@ def join_broken_words(col: Column) -> Column:
     The lookarounds leave both letters unconsumed, so one pass reaches the
     fixpoint even for chains such as ``a- b- c``.
     """
-    return F.regexp_replace(col, rf"(?U)(?<=\w)-[{SPACE}]+(?=\w)", "")
+    return F.regexp_replace(col, rf"(?U)(?<=\w)-{SPACE_RUN}(?=\w)", "")
 
 
 def drop_page_number_lines(col: Column) -> Column:
@@ -63,11 +92,10 @@ def drop_page_number_lines(col: Column) -> Column:
 
 
 def squeeze_whitespace(col: Column, *, keep_paragraphs: bool = True) -> Column:
-    tidy = F.transform(split_lines(col), lambda line: F.regexp_replace(strip(line), rf"[{SPACE}]+", " "))
-    joined = strip(join_lines(tidy))
+    joined = strip(join_lines(F.transform(split_lines(squeeze_blanks(col)), strip)))
     if keep_paragraphs:
         return F.regexp_replace(joined, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(joined, rf"[{SPACE}]+", " "))
+    return strip(F.regexp_replace(joined, SPACE_RUN, " "))
 
 
 def truncate(col: Column, limit: int = 500) -> Column:
@@ -89,13 +117,11 @@ def safe_file_name(name: Column, default: str = "upload.pdf") -> Column:
 
 def title_case(col: Column) -> Column:
     """Upper-case every letter that does not follow a letter, lower-case the rest."""
-    letters = F.split(F.lower(col), "")
-    return F.array_join(
-        F.transform(
+
+    def title(letters: Column) -> Column:
+        return F.transform(
             letters,
-            lambda ch, i: F.when(
-                (i > 0) & F.get(letters, i - 1).rlike(r"\p{L}"), ch
-            ).otherwise(F.upper(ch)),
-        ),
-        "",
-    )
+            lambda ch, i: F.when((i > 0) & F.get(letters, i - 1).rlike(r"\p{L}"), ch).otherwise(F.upper(ch)),
+        )
+
+    return F.array_join(bind(F.split(F.lower(col), ""), title), "")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.operators.scans import BEFORE, UP_TO, last_before, numbered
+from clausemill.operators.scans import BEFORE, UP_TO, numbered
 
 PAGES_PER_SEGMENT = 256
 MIN_CLAUSE_CHARS = 10
@@ -39,18 +39,23 @@ OPENERS = ("numeric", "paren", "alpha", "roman")
 
 
 def explode_lines(pages: DataFrame, *, pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
-    """pages(doc_id, page_number, text) -> (doc_id, segment, ord, page_number, line), lines stripped."""
+    """pages(doc_id, page_number, text) -> (doc_id, segment, ord, line), lines stripped."""
     return pages.select(
         "doc_id", "page_number", F.posexplode(tx.split_lines(F.col("text"))).alias("pos", "raw")
     ).select(
         "doc_id",
-        F.floor(F.col("page_number") / pages_per_segment).cast("long").alias("segment"),
+        # Never null, so that no null check is planned on one branch only: both
+        # branches of the scans must read the same shuffle.
+        F.coalesce(F.floor(F.col("page_number") / pages_per_segment), F.lit(0)).cast("long").alias("segment"),
         F.shiftleft(F.col("page_number").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("ord"),
-        "page_number",
         tx.strip(F.col("raw")).alias("line"),
     )
 
 
+def page_of(order: Column) -> Column:
+    return F.shiftright(order, 32).cast("int")
+
+
 def merge_standalone_numbers(lines: DataFrame) -> DataFrame:
     """Join a line that is only a number with the next non-blank line.
 
@@ -116,7 +121,6 @@ def merge_standalone_numbers(lines: DataFrame) -> DataFrame:
         "doc_id",
         "segment",
         "ord",
-        "page_number",
         F.when(starts, F.concat_ws(" ", "line", "_next")).otherwise(F.col("line")).alias("line"),
     )
 
@@ -156,7 +160,6 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         "doc_id",
         "segment",
         "ord",
-        "page_number",
         "line",
         "kind",
         F.when(F.col("kind") == "structural", F.col("header_number")).otherwise(F.col("label")).alias("label"),
@@ -177,30 +180,71 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 def number_lines(classified: DataFrame) -> DataFrame:
     """Resolve what each line inherits from earlier ones.
 
-    Adds ``open_ord`` (opening line of the clause the line belongs to, null
-    outside any clause), ``clause_number``, ``level``, ``section`` and
-    ``open_before``.  A numeric opener forgets the paren and alpha labels
-    before it, a paren opener the alpha labels; comparing the ords of the
-    running-last labels expresses that without a cascade of windows.
+    Adds ``open_before``, ``open_ord`` (opening line of the clause the line
+    belongs to, null outside any clause), ``clause_number``, ``level``,
+    ``section``, ``flush`` (a numeric opener that finds no open clause),
+    ``since`` (the flush before the line, -1 for none) and ``ends_open`` (does
+    the document end inside a clause).
+
+    A numeric opener forgets the paren and alpha labels before it, a paren
+    opener the alpha labels; comparing the ords of the running-last labels says
+    so without a cascade of windows.  Whether a segment's first boundary is a
+    flush depends on earlier segments, so that one line is summarised apart
+    (``first_numeric``) and settled once the carried-in state is known.
     """
+    before = Window.partitionBy("doc_id", "segment").orderBy("ord").rowsBetween(*BEFORE)
+    marks = {
+        "bound": F.when(F.col("opens").isNotNull(), F.struct("ord", "opens")),
+        "head": F.col("header"),
+        "num": F.when(F.col("kind") == "numeric", F.struct("ord", "label")),
+        "par": F.when(F.col("kind") == "paren", F.struct("ord", "label")),
+        "alp": F.when(F.col("kind") == "alpha", F.struct("ord", "label")),
+    }
+    marked = classified.select("*", *[mark.alias(f"m_{name}") for name, mark in marks.items()])
+    local = marked.select(
+        "*", *[F.last(f"m_{name}", ignorenulls=True).over(before).alias(f"l_{name}") for name in marks]
+    ).withColumn("known_flush", F.when((F.col("kind") == "numeric") & ~F.col("l_bound.opens"), F.col("ord")))
+    local = local.withColumn("l_flush", F.max("known_flush").over(before))
 
-    def latest(kind: str) -> Column:
-        return F.when(F.col("kind") == kind, F.struct("ord", "label"))
-
-    seen = last_before(
-        classified,
-        group=["doc_id"],
-        segment="segment",
-        order="ord",
-        marks={
-            "_bound": F.when(F.col("opens").isNotNull(), F.struct("ord", "opens")),
-            "_header": F.col("header"),
-            "_num": latest("numeric"),
-            "_par": latest("paren"),
-            "_alp": latest("alpha"),
-        },
+    summary = local.groupBy("doc_id", "segment").agg(
+        *[
+            F.max_by(f"m_{name}", F.when(F.col(f"m_{name}").isNotNull(), F.col("ord"))).alias(f"s_{name}")
+            for name in marks
+        ],
+        F.max("known_flush").alias("s_flush"),
+        F.min(F.when((F.col("kind") == "numeric") & F.col("l_bound").isNull(), F.col("ord"))).alias("first_numeric"),
     )
+    doc = Window.partitionBy("doc_id").orderBy("segment")
+    earlier = doc.rowsBetween(*BEFORE)
+    whole = doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = summary.select(
+        "doc_id",
+        "segment",
+        "s_flush",
+        "first_numeric",
+        F.coalesce(F.last("s_bound.opens", ignorenulls=True).over(whole), F.lit(False)).alias("ends_open"),
+        *[F.last(f"s_{name}", ignorenulls=True).over(earlier).alias(f"c_{name}") for name in marks],
+    )
+    entered_open = F.coalesce("c_bound.opens", F.lit(False))
+    carried = carried.withColumn("first_flush", F.when(~entered_open, F.col("first_numeric")))
+    carry = carried.select(
+        "doc_id",
+        "segment",
+        "ends_open",
+        "first_flush",
+        F.max(F.coalesce("s_flush", "first_flush")).over(earlier).alias("c_flush"),
+        *[f"c_{name}" for name in marks],
+    )
+
     never = F.lit(-1).cast("long")
+    seen = local.join(carry, ["doc_id", "segment"]).select(
+        *[F.col(c) for c in classified.columns],
+        "ends_open",
+        *[F.coalesce(f"l_{name}", f"c_{name}").alias(f"_{name}") for name in marks],
+        F.coalesce(
+            "l_flush", F.when(F.col("first_flush") < F.col("ord"), F.col("first_flush")), "c_flush", never
+        ).alias("since"),
+    )
     num_ord = F.coalesce("_num.ord", never)
     par_ord = F.coalesce("_par.ord", never)
     numeric = F.coalesce("_num.label", F.lit(""))
@@ -231,14 +275,13 @@ def number_lines(classified: DataFrame) -> DataFrame:
         .when(kind == "roman", deeper + 3)
         .cast("int")
         .alias("level"),
-        F.coalesce(F.when(kind == "structural", F.col("header")), F.col("_header"), F.lit("")).alias("section"),
+        F.coalesce(F.when(kind == "structural", F.col("header")), F.col("_head"), F.lit("")).alias("section"),
+        ((kind == "numeric") & ~open_before).alias("flush"),
+        "since",
+        "ends_open",
     )
 
 
-def _joined(col: str) -> Column:
-    return F.coalesce(F.expr(f"listagg(nullif({col}, ''), ' ') WITHIN GROUP (ORDER BY ord)"), F.lit(""))
-
-
 def parent_clause(number: Column, section: Column) -> Column:
     return (
         F.when(number.rlike(r"^\([a-z]+\)$"), section)
@@ -247,70 +290,66 @@ def parent_clause(number: Column, section: Column) -> Column:
     )
 
 
-def group_clauses(numbered_lines: DataFrame) -> DataFrame:
-    """One row per opened clause; its first line is the text after the number."""
-    is_opener = F.col("ord") == F.col("open_ord")
-    body = F.when(is_opener & (F.col("kind") != "structural"), F.col("rest")).otherwise(F.col("line"))
-    head = F.struct("clause_number", "level", F.col("rest").alias("title"), "section")
-    grouped = (
-        numbered_lines.where(F.col("open_ord").isNotNull())
-        .select("doc_id", "open_ord", "ord", "page_number", body.alias("body"), F.when(is_opener, head).alias("head"))
-        .groupBy("doc_id", "open_ord")
-        .agg(
-            F.max("head").alias("head"),
-            _joined("body").alias("text"),
-            F.min_by("page_number", "ord").alias("page_number"),
-            F.max_by("page_number", "ord").alias("page_end"),
-        )
-    )
-    return grouped.select(
-        "doc_id", (F.col("open_ord") * 2 + 1).alias("seq"), "head.*", "text", "page_number", "page_end"
-    )
-
+def group_lines(numbered_lines: DataFrame) -> DataFrame:
+    """Clause and preamble rows from numbered lines, with one shuffle of the text.
 
-def group_preambles(numbered_lines: DataFrame) -> DataFrame:
-    """Clause '0' rows from lines outside any clause.
-
-    Such lines collect until a numeric opener that finds no open clause (a
-    *flush*), or the end of a document that ends outside a clause.  Lines
-    after the last flush of a document that ends inside a clause are lost.
+    Clause lines meet under their opening line, which contributes the text
+    after the number.  Lines outside any clause are preamble: they meet under
+    the flush before them and become clause '0' at the next flush, or at the
+    end of a document that ends outside a clause; otherwise they are lost.  The
+    flush line itself takes part in both groups - it dates the preamble.
     """
-    flush = (F.col("kind") == "numeric") & ~F.col("open_before")
+    is_opener = F.col("ord") == F.col("open_ord")
     loose = F.col("opens").isNull() & ~F.col("open_before")
-    rows = numbered_lines.where(flush | loose).select("doc_id", "segment", "ord", "page_number", "line", flush.alias("flush"))
-    tagged = last_before(
-        rows, group=["doc_id"], segment="segment", order="ord", marks={"since": F.when(F.col("flush"), F.col("ord"))}
-    ).withColumn("since", F.coalesce("since", F.lit(-1).cast("long")))
-
-    groups = (
-        tagged.where(~F.col("flush"))
-        .groupBy("doc_id", "since")
-        .agg(
-            _joined("line").alias("text"),
-            F.min_by("page_number", "ord").alias("page_number"),
-            F.max_by("page_number", "ord").alias("page_end"),
+    body = F.when(is_opener & (F.col("kind") != "structural"), F.col("rest")).otherwise(F.col("line"))
+    head = F.struct("clause_number", "level", F.col("rest").alias("title"), "section")
+    nothing = F.lit(None).cast("string")
+    places = F.array_compact(
+        F.array(
+            F.when(
+                F.col("open_ord").isNotNull(),
+                F.struct(
+                    F.lit(True).alias("clause"), F.col("open_ord").alias("at"), body.alias("body"), F.col("ord").alias("counted")
+                ),
+            ),
+            F.when(
+                loose | F.col("flush"),
+                F.struct(
+                    F.lit(False).alias("clause"),
+                    F.col("since").alias("at"),
+                    F.when(loose, F.col("line")).otherwise(nothing).alias("body"),
+                    F.when(loose, F.col("ord")).alias("counted"),
+                ),
+            ),
         )
-        .where(F.length("text") >= MIN_CLAUSE_CHARS)
     )
-    flushed_at = tagged.where("flush").select("doc_id", "since", F.col("ord").alias("flushed_at"))
-    ends = numbered_lines.groupBy("doc_id").agg(
-        F.coalesce(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("ord"))), F.lit(False)).alias("ends_open")
+    rows = numbered_lines.select(
+        "doc_id", "ord", "ends_open",
+        F.when(is_opener, head).alias("head"),
+        F.when(F.col("flush"), F.col("ord")).alias("flush_ord"),
+        F.explode(places).alias("place"),
+    ).select("doc_id", "ord", "ends_open", "head", "flush_ord", "place.*")
+    grouped = rows.groupBy("doc_id", "clause", "at").agg(
+        F.max("head").alias("head"),
+        F.coalesce(F.expr("listagg(nullif(body, ''), ' ') WITHIN GROUP (ORDER BY ord)"), F.lit("")).alias("text"),
+        page_of(F.min("counted")).alias("page_number"),
+        page_of(F.max("counted")).alias("page_end"),
+        F.max("flush_ord").alias("flushed_at"),
+        F.bool_or("ends_open").alias("ends_open"),
     )
-    return (
-        groups.join(flushed_at, ["doc_id", "since"], "left")
-        .join(ends, "doc_id", "left")
-        .where(F.col("flushed_at").isNotNull() | ~F.col("ends_open"))
-        .select(
-            "doc_id",
-            F.coalesce(F.col("flushed_at") * 2, F.lit(AT_END)).alias("seq"),
-            F.lit("0").alias("clause_number"),
-            F.lit(0).alias("level"),
-            F.lit("Preamble").alias("title"),
-            F.lit("").alias("section"),
-            "text",
-            "page_number",
-            "page_end",
-        )
+    flushed = F.col("flushed_at").isNotNull() | ~F.col("ends_open")
+    kept = F.col("clause") | (flushed & (F.length("text") >= MIN_CLAUSE_CHARS))
+    clause = F.col("clause")
+    return grouped.where(kept).select(
+        "doc_id",
+        F.when(clause, F.col("at") * 2 + 1).otherwise(F.coalesce(F.col("flushed_at") * 2, F.lit(AT_END))).alias("seq"),
+        F.when(clause, F.col("head.clause_number")).otherwise(F.lit("0")).alias("clause_number"),
+        F.when(clause, F.col("head.level")).otherwise(F.lit(0)).alias("level"),
+        F.when(clause, F.col("head.title")).otherwise(F.lit("Preamble")).alias("title"),
+        F.when(clause, F.col("head.section")).otherwise(F.lit("")).alias("section"),
+        "text",
+        "page_number",
+        "page_end",
     )
 
 
@@ -321,8 +360,7 @@ def numbered_lines(pages: DataFrame, *, pages_per_segment: int = PAGES_PER_SEGME
 
 def split_clauses(pages: DataFrame, *, pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
     """pages(doc_id, page_number, text) -> clause records, ordered by seq within a document."""
-    lines = numbered_lines(pages, pages_per_segment=pages_per_segment)
-    clauses = group_clauses(lines).unionByName(group_preambles(lines))
+    clauses = group_lines(numbered_lines(pages, pages_per_segment=pages_per_segment))
     return clauses.where((F.length("text") >= MIN_CLAUSE_CHARS) | (F.col("title") != "")).select(
         "doc_id",
         "seq",
@@ -367,20 +405,15 @@ def chunk_policy(
     """Policy chunks from clause records; the index counts merged clauses before empty ones go."""
     nothing = F.lit(None).cast("string")
     merged = merge_by_number(clauses).withColumn("_segment", F.shiftright("seq", 41))
-    indexed = numbered(
-        merged.select("doc_id", "clause_number", "seq", "_segment"),
-        group=["doc_id"],
-        segment="_segment",
-        order=["seq"],
-        name="_pos",
-    ).select("doc_id", "clause_number", (F.col("_pos") - 1).cast("int").alias("chunk_index"))
+    indexed = numbered(merged, group=["doc_id"], segment="_segment", order=["seq"], name="_pos").withColumn(
+        "chunk_index", (F.col("_pos") - 1).cast("int")
+    )
     section_title = F.coalesce(
         F.nullif(tx.strip(F.when(F.col("section") != "", F.col("section")).otherwise(F.col("title"))), F.lit(""))
     )
     reference = F.nullif(F.nullif(tx.strip(F.col("clause_number")), F.lit("")), F.lit("0"))
     return (
-        merged.join(indexed, ["doc_id", "clause_number"])
-        .where(F.col("text") != "")
+        indexed.where(F.col("text") != "")
         .select(
             "doc_id",
             "chunk_index",

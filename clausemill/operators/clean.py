@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 
+PAGE_MARK = "page"
+
 
 @dataclass(frozen=True)
 class CleanOptions:
@@ -47,18 +49,20 @@ def detect_furniture(pages: DataFrame, options: CleanOptions = CleanOptions()) -
     """(doc_id, zone, line_key, occurrences) of repeated boundary lines.
 
     The first and last ``scan_lines`` non-blank lines of every page are counted
-    per document - occurrences, not distinct pages.  Only keys and counts are
-    shuffled, after map-side counting.
+    per document - occurrences, not distinct pages.  The pages themselves are
+    counted along under a mark of their own.  Only keys and counts are shuffled,
+    after map-side counting, and lines seen once are gone before the counts of
+    a document meet.
     """
-    keys = F.filter(F.transform(tx.split_lines(F.col("text")), tx.line_key), lambda k: k != "")
+    mark = F.array(F.struct(F.lit(PAGE_MARK).alias("zone"), F.lit("").alias("line_key")))
+    keys = F.filter(tx.line_keys(F.col("text")), lambda k: k != "")
     n = options.scan_lines
     zones = (
-        pages.select("doc_id", keys.alias("k"))
-        .where(F.size("k") > 0)
-        .select(
+        pages.select("doc_id", F.coalesce(keys, F.array().cast("array<string>")).alias("k")).select(
             "doc_id",
             F.explode(
                 F.concat(
+                    mark,
                     F.transform(
                         F.slice("k", 1, n), lambda k: F.struct(F.lit("header").alias("zone"), k.alias("line_key"))
                     ),
@@ -70,13 +74,17 @@ def detect_furniture(pages: DataFrame, options: CleanOptions = CleanOptions()) -
             ).alias("z"),
         )
     )
-    counts = zones.groupBy("doc_id", "z.zone", "z.line_key").agg(F.count(F.lit(1)).alias("occurrences"))
-    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= options.min_pages)
+    counts = (
+        zones.groupBy("doc_id", "z.zone", "z.line_key")
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .where((F.col("occurrences") >= 2) | (F.col("zone") == PAGE_MARK))
+    )
+    n_pages = F.max(F.when(F.col("zone") == PAGE_MARK, F.col("occurrences"))).over(Window.partitionBy("doc_id"))
     threshold = F.greatest(F.lit(2), (F.col("n_pages") * F.lit(options.min_ratio)).cast("int"))
     return (
-        counts.where(F.col("occurrences") >= 2)
-        .join(totals, "doc_id")
-        .where(F.col("occurrences") >= threshold)
+        counts.withColumn("n_pages", n_pages)
+        .where(F.col("zone") != PAGE_MARK)
+        .where((F.col("n_pages") >= options.min_pages) & (F.col("occurrences") >= threshold))
         .select("doc_id", "zone", "line_key", "occurrences")
     )
 
@@ -88,9 +96,15 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     ``scan_lines`` per page and zone, so a document has a handful of keys and
     they travel as one small array per document.
     """
-    per_doc = furniture.groupBy("doc_id").agg(F.collect_set("line_key").alias("_keys"))
-    kept = F.filter(tx.split_lines(F.col("text")), lambda line: ~F.array_contains("_keys", tx.line_key(line)))
-    return pages.join(per_doc, "doc_id", "left").select(
+    per_doc = furniture.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_key").alias("_keys"))
+    kept = tx.bind(
+        tx.line_keys(F.col("text")),
+        lambda keys: F.filter(
+            tx.split_lines(F.col("text")), lambda line, i: ~F.array_contains("_keys", F.get(keys, i))
+        ),
+    )
+    # Null-safe equality adds no null filter on one side, so both sides read one shuffle of the pages.
+    return pages.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
         *[F.col(c) for c in pages.columns if c != "text"],
         F.when(F.col("_keys").isNull(), F.col("text")).otherwise(tx.join_lines(kept)).alias("text"),
     )
@@ -104,7 +118,7 @@ def clean_pages(pages: DataFrame, options: CleanOptions = CleanOptions()) -> Dat
 
 
 def clean_document(pages: DataFrame, options: CleanOptions = CleanOptions(), *, passes: int = 1) -> DataFrame:
-    """(doc_id, text): cleaned non-empty pages joined by a blank line, in page order.
+    """(doc_id, text, n_pages): cleaned non-empty pages joined by a blank line, in page order.
 
     The metadata of a regulation is read from text that went through the page
     cleaning twice; ``passes=2`` gives that text.  One row per document is the
@@ -113,4 +127,6 @@ def clean_document(pages: DataFrame, options: CleanOptions = CleanOptions(), *,
     for _ in range(passes):
         pages = clean_pages(pages, options)
     joined = F.expr(r"listagg(nullif(text, ''), '\n\n') WITHIN GROUP (ORDER BY page_number)")
-    return pages.groupBy("doc_id").agg(F.coalesce(joined, F.lit("")).alias("text"))
+    return pages.groupBy("doc_id").agg(
+        F.coalesce(joined, F.lit("")).alias("text"), F.count(F.lit(1)).alias("n_pages")
+    )

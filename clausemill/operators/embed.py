@@ -106,49 +106,48 @@ def mean_vectors(rows: DataFrame, group: list[str], vector_col: str = "embedding
     return means.groupBy(*group).agg(ordered.alias(vector_col))
 
 
-def dedupe_regulatory_clauses(
-    clauses: DataFrame, *, embedder: Embedder | None = None, dim: int = DEFAULT_DIMENSION
-) -> DataFrame:
+def merge_regulatory_clauses(clauses: DataFrame) -> DataFrame:
     """One clause per (version_id, clause_number).
 
     clauses(version_id, clause_number, seq, section, title, text, page_number,
-    page_end, metadata, embedding).  Merged texts are joined in order, pages
-    widen, the last metadata wins as a whole (nulls included), all else is the
-    first row's; only merged clauses are embedded again.  Where an embedder
-    returns null for a merged text, the mean of the old vectors stands in.
+    page_end, metadata, ...).  Merged texts are joined in order, pages widen,
+    the last metadata wins as a whole (nulls included), all else is the first
+    row's.
     """
     key = ["version_id", "clause_number"]
-    first = F.struct("section", "title", "embedding")
-    merged = (
+    rest = [c for c in clauses.columns if c not in {*key, "seq", "text", "page_number", "page_end", "metadata"}]
+    text = F.when(F.col("n_merged") == 1, F.col("_single")).otherwise(F.coalesce("_joined", F.lit("")))
+    return (
         clauses.groupBy(*key)
         .agg(
             F.count(F.lit(1)).alias("n_merged"),
             F.min("seq").alias("seq"),
-            F.min_by(first, "seq").alias("first"),
-            F.min_by("text", "seq").alias("_single"),
+            F.min_by(F.struct("text", *rest), "seq").alias("_first"),
             F.expr("listagg(nullif(trim(text), ''), ' ') WITHIN GROUP (ORDER BY seq)").alias("_joined"),
             F.min("page_number").alias("page_number"),
             F.max("page_end").alias("page_end"),
             F.max_by("metadata", "seq").alias("metadata"),
         )
-        .select(
-            *key,
-            "seq",
-            "first.section",
-            "first.title",
-            F.when(F.col("n_merged") == 1, F.col("_single")).otherwise(F.coalesce("_joined", F.lit(""))).alias("text"),
-            "page_number",
-            "page_end",
-            "metadata",
-            "first.embedding",
-            "n_merged",
-        )
+        .withColumn("_single", F.col("_first.text"))
+        .select(*key, "seq", *[f"_first.{c}" for c in rest], text.alias("text"), "page_number", "page_end", "metadata", "n_merged")
     )
+
+
+def dedupe_regulatory_clauses(
+    clauses: DataFrame, *, embedder: Embedder | None = None, dim: int = DEFAULT_DIMENSION
+) -> DataFrame:
+    """``merge_regulatory_clauses`` for rows that have an ``embedding`` already.
+
+    Only merged clauses are embedded again.  Where an embedder returns null
+    for a merged text, the mean of the old vectors stands in.
+    """
+    key = ["version_id", "clause_number"]
+    merged = merge_regulatory_clauses(clauses)
     single = merged.where(F.col("n_merged") == 1)
     several = merged.where(F.col("n_merged") > 1)
     again = embed_documents(several.drop("embedding"), embedder=embedder, dim=dim)
     if embedder is not None:
-        old = clauses.join(several.select(*key), key, "left_semi").select(*key, F.col("embedding").alias("_old"))
+        old = clauses.select(*key, F.col("embedding").alias("_old"))
         again = (
             again.join(mean_vectors(old, key, "_old"), key, "left")
             .withColumn("embedding", F.coalesce("embedding", F.col("_old").cast("array<float>")))

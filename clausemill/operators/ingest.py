@@ -23,9 +23,7 @@ def document_metadata(cleaned: DataFrame, files: DataFrame, **options) -> DataFr
 
     files(doc_id, filename).  ``options`` go to ``with_overrides``.
     """
-    text = clean.clean_document(cleaned, passes=1)
-    totals = cleaned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    joined = text.join(totals, "doc_id").join(files.select("doc_id", "filename"), "doc_id")
+    joined = clean.clean_document(cleaned, passes=1).join(files.select("doc_id", "filename"), "doc_id")
     extracted = joined.select("doc_id", md.document_metadata(F.col("text"), F.col("filename"), F.col("n_pages")).alias("meta"))
     return extracted.select("doc_id", md.with_overrides(F.col("meta"), **options).alias("meta"))
 
@@ -58,12 +56,16 @@ def enrich_clauses(clauses: DataFrame, metadata: DataFrame) -> DataFrame:
 def ingest_regulations(
     pages: DataFrame, files: DataFrame, *, embedder=None, dim: int = embed.DEFAULT_DIMENSION, **options
 ) -> IngestResult:
-    """Clean, split, describe, embed and de-duplicate all documents of a batch."""
+    """Clean, split, describe, de-duplicate and embed all documents of a batch.
+
+    Merging comes before embedding, so every clause is embedded once, from the
+    text it is stored with.
+    """
     cleaned = clean.clean_pages(pages)
     metadata = document_metadata(cleaned, files, **options)
     enriched = enrich_clauses(cl.split_clauses(cleaned), metadata)
-    embedded = embed.embed_documents(enriched, embedder=embedder, dim=dim)
-    return IngestResult(embed.dedupe_regulatory_clauses(embedded, embedder=embedder, dim=dim), metadata)
+    merged = embed.merge_regulatory_clauses(enriched)
+    return IngestResult(embed.embed_documents(merged, embedder=embedder, dim=dim), metadata)
 
 
 def ingest_policies(pages: DataFrame, documents: DataFrame, *, embedder=None, dim: int = embed.DEFAULT_DIMENSION) -> DataFrame:

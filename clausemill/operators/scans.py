@@ -4,47 +4,21 @@ A window partitioned by a document reads that document in one task, and a
 single document may hold a large share of all rows.  These helpers cut each
 group into *segments*: the window runs per (group, segment), the segments are
 summarised to one row each, the carried-in value is found by a window over
-those few summary rows, and an equi-join brings it back.
+those few summary rows, and an equi-join brings it back.  The clause operators
+follow the same steps with their own summaries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def last_before(
-    df: DataFrame, *, group: Sequence[str], segment: str, order: str, marks: Mapping[str, Column]
-) -> DataFrame:
-    """Add, per mark, its last non-null value on an earlier row of the group."""
-    local = Window.partitionBy(*group, segment).orderBy(order).rowsBetween(*BEFORE)
-    marked = df.select("*", *[expr.alias(f"_m_{name}") for name, expr in marks.items()])
-    inside = marked.select(
-        "*", *[F.last(f"_m_{name}", ignorenulls=True).over(local).alias(f"_l_{name}") for name in marks]
-    )
-    summary = marked.groupBy(*group, segment).agg(
-        *[
-            F.max_by(f"_m_{name}", F.when(F.col(f"_m_{name}").isNotNull(), F.col(order))).alias(f"_s_{name}")
-            for name in marks
-        ]
-    )
-    across = Window.partitionBy(*group).orderBy(segment).rowsBetween(*BEFORE)
-    carry = summary.select(
-        *group,
-        segment,
-        *[F.last(f"_s_{name}", ignorenulls=True).over(across).alias(f"_c_{name}") for name in marks],
-    )
-    return inside.join(carry, [*group, segment]).select(
-        *[F.col(c) for c in df.columns],
-        *[F.coalesce(f"_l_{name}", f"_c_{name}").alias(name) for name in marks],
-    )
-
-
 def numbered(
     df: DataFrame, *, group: Sequence[str], segment: str, order: Sequence[str], name: str
 ) -> DataFrame:

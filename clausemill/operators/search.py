@@ -137,6 +137,16 @@ def apply_filters(catalog: DataFrame, filters: Filters) -> DataFrame:
     return catalog
 
 
+def _scored(rows: DataFrame, query_vector: list[float] | Column, vector_col: str = "embedding") -> DataFrame:
+    """Add ``_sim``.  The query may be a scalar subquery, which must be a column of its own."""
+    vector = query_vector if isinstance(query_vector, Column) else literal_vector(query_vector)
+    return (
+        rows.withColumn("_query", vector)
+        .withColumn("_sim", cosine_similarity(F.col(vector_col), F.col("_query")))
+        .drop("_query")
+    )
+
+
 def search_topk(
     catalog: DataFrame,
     query_vector: list[float] | Column,
@@ -150,9 +160,7 @@ def search_topk(
     """Best clauses for one query vector: a narrow scan and TakeOrderedAndProject."""
     limit = search_limit(top_k)
     check_threshold(min_similarity)
-    vector = query_vector if isinstance(query_vector, Column) else literal_vector(query_vector)
-    scored = apply_filters(catalog, filters).withColumn("_sim", cosine_similarity(F.col(vector_col), vector))
-    scored = scored.where(F.col("_sim").isNotNull())
+    scored = _scored(apply_filters(catalog, filters), query_vector, vector_col).where(F.col("_sim").isNotNull())
     if min_similarity is not None:
         scored = scored.where(F.col("_sim") >= min_similarity)
     return (
@@ -285,10 +293,10 @@ def payload_filter_search(
         else:
             for item in value:
                 points = points.where(F.col(name) == item)
-    vector = query_vector if isinstance(query_vector, Column) else literal_vector(query_vector)
     return (
-        points.withColumn("score", F.round(cosine_similarity(F.col("vector"), vector), SIMILARITY_DIGITS))
-        .drop("vector")
+        _scored(points, query_vector, "vector")
+        .withColumn("score", F.round("_sim", SIMILARITY_DIGITS))
+        .drop("vector", "_sim")
         .orderBy(F.desc("score"), "id")
         .limit(top_k)
     )
@@ -296,15 +304,13 @@ def payload_filter_search(
 
 def top_similarity_debug(clauses: DataFrame, query_vector: list[float] | Column, *, limit: int = 10) -> DataFrame:
     """Unfiltered best clauses with distance, similarity and a 70-character preview."""
-    vector = query_vector if isinstance(query_vector, Column) else literal_vector(query_vector)
-    similarity = cosine_similarity(F.col("embedding"), vector)
     return (
-        clauses.where(F.col("embedding").isNotNull())
+        _scored(clauses.where(F.col("embedding").isNotNull()), query_vector)
         .select(
             "clause_id",
             F.substring("text", 1, 70).alias("text_preview"),
             F.coalesce("metadata.document_name", F.lit("unknown")).alias("doc_name"),
-            F.round(similarity, SIMILARITY_DIGITS).alias("similarity"),
+            F.round("_sim", SIMILARITY_DIGITS).alias("similarity"),
         )
         .withColumn("cosine_distance", F.round(1 - F.col("similarity"), SIMILARITY_DIGITS))
         .orderBy(F.desc("similarity"), "clause_id")
@@ -314,12 +320,10 @@ def top_similarity_debug(clauses: DataFrame, query_vector: list[float] | Column,
 
 def like_probe(clauses: DataFrame, pattern: str, query_vector: list[float] | Column) -> DataFrame:
     """Distance and similarity of all clauses whose text matches a LIKE pattern."""
-    vector = query_vector if isinstance(query_vector, Column) else literal_vector(query_vector)
-    similarity = cosine_similarity(F.col("embedding"), vector)
-    return clauses.where(F.col("text").like(pattern)).select(
+    return _scored(clauses.where(F.col("text").like(pattern)), query_vector).select(
         "clause_id",
-        F.round(similarity, SIMILARITY_DIGITS).alias("similarity"),
-        F.round(1 - similarity, SIMILARITY_DIGITS).alias("cosine_distance"),
+        F.round("_sim", SIMILARITY_DIGITS).alias("similarity"),
+        F.round(1 - F.col("_sim"), SIMILARITY_DIGITS).alias("cosine_distance"),
     )
 
 

@@ -47,18 +47,17 @@ def regulation_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages_of_documents(documents: DataFrame) -> DataFrame:
-    lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    worded = lines.select("doc_id", "source", "i", _line(F.col("line"), F.col("i"), F.col("doc_id")).alias("line"))
+    parts = F.split("text", "\n", -1)
+    n_pages = F.ceil(F.size(parts) / LINES_PER_PAGE).cast("int")
+    lines = documents.select("doc_id", "source", n_pages.alias("n_pages"), F.posexplode(parts).alias("i", "line"))
+    worded = lines.withColumn("line", _line(F.col("line"), F.col("i"), F.col("doc_id")))
     page = (F.floor(F.col("i") / LINES_PER_PAGE) + 1).cast("int")
     bodies = (
         worded.withColumn("page_number", page)
-        .groupBy("doc_id", "source", "page_number")
+        .groupBy("doc_id", "source", "page_number", "n_pages")
         .agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY i)").alias("body"))
     )
-    totals = documents.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines")).select(
-        "doc_id", F.ceil(F.col("n_lines") / LINES_PER_PAGE).cast("int").alias("n_pages")
-    )
-    return bodies.join(totals, "doc_id").select(
+    return bodies.select(
         "doc_id",
         "source",
         "page_number",

@@ -170,23 +170,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS seq_no F
 def meta_enrich_clause(spark, folder):
     pages = clean.clean_pages(inp.regulation_pages(spark, folder))
     clauses = cl.split_clauses(pages.select("doc_id", "page_number", "text"))
-    cut = clauses.withColumn("segment", F.shiftright("seq", 41))
-    numbered = cl.numbered(cut, group=["doc_id"], segment="segment", order=["seq"], name="position")
-    positions = numbered.select("doc_id", F.col("seq"), "position")
     enriched = ingest.enrich_clauses(clauses, _meta(spark, folder).select("doc_id", "meta"))
-    return enriched.join(
-        positions, (enriched.version_id == positions.doc_id) & (enriched.seq == positions.seq)
-    ).select(
+    cut = enriched.withColumn("segment", F.shiftright("seq", 41))
+    placed = cl.numbered(cut, group=["version_id"], segment="segment", order=["seq"], name="position")
+    return placed.select(
         F.col("version_id").alias("doc_id"),
         "position",
-        enriched.clause_number,
-        "metadata.chapter",
-        "metadata.subsection",
-        "metadata.section_number",
-        "metadata.sub_clause",
-        "metadata.regulator",
-        "metadata.jurisdiction",
-        "metadata.effective_date",
+        "clause_number",
+        *[
+            f"metadata.{name}"
+            for name in ("chapter", "subsection", "section_number", "sub_clause", "regulator", "jurisdiction", "effective_date")
+        ],
     )
 
 

@@ -62,29 +62,30 @@ FROM c1_pages GROUP BY doc_id""",
     ),
 )
 def clean_document(spark, folder):
-    return clean.clean_document(inp.regulation_pages(spark, folder))
+    return clean.clean_document(inp.regulation_pages(spark, folder)).select("doc_id", "text")
 
 
 @query("clean_document_twice", with_ctes(inp.DOC_TEXT, "SELECT doc_id, text FROM doc_text"))
 def clean_document_twice(spark, folder):
-    return clean.clean_document(inp.regulation_pages(spark, folder), passes=2)
+    return clean.clean_document(inp.regulation_pages(spark, folder), passes=2).select("doc_id", "text")
 
 
 def _cleaned(spark, folder):
     return clean.clean_pages(inp.regulation_pages(spark, folder)).select("doc_id", "page_number", "text")
 
 
+def _paged(lines):
+    return lines.withColumn("page_number", cl.page_of(F.col("ord")))
+
+
 def _lines(spark, folder):
-    return cl.numbered_lines(_cleaned(spark, folder))
+    return _paged(cl.numbered_lines(_cleaned(spark, folder)))
 
 
 @query("lines_explode", with_ctes(inp.CLAUSES, "SELECT doc_id, page_number, i - 1 AS pos, line FROM page_lines"))
 def lines_explode(spark, folder):
     pos = F.col("ord").bitwiseAND(F.lit(0xFFFFFFFF))
-    return cl.explode_lines(_cleaned(spark, folder)).select("doc_id", "page_number", pos.alias("pos"), "line")
-
-
-_ORDERED = "row_number() OVER (PARTITION BY doc_id ORDER BY ord)"
+    return _paged(cl.explode_lines(_cleaned(spark, folder))).select("doc_id", "page_number", pos.alias("pos"), "line")
 
 
 @query(
@@ -92,7 +93,7 @@ _ORDERED = "row_number() OVER (PARTITION BY doc_id ORDER BY ord)"
     with_ctes(inp.CLAUSES, "SELECT doc_id, page_number, line, count(*) AS n FROM merged GROUP BY ALL"),
 )
 def merge_standalone_numbers(spark, folder):
-    merged = cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder)))
+    merged = _paged(cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder))))
     return merged.groupBy("doc_id", "page_number", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,7 +106,7 @@ FROM bounds GROUP BY ALL""",
     ),
 )
 def classify_line(spark, folder):
-    typed = cl.classify_lines(cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder))))
+    typed = _paged(cl.classify_lines(cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder)))))
     keys = ["doc_id", "page_number", "line", "kind", "label", "rest", "header", "opens"]
     return typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
@@ -119,7 +120,7 @@ FROM bounds WHERE kind = 'structural' GROUP BY ALL""",
     ),
 )
 def structural_header(spark, folder):
-    typed = cl.classify_lines(cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder))))
+    typed = _paged(cl.classify_lines(cl.merge_standalone_numbers(cl.explode_lines(_cleaned(spark, folder)))))
     return (
         typed.where(F.col("kind") == "structural")
         .groupBy("doc_id", "page_number", F.col("header").alias("section"), "opens")
@@ -175,7 +176,7 @@ def clause_group(spark, folder):
     ),
 )
 def preamble(spark, folder):
-    rows = cl.group_preambles(_lines(spark, folder))
+    rows = cl.group_lines(_lines(spark, folder)).where(F.col("clause_number") == "0")
     return rows.groupBy("doc_id", "text", "title", "level", "page_number", "page_end").agg(
         F.count(F.lit(1)).alias("n")
     )
