@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausemill.functions.text import bind
+
 SPLITTER = 134217729.0  # 2**27 + 1: cuts a double into two 26-bit halves
 
 
@@ -18,16 +20,26 @@ def round_exact(value: Column, digits: int = 2) -> Column:
     factor - tells the side.
     """
     scale = 2.0 * 10.0**digits
-    product = value * F.lit(scale)
-    high = value * F.lit(SPLITTER) - (value * F.lit(SPLITTER) - value)
-    error = (high * F.lit(scale) - product) + (value - high) * F.lit(scale)
-    below = F.floor(product / 2.0).cast("double")
-    on_tie = (product == F.floor(product)) & (F.pmod(product, F.lit(2.0)) == 1.0)
-    up = F.when(on_tie & (error != 0.0), error > 0.0).when(on_tie, F.pmod(below, F.lit(2.0)) == 1.0).otherwise(
-        product - below * 2.0 > 1.0
-    )
-    return (below + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(10.0**digits)
+
+    def rounded(v: Column) -> Column:
+        product = v * F.lit(scale)
+        high = v * F.lit(SPLITTER) - (v * F.lit(SPLITTER) - v)
+        error = (high * F.lit(scale) - product) + (v - high) * F.lit(scale)
+        below = F.floor(product / 2.0).cast("double")
+        rest = product - below * 2.0
+        even = F.pmod(below, F.lit(2.0)) == 0.0
+        # rest is 1 exactly where the product lands on a tie.
+        up = F.when(rest != 1.0, rest > 1.0).when(error != 0.0, error > 0.0).otherwise(~even)
+        return (below + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(10.0**digits)
+
+    return bind(value, rounded)
 
 
 def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", round_exact(value, 2))
+    """Text of any non-negative double on two decimals."""
+    return hundredths(round_exact(value, 2))
+
+
+def hundredths(value: Column) -> Column:
+    """Text of a value that has no more than two decimals."""
+    return value.cast("decimal(18,2)").cast("string")

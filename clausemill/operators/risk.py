@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.functions.numbers import round_exact, two_decimals
+from clausemill.functions.numbers import hundredths, round_exact, two_decimals
+from clausemill.functions.text import bind
 
 # Severity of a compliance status.
 STATUS_SEVERITY = {
@@ -62,11 +66,15 @@ def _lookup(key: Column, table: dict[str, float]) -> Column:
 
 
 def classify_gap(text: Column) -> Column:
-    lower = F.lower(text)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for severity, words in GAP_WORDS.items():
-        out = out.when(lower.rlike("|".join(words)), F.lit(severity))
-    return out.otherwise(F.lit("MEDIUM"))
+    """Severity of a gap text: the first step one of whose words it contains."""
+
+    def step(lower: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for severity, words in GAP_WORDS.items():
+            out = out.when(reduce(or_, [F.contains(lower, F.lit(w)) for w in words]), F.lit(severity))
+        return out.otherwise(F.lit("MEDIUM"))
+
+    return bind(F.lower(text), step)
 
 
 def normalize_gaps(gaps: Column) -> Column:
@@ -152,7 +160,7 @@ def rejection(status: Column, confidence: Column, criticality: Column) -> Column
 
 def _explanation() -> Column:
     def pts(factor: str) -> Column:
-        return two_decimals(F.col(f"c_{factor}"))
+        return hundredths(F.col(f"c_{factor}"))
 
     uncertain = F.lit(
         " points (weight 40%). Lack of policy evidence introduces inherent compliance uncertainty, "
@@ -161,7 +169,7 @@ def _explanation() -> Column:
     plain = F.lit(" points (weight 40%).")
     return F.concat_ws(
         " ",
-        F.concat(F.lit("Assessed compliance risk score is "), two_decimals(F.col("risk_score")), F.lit(" ("), F.col("risk_level"), F.lit(").")),
+        F.concat(F.lit("Assessed compliance risk score is "), hundredths(F.col("risk_score")), F.lit(" ("), F.col("risk_level"), F.lit(").")),
         F.concat(
             F.lit("Compliance status is "), F.col("status_key"), F.lit(" contributing "), pts("compliance_severity"),
             F.when(F.col("status_key") == "INSUFFICIENT_EVIDENCE", uncertain).otherwise(plain),
@@ -174,7 +182,7 @@ def _explanation() -> Column:
             F.col("n_gaps") > 0,
             F.concat(
                 F.lit("Identified "), F.col("n_gaps").cast("string"), F.lit(" gap(s) with maximum severity "),
-                two_decimals(F.col("v_gap_severity")), F.lit(", contributing "), pts("gap_severity"), F.lit(" points (weight 15%)."),
+                hundredths(F.col("v_gap_severity")), F.lit(", contributing "), pts("gap_severity"), F.lit(" points (weight 15%)."),
             ),
         ).otherwise(F.concat(F.lit("No policy gaps were identified, contributing "), pts("gap_severity"), F.lit(" points (weight 15%)."))),
         F.concat(
@@ -186,8 +194,10 @@ def _explanation() -> Column:
 
 
 def _breakdown() -> Column:
-    def value(factor: str) -> str:
-        return two_decimals(F.col(f"v_{factor}"))
+    measured = ("evidence_strength", "confidence")
+
+    def value(factor: str) -> Column:
+        return (two_decimals if factor in measured else hundredths)(F.col(f"v_{factor}"))
 
     described = {
         "compliance_severity": F.concat(F.lit("Status "), F.col("status_key"), F.lit(" mapped to severity "), value("compliance_severity"), F.lit(".")),

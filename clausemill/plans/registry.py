@@ -29,5 +29,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def with_ctes(ctes: dict[str, str], body: str) -> str:
-    listed = ",\n".join(f"{name} AS (\n{text}\n)" for name, text in ctes.items())
+    listed = ",\n".join(f"{name} AS MATERIALIZED (\n{text}\n)" for name, text in ctes.items())
     return f"WITH {listed}\n{body}"
