@@ -50,8 +50,9 @@ def with_total_pages(pages: DataFrame) -> DataFrame:
     return pages.join(page_totals(pages), "doc_id")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_TYPE).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """A JSON array per file, or with ``multi_line=False`` one entry per line."""
+    return spark.read.schema(MANIFEST_TYPE).json(path, multiLine=multi_line)
 
 
 def apply_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
