@@ -38,9 +38,9 @@ def count_by_version(clauses: DataFrame) -> DataFrame:
     return clauses.groupBy("version_id").agg(F.count(F.lit(1)).alias("clause_count"))
 
 
-def list_by_version(clauses: DataFrame, *, limit: int = 10) -> DataFrame:
+def list_by_version(clauses: DataFrame, *, limit: int = 10, order: tuple[str, ...] = ("clause_id",)) -> DataFrame:
     """The first clauses of every version, by clause id."""
-    order = Window.partitionBy("version_id").orderBy("clause_id")
+    order = Window.partitionBy("version_id").orderBy(*order)
     return clauses.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 

@@ -49,12 +49,12 @@ def count_by_version(spark, folder):
     with_ctes(
         inp.CATALOG,
         """SELECT version_id, clause_id, clause_number, text, position FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY version_id ORDER BY clause_id) AS INTEGER) AS position FROM stored_clauses) s
+  SELECT *, CAST(row_number() OVER (PARTITION BY version_id ORDER BY clause_id, text) AS INTEGER) AS position FROM stored_clauses) s
 WHERE position <= 10""",
     ),
 )
 def list_by_version(spark, folder):
-    rows = catalog.list_by_version(inp.stored_clauses(spark, folder))
+    rows = catalog.list_by_version(inp.stored_clauses(spark, folder), order=("clause_id", "text"))
     return rows.select("version_id", "clause_id", "clause_number", "text", "position")
 
 
@@ -112,13 +112,12 @@ def run_findings_count(spark, folder):
 @query(
     "catalog_text_filter",
     """SELECT p_partkey, p_name, p_type FROM part
-WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'brass')""",
+WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_type), 'eco')""",
 )
 def catalog_text_filter(spark, folder):
     rows = table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    by_name = catalog.catalog_text_filter(rows, "1", ["p_name"])
-    by_type = catalog.catalog_text_filter(rows, "BRASS", ["p_type", "p_type"])
-    return by_name.unionByName(by_type).distinct()
+    by_both = catalog.catalog_text_filter(rows, "Ring", ["p_name", "p_type"])
+    return by_both.unionByName(catalog.catalog_text_filter(rows, "eco", ["p_type"])).distinct()
 
 
 @query(
