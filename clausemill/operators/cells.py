@@ -64,9 +64,9 @@ def cell_kernel(k: int, threshold: float | None, schema: pa.Schema, skip_self: b
         bounds = np.r_[0, np.flatnonzero(np.diff(scope_codes)) + 1, len(scope_codes)]
         right_ids = right["right_id"].to_numpy()[by_scope]
         right_scope = right["scope"].to_numpy()[by_scope]
-        right_rows = unit_rows(right["vector"])[by_scope]
+        right_rows = unit_rows(right["right_vector"])[by_scope]
         left_ids = left["left_id"].to_numpy()
-        left_rows = unit_rows(left["vector"])
+        left_rows = unit_rows(left["left_vector"])
         _, id_rank = np.unique(right_ids, return_inverse=True)
         out_left, out_right, out_scope, out_sim = [], [], [], []
         for at in range(0, len(left_rows), QUERY_TILE):

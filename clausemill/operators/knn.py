@@ -62,8 +62,8 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "scope" not in right.columns:
         right = right.withColumn("scope", F.lit(0))
     return (
-        left.where(F.col("vector").isNotNull()).select("left_id", "vector"),
-        right.where(F.col("vector").isNotNull()).select("right_id", "scope", "vector"),
+        left.where(F.col("vector").isNotNull()).select("left_id", F.col("vector").alias("left_vector")),
+        right.where(F.col("vector").isNotNull()).select("right_id", "scope", F.col("vector").alias("right_vector")),
     )
 
 
@@ -118,11 +118,11 @@ def knn_join_approx(
     """
     left, right = _sides(left, right)
 
-    def bucketed(side: DataFrame) -> DataFrame:
-        hashed = side.withColumn("b", sign_buckets(F.col("vector"), dim=dim, tables=tables, bits=bits, seed=seed))
+    def bucketed(side: DataFrame, vector: str) -> DataFrame:
+        hashed = side.withColumn("b", sign_buckets(F.col(vector), dim=dim, tables=tables, bits=bits, seed=seed))
         return hashed.select(*side.columns, F.posexplode("b").alias("table", "bucket"))
 
-    left_b, right_b = bucketed(left), bucketed(right)
+    left_b, right_b = bucketed(left, "left_vector"), bucketed(right, "right_vector")
     key = ["table", "bucket"]
     # At most tables * 2**bits rows, whatever the data: safe to broadcast.
     sizes = (

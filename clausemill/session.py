@@ -9,9 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, app: str = "clausemill") -> SparkSession:
+def local_session(
+    cores: int | str = "*",
+    *,
+    shuffle_partitions: int = 8,
+    app: str = "clausemill",
+    checkpoint_dir: str | None = None,
+) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", os.environ.get("CLAUSEMILL_DRIVER_MEMORY", "8g"))
@@ -21,8 +27,10 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, app: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -31,7 +39,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     A machine-local folder is used only where that setting is absent *and* the
     master is local, because executors on other hosts could not read it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")

@@ -14,11 +14,17 @@ DEFAULT_REGULATOR = "RBI"
 DEFAULT_SOURCE_TYPE = "regulatory_document"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, content, length) of the files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+def read_files(spark: SparkSession, path: str, announced: DataFrame | None = None) -> DataFrame:
+    """(filename, content, length) of the files below a folder.
+
+    Spark's file index passes over empty files.  With ``announced(filename)``,
+    a table of the uploads that should be there, such files and missing ones
+    appear with null content.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "length"
     )
+    return found if announced is None else announced.select("filename").join(found, "filename", "left")
 
 
 def upload_error(filename: Column, content: Column, length: Column, *, max_bytes: int = MAX_UPLOAD_BYTES) -> Column:
