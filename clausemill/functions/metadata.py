@@ -61,9 +61,10 @@ ABBREVIATION_STOP_WORDS = (
     "direction", "directions", "master", "circular", "rbi",
 )
 
-MONTH_DATE = rf"(?iU)(\d{{1,2}})(?:st|nd|rd|th)?\s+({'|'.join(MONTHS)}),?\s+(\d{{4}})"
-ISO_DATE = r"(?U)(\d{4})-(\d{2})-(\d{2})"
-DAY_FIRST_DATE = r"(?U)(\d{2})[./-](\d{2})[./-](\d{4})"
+# [0-9] instead of \\d: the class is tried at every character of whole documents.
+MONTH_DATE = rf"(?i)([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({'|'.join(MONTHS)}),?\s+([0-9]{{4}})"
+ISO_DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
+DAY_FIRST_DATE = r"([0-9]{2})[./-]([0-9]{2})[./-]([0-9]{4})"
 PUBLICATION = (
     r"(?iU)(?:published|issued|publication\s+date)\s*[:\-]?\s*"
     r"((?:\d{1,2}(?:st|nd|rd|th)?\s+\w+\s+\d{4})|\d{4}-\d{2}-\d{2})"
@@ -93,10 +94,13 @@ def regulator(text: Column, filename: Column) -> Column:
 
 
 def jurisdiction(code: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, (_, place) in REGULATORS.items():
-        out = out.when(code == name, F.lit(place))
-    return out
+    def place_of(bound: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, (_, place) in REGULATORS.items():
+            out = out.when(bound == name, F.lit(place))
+        return out
+
+    return tx.bind(code, place_of)
 
 
 def document_type(text: Column, filename: Column) -> Column:
@@ -135,7 +139,8 @@ def first_date(text: Column) -> Column:
 
 def publication_date(text: Column) -> Column:
     raw = tx.strip(F.regexp_extract(F.substring(text, 1, PUBLICATION_SCAN_CHARS), PUBLICATION, 1))
-    return F.when(raw.rlike("^" + ISO_DATE.removeprefix("(?U)")), raw).otherwise(first_date(raw))
+    iso = "^" + ISO_DATE
+    return tx.bind(raw, lambda found: F.when(found.rlike(iso), found).otherwise(first_date(found)))
 
 
 def version(text: Column, filename: Column) -> Column:
@@ -148,9 +153,13 @@ def version(text: Column, filename: Column) -> Column:
 def section(text: Column) -> Column:
     """'prefix — title'; the prefix is the whole match up to its first colon."""
     scan = F.substring(text, 1, SCAN_CHARS)
-    title = tx.strip(F.regexp_extract(scan, SECTION, 2))
-    prefix = tx.strip(F.regexp_extract(F.regexp_extract(scan, SECTION, 1), r"^([^:]*)", 1))
-    return _blank_to_null(F.when(title != "", F.concat(prefix, F.lit(" — "), title)).otherwise(prefix))
+
+    def named(match: Column) -> Column:
+        title = tx.strip(F.regexp_extract(match, SECTION, 2))
+        prefix = tx.strip(F.substring_index(match, ":", 1))
+        return F.when(title != "", F.concat(prefix, F.lit(" — "), title)).otherwise(prefix)
+
+    return _blank_to_null(tx.bind(F.regexp_extract(scan, SECTION, 1), named))
 
 
 def parse_date(value: Column) -> Column:

@@ -339,13 +339,17 @@ def _like_pattern(content: Column) -> Column:
     return F.concat(F.lit("%"), F.regexp_replace(prefix, r"(\\[%_\\])|\\(.)", "$1$2"), F.lit("%"))
 
 
-def _phrases(words: Column, n: Column | int) -> Column:
-    size = F.size(words)
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(
-        size >= n,
-        F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+def _phrases(words: Column, n: int) -> Column:
+    """All runs of n words; words beyond the end are null and end the list."""
+    if n == 1:
+        return words
+    return F.slice(
+        F.transform(
+            words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)])
+        ),
+        F.lit(1),
+        F.greatest(F.size(words) - (n - 1), F.lit(0)),
+    )
 
 
 def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | None = None) -> DataFrame:
@@ -378,33 +382,27 @@ def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | N
         F.array_join(F.slice(longest["ws"], 1, ANCHOR_WORDS), " ").alias("_words"),
         F.when(literal["n"] >= SHORT_ANCHOR_CHARS, F.substring(literal["s"], 1, SHORT_ANCHOR_CHARS)).alias("_chars"),
     )
-    by_words = patterns.where(F.col("_n") > 0)
     by_chars = patterns.where((F.col("_n") == 0) & F.col("_chars").isNotNull())
     by_scan = patterns.where((F.col("_n") == 0) & F.col("_chars").isNull())
 
     texts = clauses.select("clause_id", "text").where(F.col("text").isNotNull())
     words = F.filter(F.split(F.lower("text"), _WORD_BREAK), lambda w: w != "")
-    word_rows = texts.withColumn("_ws", words).select(
-        "clause_id",
-        F.explode(F.array_distinct(F.flatten(F.array(*[_phrases(F.col("_ws"), n) for n in range(1, ANCHOR_WORDS + 1)])))).alias("_words"),
-    )
     letters = F.split(F.lower("text"), "")
-    char_rows = texts.withColumn("_ls", letters).select(
-        "clause_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(0), F.greatest(F.size("_ls") - SHORT_ANCHOR_CHARS, F.lit(0))),
-                    lambda i: F.concat_ws("", *[F.get(F.col("_ls"), i + j) for j in range(SHORT_ANCHOR_CHARS)]),
-                )
-            )
-        ).alias("_chars"),
+    last = F.greatest(F.size("_ls") - SHORT_ANCHOR_CHARS, F.lit(0))
+    triples = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.concat_ws("", *[F.get(F.col("_ls"), i + j) for j in range(SHORT_ANCHOR_CHARS)]),
     )
-    # Only anchors that some chunk asks for are worth a join row: the semi-join
-    # comes first and keeps the wide texts out of it.
-    word_pairs = word_rows.join(by_words.select("chunk_id", "_words"), "_words").select("chunk_id", "clause_id")
-    char_pairs = char_rows.join(by_chars.select("chunk_id", "_chars"), "_chars").select("chunk_id", "clause_id")
-    candidates = word_pairs.unionByName(char_pairs)
+    char_rows = texts.withColumn("_ls", letters).select("clause_id", F.explode(F.array_distinct(triples)).alias("_chars"))
+    candidates = char_rows.join(by_chars.select("chunk_id", "_chars"), "_chars").select("chunk_id", "clause_id")
+    # One join per anchor length: where no chunk asks for a length, Spark finds
+    # the small side empty at run time and leaves the texts unread.
+    for n in range(1, ANCHOR_WORDS + 1):
+        asked = patterns.where(F.col("_n") == n).select("chunk_id", "_words")
+        phrases = texts.withColumn("_ws", words).select(
+            "clause_id", F.explode(F.array_distinct(_phrases(F.col("_ws"), n))).alias("_words")
+        )
+        candidates = candidates.unionByName(phrases.join(asked, "_words").select("chunk_id", "clause_id"))
     matched = (
         candidates.join(patterns.select("chunk_id", "_like"), "chunk_id")
         .join(texts, "clause_id")
