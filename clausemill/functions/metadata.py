@@ -66,12 +66,12 @@ MONTH_DATE = rf"(?i)([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({'|'.join(MONTHS)}),?\s+([
 ISO_DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
 DAY_FIRST_DATE = r"([0-9]{2})[./-]([0-9]{2})[./-]([0-9]{4})"
 PUBLICATION = (
-    r"(?iU)(?:published|issued|publication\s+date)\s*[:\-]?\s*"
+    r"(?iU-u)(?:published|issued|publication\s+date)\s*[:\-]?\s*"
     r"((?:\d{1,2}(?:st|nd|rd|th)?\s+\w+\s+\d{4})|\d{4}-\d{2}-\d{2})"
 )
-VERSION = r"(?iU)(?:version|ver\.?)\s*[:\-]?\s*([A-Za-z0-9._-]+)"
-FILE_VERSION = r"(?iU)v(\d+(?:\.\d+)*)"
-SECTION = r"(?idU)((?:section|article|rule|chapter)\s+\d+[A-Za-z]?(?:\.[A-Za-z0-9]+)*[:\-—]?\s*(.{0,80}))"
+VERSION = r"(?iU-u)(?:version|ver\.?)\s*[:\-]?\s*([A-Za-z0-9._-]+)"
+FILE_VERSION = r"(?iU-u)v(\d+(?:\.\d+)*)"
+SECTION = r"(?idU-u)((?:section|article|rule|chapter)\s+\d+[A-Za-z]?(?:\.[A-Za-z0-9]+)*[:\-—]?\s*(.{0,80}))"
 DOTTED_NUMBER = r"(?U)^\d+(?:\.\d+)*$"
 
 
@@ -82,7 +82,7 @@ def _blank_to_null(col: Column) -> Column:
 def _first_pattern(text: Column, patterns: dict[str, str]) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in patterns.items():
-        out = out.when(text.rlike("(?iU)" + pattern), F.lit(name))
+        out = out.when(text.rlike("(?iU-u)" + pattern), F.lit(name))
     return out
 
 
@@ -114,7 +114,7 @@ def document_name(text: Column, filename: Column) -> Column:
     lines = F.slice(F.filter(F.transform(tx.split_lines(text), tx.strip), lambda line: line != ""), 1, 15)
     telling = F.filter(
         lines,
-        lambda line: line.rlike("(?iU)" + NAME_WORDS) | ((F.length(line) > 20) & line.rlike(r"^\p{Lu}")),
+        lambda line: line.rlike("(?iU-u)" + NAME_WORDS) | ((F.length(line) > 20) & line.rlike(r"^\p{Lu}")),
     )
     stem = tx.title_case(F.translate(tx.file_stem(filename), "_-", "  "))
     return _blank_to_null(F.coalesce(F.substring(F.get(telling, F.lit(0)), 1, 200), stem))

@@ -28,7 +28,7 @@ PAGE_NUMBER_FORMS = (
     r"page\s+\d+(?:\s+of\s+\d+)?",
     r"\[\s*\d+\s*\]",
 )
-PAGE_NUMBER_LINE = rf"(?iU)^\s*(?:{'|'.join(PAGE_NUMBER_FORMS)})\s*$"
+PAGE_NUMBER_LINE = rf"(?iU-u)^\s*(?:{'|'.join(PAGE_NUMBER_FORMS)})\s*$"
 
 SOFT_HYPHEN = "\u00ad"
 

@@ -33,7 +33,7 @@ ALPHA = r"(?i)^\(([a-z])\)[ \t]+(.+)$"
 ROMAN = r"(?i)^\(([ivxlc]+)\)[ \t]+(.+)$"
 
 # Lines that are nothing but a number or label.
-STANDALONE = r"(?iU)^(?:\d+(?:\.\d+){0,3}\.?|\(\d+\)|\([a-z]\)|\([ivxlc]+\))$"
+STANDALONE = r"(?iU-u)^(?:\d+(?:\.\d+){0,3}\.?|\(\d+\)|\([a-z]\)|\([ivxlc]+\))$"
 
 OPENERS = ("numeric", "paren", "alpha", "roman")
 
