@@ -375,13 +375,14 @@ def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | N
     )
     longest = F.array_max(F.transform(inner, lambda ws: F.struct(F.size(ws).alias("n"), ws.alias("ws"))))
     literal = F.array_max(F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
+    asked = chunks.select("chunk_id", _like_pattern(F.col("content")).alias("_like"))
+    # Every pattern is matched once and cut to its k clauses, however many chunks share it.
     patterns = chunks.select(
-        "chunk_id",
         _like_pattern(F.col("content")).alias("_like"),
         F.least(longest["n"], F.lit(ANCHOR_WORDS)).alias("_n"),
         F.array_join(F.slice(longest["ws"], 1, ANCHOR_WORDS), " ").alias("_words"),
         F.when(literal["n"] >= SHORT_ANCHOR_CHARS, F.substring(literal["s"], 1, SHORT_ANCHOR_CHARS)).alias("_chars"),
-    )
+    ).distinct()
     by_chars = patterns.where((F.col("_n") == 0) & F.col("_chars").isNotNull())
     by_scan = patterns.where((F.col("_n") == 0) & F.col("_chars").isNull())
 
@@ -394,25 +395,17 @@ def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | N
         lambda i: F.concat_ws("", *[F.get(F.col("_ls"), i + j) for j in range(SHORT_ANCHOR_CHARS)]),
     )
     char_rows = texts.withColumn("_ls", letters).select("clause_id", F.explode(F.array_distinct(triples)).alias("_chars"))
-    candidates = char_rows.join(by_chars.select("chunk_id", "_chars"), "_chars").select("chunk_id", "clause_id")
+    candidates = char_rows.join(by_chars.select("_like", "_chars"), "_chars").select("_like", "clause_id")
     # One join per anchor length: where no chunk asks for a length, Spark finds
     # the small side empty at run time and leaves the texts unread.
     for n in range(1, ANCHOR_WORDS + 1):
-        asked = patterns.where(F.col("_n") == n).select("chunk_id", "_words")
+        anchors = patterns.where(F.col("_n") == n).select("_like", "_words")
         phrases = texts.withColumn("_ws", words).select(
             "clause_id", F.explode(F.array_distinct(_phrases(F.col("_ws"), n))).alias("_words")
         )
-        candidates = candidates.unionByName(phrases.join(asked, "_words").select("chunk_id", "clause_id"))
-    matched = (
-        candidates.join(patterns.select("chunk_id", "_like"), "chunk_id")
-        .join(texts, "clause_id")
-        .where(F.expr("text ilike _like"))
-        .select("chunk_id", "clause_id")
-    )
-    scanned = by_scan.join(texts, F.expr("text ilike _like")).select("chunk_id", "clause_id")
-    order = Window.partitionBy("chunk_id").orderBy("clause_id")
-    return (
-        matched.unionByName(scanned)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-    )
+        candidates = candidates.unionByName(phrases.join(anchors, "_words").select("_like", "clause_id"))
+    matched = candidates.join(texts, "clause_id").where(F.expr("text ilike _like")).select("_like", "clause_id")
+    scanned = by_scan.select("_like").join(texts, F.expr("text ilike _like")).select("_like", "clause_id")
+    order = Window.partitionBy("_like").orderBy("clause_id")
+    best = matched.unionByName(scanned).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(best, "_like").select("chunk_id", "clause_id", "rank")
