@@ -80,10 +80,13 @@ def _blank_to_null(col: Column) -> Column:
 
 
 def _first_pattern(text: Column, patterns: dict[str, str]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern in patterns.items():
-        out = out.when(text.rlike("(?iU-u)" + pattern), F.lit(name))
-    return out
+    def first(bound: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, pattern in patterns.items():
+            out = out.when(bound.rlike("(?iU-u)" + pattern), F.lit(name))
+        return out
+
+    return tx.bind(text, first)
 
 
 def regulator(text: Column, filename: Column) -> Column:
@@ -114,7 +117,9 @@ def document_name(text: Column, filename: Column) -> Column:
     lines = F.slice(F.filter(F.transform(tx.split_lines(text), tx.strip), lambda line: line != ""), 1, 15)
     telling = F.filter(
         lines,
-        lambda line: line.rlike("(?iU-u)" + NAME_WORDS) | ((F.length(line) > 20) & line.rlike(r"^\p{Lu}")),
+        # The cheap test first: it settles most lines without the search for words.
+        lambda line: ((F.length(line) > 20) & F.substring(line, 1, 1).rlike(r"\p{Lu}"))
+        | line.rlike("(?iU-u)" + NAME_WORDS),
     )
     stem = tx.title_case(F.translate(tx.file_stem(filename), "_-", "  "))
     return _blank_to_null(F.coalesce(F.substring(F.get(telling, F.lit(0)), 1, 200), stem))
