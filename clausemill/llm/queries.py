@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
+from clausemill.llm.mixing import mix, taken
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,8 +29,13 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM ranked
 """
 
+def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return taken(mix(read(spark, folder, "documents"))).select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 SQL = {
