@@ -9,6 +9,7 @@ from clausemill.llm.chat import format_chats, read_loss, read_turns
 from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
 from clausemill.llm.mixing import mix, taken
+from clausemill.llm.simhash import near_duplicates
 
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +59,10 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -83,6 +88,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
