@@ -10,6 +10,7 @@ from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
 from clausemill.llm.mixing import mix, taken
 from clausemill.llm.simhash import near_duplicates
+from clausemill.llm.substrings import remove_repeats
 
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read(spark, folder, "documents")).drop("removed")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -89,6 +94,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
