@@ -9,8 +9,19 @@ from clausemill.llm.chat import format_chats, read_loss, read_turns
 from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
 from clausemill.llm.mixing import mix, taken
+from clausemill.llm.quality import quality
 from clausemill.llm.simhash import near_duplicates
 from clausemill.llm.substrings import remove_repeats
+from clausemill.llm.toxicity import toxicity, train
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity(docs, train(docs, read(spark, folder, "labels")))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +103,9 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
