@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.llm.chat import format_chats, read_loss, read_turns
 from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
+from clausemill.llm.decontaminate import contamination
 from clausemill.llm.mixing import mix, taken
 from clausemill.llm.quality import quality
 from clausemill.llm.simhash import near_duplicates
@@ -79,6 +80,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(read(spark, folder, "documents")).drop("removed")
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -108,6 +113,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
