@@ -76,16 +76,22 @@ def exact_dedup(
         F.explode(chunks(F.col("norm"), min_chars, max_chars)).alias("part")
     )
     # Texts that share a hash, numbered: expected to be none, and then no recipe changes.
-    per_text = texts.groupBy(chunk_hash(F.col("part")).alias("name"), "part").agg(F.lit(1).alias("one"))
-    numbered = per_text.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("part")))
-    clashes = saved(numbered.withColumn("of", F.max("n").over(Window.partitionBy("name"))).where("of > 1").select("name", "part", "n"), "clashes")
-    if not clashes.isEmpty():
-        rows = _told_apart(docs, rows, clashes, id_col, text_col, chunk_hash, min_chars, max_chars)
+    per_text = texts.select(chunk_hash(F.col("part")).alias("name"), "part").distinct()
+    clashing = saved(per_text.groupBy("name").count().where("count > 1").select("name"), "clashing-names")
+    if not clashing.isEmpty():
+        if clashing.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES:
+            clashing = F.broadcast(clashing)
+        numbered = per_text.join(clashing, "name", "left_semi").withColumn(
+            "n", F.row_number().over(Window.partitionBy("name").orderBy("part"))
+        )
+        clashes = saved(numbered, "clashes")
+        rows = _told_apart(docs, rows, clashes, clashing, id_col, text_col, chunk_hash, min_chars, max_chars)
+    # The second key makes Spark deal both sides of the join anew, so that it can split a recipe many rows share.
     groups = rows.groupBy("recipe").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct((-F.col("n_chars")).alias("m"), F.col("doc_id").isNull().alias("e"), "doc_id", "_row")).alias("best"),
     )
-    return rows.join(groups, "recipe").select(
+    return rows.withColumn("_hash", F.xxhash64("recipe")).join(groups.withColumn("_hash", F.xxhash64("recipe")), ["_hash", "recipe"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -95,15 +101,12 @@ def exact_dedup(
     )
 
 
-def _told_apart(docs, rows, clashes, id_col, text_col, chunk_hash, min_chars, max_chars) -> DataFrame:
+def _told_apart(docs, rows, clashes, clashing, id_col, text_col, chunk_hash, min_chars, max_chars) -> DataFrame:
     """``rows`` with the numbers of clashing chunks after the names; other rows keep their recipes.
 
     Only chunks whose name clashes are moved. Rows are recognised by id, length
     and digest, which is enough: rows that agree in them hold the same chunks.
     """
-    names = clashes.select("name").distinct()
-    if names.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES:
-        names = F.broadcast(names)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = ["_id", "n_chars", "text_sha256"]
     numbers = (
@@ -114,7 +117,7 @@ def _told_apart(docs, rows, clashes, id_col, text_col, chunk_hash, min_chars, ma
         )
         .select(*key[:2], F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunks(F.col("norm"), min_chars, max_chars)).alias("pos", "part"))
         .withColumn("name", chunk_hash(F.col("part")))
-        .join(names, "name", "left_semi")
+        .join(clashing, "name", "left_semi")
         .join(clashes, ["name", "part"])
         .groupBy(*key)
         .agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("numbers"))
