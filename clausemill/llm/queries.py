@@ -9,6 +9,7 @@ from clausemill.llm.chat import format_chats, read_loss, read_turns
 from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
 from clausemill.llm.decontaminate import contamination
+from clausemill.llm.html_text import page_texts
 from clausemill.llm.mixing import mix, taken
 from clausemill.llm.quality import quality
 from clausemill.llm.simhash import near_duplicates
@@ -103,6 +104,10 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM ranked
 """
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(read(spark, folder, "pages"))
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken(mix(read(spark, folder, "documents"))).select("doc.doc_id", "size", "source_size", "target", "taken")
 
@@ -115,6 +120,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_text": op9_html_text,
     "op10_source_mixing": op10_source_mixing,
 }
 
