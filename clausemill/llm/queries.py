@@ -14,9 +14,15 @@ from clausemill.llm.mixing import mix, taken
 from clausemill.llm.quality import quality
 from clausemill.llm.simhash import near_duplicates
 from clausemill.llm.substrings import remove_repeats
+from clausemill.llm.token_shards import Vocabulary, write_shards
 from clausemill.llm.toxicity import toxicity, train
 
 
+def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes all documents as shards and returns the index of their sequences."""
+    return write_shards(read(spark, folder, "documents"), Vocabulary.public()).index
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return toxicity(docs, train(docs, read(spark, folder, "labels")))
@@ -113,6 +119,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
