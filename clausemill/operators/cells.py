@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 QUERY_TILE = 256
+#: Similarities are shown with so many digits, and ranked by the raw value but for its last rounding noise.
 SIMILARITY_DIGITS = 4
+RANK_DIGITS = 12
 
 
 def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of an Arrow list column as unit rows; all-zero vectors become nan."""
+    """Vectors of one dimension in an Arrow list column as unit rows; all-zero vectors become nan."""
     merged = column.combine_chunks()
     if isinstance(merged, pa.ChunkedArray):
         merged = pa.concat_arrays(merged.chunks)
@@ -27,12 +29,12 @@ def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def tile_topk(sims, scopes, bounds, ids, k, threshold):
-    """(row, column) of the best k per row and scope; ties go to the smaller id.
+    """(row, column) of the best k per row and scope by the unrounded value; ties go to the smaller id.
 
     ``scopes`` is sorted and ``bounds`` delimits its runs.  Long runs are first
     cut to the values reaching their k-th best, ties included.
     """
-    rounded = np.round(sims, SIMILARITY_DIGITS)
+    rounded = np.round(sims, RANK_DIGITS)
     keep = ~np.isnan(sims)
     if threshold is not None:
         keep &= sims >= threshold
@@ -87,16 +89,29 @@ def cell_kernel(k: int, threshold: float | None, schema: pa.Schema, skip_self: b
     return run
 
 
-def sign_kernel(dim: int, tables: int, bits: int, seed: int):
-    """Per vector and table, the sides of ``bits`` random planes as one number."""
+def sign_kernel(dim: int, tables: int, bits: int, seed: int, probes: int = 0):
+    """Per vector and table, the sides of ``bits`` random planes as one number, and the same with the nearest sides changed.
+
+    The ``probes`` further numbers change the set of sides whose planes are, by
+    the sum of squared distances, nearest to the vector.
+    """
 
     def run(vectors: pa.Array) -> pa.Array:
         planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
         rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
-        sides = (rows @ planes >= 0).reshape(len(rows), tables, bits)
-        codes = (sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-        offsets = np.arange(0, len(rows) * tables + 1, tables, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1)))
+        away = (rows @ planes).reshape(len(rows), tables, bits)
+        weights = 1 << np.arange(bits)
+        codes = ((away >= 0) * weights).sum(axis=2)
+        found = [codes[:, :, None]]
+        if probes:
+            masks = np.arange(1, 1 << bits)
+            member = (masks[:, None] >> np.arange(bits) & 1).astype(np.float64)
+            cost = (away * away) @ member.T
+            nearest = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+            found.append(codes[:, :, None] ^ masks[nearest])
+        entries = np.concatenate(found, axis=2).reshape(len(rows), -1).astype(np.int32)
+        offsets = np.arange(0, entries.size + 1, max(1, entries.shape[1]), dtype=np.int32)[: len(rows) + 1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(entries.reshape(-1)))
 
     return run
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,15 +97,14 @@ def dimension_histogram(rows: DataFrame, output_col: str = "embedding") -> DataF
 
 
 def mean_vectors(rows: DataFrame, group: list[str], vector_col: str = "embedding") -> DataFrame:
-    """Component-wise mean per group, not normalised again; null vectors do not count.
+    """Component-wise mean per group, not normalised again; null and empty vectors do not count.
 
-    Sums are built per component with map-side combining, so a large group
-    never meets in one task; a component array has the vector's fixed length.
+    One running mean per group and task, so a large group never meets in one
+    task.  The vectors of a group have one dimension.
     """
-    parts = rows.where(F.col(vector_col).isNotNull()).select(*group, F.posexplode(vector_col).alias("i", "x"))
-    means = parts.groupBy(*group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return means.groupBy(*group).agg(ordered.alias(vector_col))
+    given = rows.where(F.size(vector_col) > 0).withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
+    means = given.groupBy(*group).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(*group, vector_to_array("_m").alias(vector_col))
 
 
 def merge_regulatory_clauses(clauses: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def merge_regulatory_clauses(clauses: DataFrame) -> DataFrame:
 
     clauses(version_id, clause_number, seq, section, title, text, page_number,
     page_end, metadata, ...).  Merged texts are joined in order, pages widen,
-    the last metadata wins as a whole (nulls included), all else is the first
+    the last metadata that is there wins as a whole, all else is the first
     row's.
     """
     key = ["version_id", "clause_number"]
@@ -126,7 +127,7 @@ def merge_regulatory_clauses(clauses: DataFrame) -> DataFrame:
             F.expr("listagg(nullif(trim(text), ''), ' ') WITHIN GROUP (ORDER BY seq)").alias("_joined"),
             F.min("page_number").alias("page_number"),
             F.max("page_end").alias("page_end"),
-            F.max_by("metadata", "seq").alias("metadata"),
+            F.max_by("metadata", F.when(F.col("metadata").isNotNull(), F.col("seq"))).alias("metadata"),
         )
         .withColumn("_single", F.col("_first.text"))
         .select(*key, "seq", *[f"_first.{c}" for c in rest], text.alias("text"), "page_number", "page_end", "metadata", "n_merged")

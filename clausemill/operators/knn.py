@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.operators.cells import SIMILARITY_DIGITS, cell_kernel, sign_kernel
+from clausemill.operators.cells import RANK_DIGITS, SIMILARITY_DIGITS, cell_kernel, sign_kernel
 
 BLOCK_ROWS = 8192  # a 1024-dimension block is 64 MiB of doubles
 MIN_CELL_ROWS = 256  # below this a cell is not worth a task
+#: Tables, planes and further buckets of the approximate join.
+TABLES, BITS, PROBES = 14, 6, 3
+MAX_BROADCAST_BUCKETS = 1 << 20
 MIN_SIDE_BLOCKS = 8  # a middle-sized side is still spread over this many blocks
 
 
@@ -35,12 +38,12 @@ def _block_count(rows: Column, block_rows: int) -> Column:
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    """Rank the cells' candidates; Spark limits every group to k before the shuffle."""
-    order = Window.partitionBy("left_id", "scope").orderBy(F.desc("similarity"), "right_id")
+    """Rank the cells' candidates by the raw similarity, then round it; Spark limits every group to k before the shuffle."""
+    order = Window.partitionBy("left_id", "scope").orderBy(F.desc(F.round("similarity", RANK_DIGITS)), "right_id")
     return (
-        hits.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
-        .withColumn("rank", F.row_number().over(order))
+        hits.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
+        .withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
     )
 
 
@@ -58,44 +61,92 @@ def _run_cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, thres
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, T.StructType(fields))
 
 
-def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sides(left: DataFrame, right: DataFrame, dim: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the rows whose vectors can be compared; ``search.check_dimensions`` gives the others."""
     if "scope" not in right.columns:
         right = right.withColumn("scope", F.lit(0))
+    size = F.size("vector")
+    fits = size == (right.where(size > 0).agg(F.mode(size, True)).scalar() if dim is None else F.lit(dim))
+    scope = ["scope"] if "scope" in left.columns else []
     return (
-        left.where(F.col("vector").isNotNull()).select("left_id", F.col("vector").alias("left_vector")),
-        right.where(F.col("vector").isNotNull()).select("right_id", "scope", F.col("vector").alias("right_vector")),
+        left.where(fits).select("left_id", *scope, F.col("vector").alias("left_vector")),
+        right.where(fits).select("right_id", "scope", F.col("vector").alias("right_vector")),
     )
 
 
+def _blocks(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _keyed_cells(left: DataFrame, right: DataFrame, key: list[str], block_rows: int, few_keys: bool) -> tuple[DataFrame, DataFrame]:
+    """Cells inside each value of ``key``: a value that holds many rows is cut into a grid by id like a whole table."""
+    count = _block_count(F.count(F.lit(1)), block_rows)
+    sizes = left.groupBy(*key).agg(count.alias("n_left")).join(right.groupBy(*key).agg(count.alias("n_right")), key)
+    sizes = F.broadcast(sizes) if few_keys else sizes
+    left_cells = (
+        left.join(sizes, key)
+        .withColumn("lb", F.pmod(F.xxhash64("left_id"), F.col("n_left")).cast("int"))
+        .withColumn("rb", _blocks(F.col("n_right")))
+        .drop("n_left", "n_right")
+    )
+    right_cells = (
+        right.join(sizes, key)
+        .withColumn("rb", F.pmod(F.xxhash64("right_id"), F.col("n_right")).cast("int"))
+        .withColumn("lb", _blocks(F.col("n_left")))
+        .drop("n_left", "n_right")
+    )
+    return left_cells, right_cells
+
+
 def knn_join_exact(
     left: DataFrame,
     right: DataFrame,
     k: int,
     *,
+    dim: int | None = None,
     threshold: float | None = None,
     block_rows: int = BLOCK_ROWS,
     skip_self: bool = False,
 ) -> DataFrame:
     """Top-k of right(right_id, vector[, scope]) for every left(left_id, vector) and scope.
 
-    Returns (left_id, scope, right_id, similarity, rank); similarity is rounded
-    to 4 decimals after the raw value passed ``threshold``, ties by right_id.
+    Returns (left_id, scope, right_id, similarity, rank).  Rank and
+    ``threshold`` go by the raw similarity, ties by right_id; the result shows
+    it rounded to 4 decimals.  Only vectors of dimension ``dim`` are compared,
+    by default the commonest of the right side.
     """
-    left, right = _sides(left, right)
+    left, right = _sides(left, right, dim)
     n_left = left.agg(_block_count(F.count(F.lit(1)), block_rows)).scalar()
     n_right = right.agg(_block_count(F.count(F.lit(1)), block_rows)).scalar()
+    left = left.drop("scope")
+    left_cells = left.withColumn("lb", F.pmod(F.xxhash64("left_id"), n_left).cast("int")).withColumn("rb", _blocks(n_right))
+    right_cells = right.withColumn("rb", F.pmod(F.xxhash64("right_id"), n_right).cast("int")).withColumn("lb", _blocks(n_left))
+    return _best(_run_cells(left_cells, right_cells, ["lb", "rb"], k, threshold, skip_self), k)
 
-    def blocks(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
 
-    left_cells = left.withColumn("lb", F.pmod(F.xxhash64("left_id"), n_left).cast("int")).withColumn("rb", blocks(n_right))
-    right_cells = right.withColumn("rb", F.pmod(F.xxhash64("right_id"), n_right).cast("int")).withColumn("lb", blocks(n_left))
-    return _best(_run_cells(left_cells, right_cells, ["lb", "rb"], k, threshold, skip_self), k)
+def knn_join_scoped(
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    *,
+    dim: int | None = None,
+    threshold: float | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Like ``knn_join_exact``, but left(left_id, scope, vector) meets the rows of its own scope only.
+
+    The scope is part of the cell's key, so work and output do not grow with
+    the number of scopes; a scope that holds most rows is cut into cells by id.
+    """
+    left, right = _sides(left, right, dim)
+    left_cells, right_cells = _keyed_cells(left, right, ["scope"], block_rows, few_keys=False)
+    left_cells, right_cells = (side.withColumn("_scope", F.col("scope")) for side in (left_cells, right_cells))
+    return _best(_run_cells(left_cells.drop("scope"), right_cells, ["_scope", "lb", "rb"], k, threshold, False), k)
 
 
-def sign_buckets(vector: Column, *, dim: int, tables: int, bits: int, seed: int) -> Column:
-    """array<int>: per table, the bucket given by the sides of ``bits`` random planes."""
-    return F.arrow_udf(sign_kernel(dim, tables, bits, seed), "array<int>")(vector)
+def sign_buckets(vector: Column, *, dim: int, tables: int, bits: int, seed: int, probes: int = 0) -> Column:
+    """array<int>: per table, the bucket given by the sides of ``bits`` random planes, then the ``probes`` next ones."""
+    return F.arrow_udf(sign_kernel(dim, tables, bits, seed, probes), "array<int>")(vector)
 
 
 def knn_join_approx(
@@ -105,48 +156,54 @@ def knn_join_approx(
     *,
     dim: int,
     threshold: float | None = None,
-    tables: int = 6,
-    bits: int = 4,
+    tables: int = TABLES,
+    bits: int = BITS,
+    probes: int = PROBES,
     seed: int = 7,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Like ``knn_join_exact`` but only vectors sharing a hash bucket are compared.
 
-    Similarities are exact; some partners may be missing.  A bucket of any
-    size - one may hold a third of all rows - is cut into grid cells by id, so
-    it costs many bounded tasks, not one large one.
+    Similarities are exact; some partners may be missing.  Each of ``tables``
+    cuts the space by ``bits`` random planes; a left vector looks into its own
+    bucket and the ``probes`` buckets beyond the planes it is nearest to.  More
+    tables and probes find more and compare more; ``comparisons`` counts.  A
+    bucket of any size is cut into grid cells by id, so it costs many bounded
+    tasks, not one large one.
     """
-    left, right = _sides(left, right)
-
-    def bucketed(side: DataFrame, vector: str) -> DataFrame:
-        hashed = side.withColumn("b", sign_buckets(F.col(vector), dim=dim, tables=tables, bits=bits, seed=seed))
-        return hashed.select(*side.columns, F.posexplode("b").alias("table", "bucket"))
-
-    left_b, right_b = bucketed(left, "left_vector"), bucketed(right, "right_vector")
+    left_b, right_b = _bucketed(left, right, dim, tables, bits, probes, seed)
+    # At most tables * 2**bits rows, whatever the data: safe to broadcast while that is small.
+    few = tables << bits <= MAX_BROADCAST_BUCKETS
     key = ["table", "bucket"]
-    # At most tables * 2**bits rows, whatever the data: safe to broadcast.
-    sizes = (
-        left_b.groupBy(*key).agg(_block_count(F.count(F.lit(1)), block_rows).alias("n_left"))
-        .join(right_b.groupBy(*key).agg(_block_count(F.count(F.lit(1)), block_rows).alias("n_right")), key)
-    )
-    sizes = F.broadcast(sizes)
-    left_cells = (
-        left_b.join(sizes, key)
-        .withColumn("lb", F.pmod(F.xxhash64("left_id"), F.col("n_left")).cast("int"))
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)))
-        .drop("n_left", "n_right")
-    )
-    right_cells = (
-        right_b.join(sizes, key)
-        .withColumn("rb", F.pmod(F.xxhash64("right_id"), F.col("n_right")).cast("int"))
-        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)))
-        .drop("n_left", "n_right")
-    )
+    left_cells, right_cells = _keyed_cells(left_b, right_b, key, block_rows, few)
     cells = _run_cells(left_cells, right_cells, [*key, "lb", "rb"], k, threshold, False)
     distinct = cells.groupBy("left_id", "scope", "right_id").agg(F.max("similarity").alias("similarity"))
     return _best(distinct, k)
 
 
+def _bucketed(left, right, dim, tables, bits, probes, seed) -> tuple[DataFrame, DataFrame]:
+    left, right = _sides(left, right, dim)
+
+    def entered(side: DataFrame, vector: str, beyond: int) -> DataFrame:
+        codes = sign_buckets(F.col(vector), dim=dim, tables=tables, bits=bits, probes=beyond, seed=seed)
+        entries = side.withColumn("b", codes).select(*side.columns, F.posexplode("b").alias("at", "bucket"))
+        return entries.withColumn("table", F.expr(f"cast(at div {beyond + 1} as int)")).drop("at")
+
+    return entered(left.drop("scope"), "left_vector", probes), entered(right, "right_vector", 0)
+
+
+def comparisons(
+    left: DataFrame, right: DataFrame, *, dim: int, tables: int = TABLES, bits: int = BITS, probes: int = PROBES, seed: int = 7
+) -> DataFrame:
+    """One row: the pairs that the approximate join compares, and those that the exact one does."""
+    left_b, right_b = _bucketed(left, right, dim, tables, bits, probes, seed)
+    key = ["table", "bucket"]
+    met = left_b.groupBy(*key).agg(F.count(F.lit(1)).alias("l")).join(right_b.groupBy(*key).agg(F.count(F.lit(1)).alias("r")), key)
+    left, right = _sides(left, right, dim)
+    pairs = left.agg(F.count(F.lit(1))).scalar() * right.agg(F.count(F.lit(1))).scalar()
+    return met.agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("compared")).withColumn("all_pairs", pairs)
+
+
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: exact pairs, how many of them the approximate join found, and the share."""
     pair = ["left_id", "scope", "right_id"]

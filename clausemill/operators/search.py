@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.vectors import cosine_similarity, has_dimension, literal_vector
-from clausemill.operators.knn import SIMILARITY_DIGITS, knn_join_exact
+from clausemill.operators.knn import RANK_DIGITS, SIMILARITY_DIGITS, knn_join_exact, knn_join_scoped
 
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 50
@@ -164,9 +164,9 @@ def search_topk(
     if min_similarity is not None:
         scored = scored.where(F.col("_sim") >= min_similarity)
     return (
-        scored.withColumn("similarity", F.round("_sim", SIMILARITY_DIGITS))
-        .orderBy(F.desc("similarity"), id_col)
+        scored.orderBy(F.desc(F.round("_sim", RANK_DIGITS)), id_col)
         .limit(limit)
+        .withColumn("similarity", F.round("_sim", SIMILARITY_DIGITS))
         .drop("_sim", vector_col)
     )
 
@@ -207,27 +207,37 @@ def search_org_policies(
 ) -> DataFrame:
     """queries(query_id, organization_id, vector): top-k over the query's own organisation.
 
-    Queries see the chunks of every organisation inside a grid cell, so the
-    scope is the organisation and each query keeps only its own.
+    Returns the hits with their chunk's and document's fields.  The
+    organisation is part of the cell's key, so a query meets the chunks of its
+    own organisation only, and a large organisation is still cut into cells.
     """
     limit = search_limit(top_k)
     check_threshold(min_similarity)
     scoped = searchable_chunks(chunks, documents)
     if document_id is not None:
         scoped = scoped.where(F.col("document_id") == F.lit(document_id))
-    left = queries.select(F.col("query_id").alias("left_id"), "vector")
+    left = queries.select(F.col("query_id").alias("left_id"), F.col("organization_id").alias("scope"), "vector")
     right = scoped.select(
         F.col("chunk_id").alias("right_id"), F.col("organization_id").alias("scope"), F.col("embedding").alias("vector")
     )
-    hits = knn_join_exact(left, right, limit, threshold=min_similarity)
-    own = queries.select(F.col("query_id").alias("left_id"), F.col("organization_id").alias("scope"))
-    return hits.join(own, ["left_id", "scope"], "left_semi").select(
+    hits = knn_join_scoped(left, right, limit, threshold=min_similarity).select(
         F.col("left_id").alias("query_id"),
         F.col("scope").alias("organization_id"),
         F.col("right_id").alias("chunk_id"),
         "similarity",
         "rank",
     )
+    return hits.join(chunk_fields(scoped), ["chunk_id", "organization_id"])
+
+
+#: What a hit tells of its chunk, where the chunks have it.
+CHUNK_FIELDS = (
+    "document_id", "document_name", "document_type", "document_version", "content", "section_title", "clause_reference", "chunk_index",
+)
+
+
+def chunk_fields(scoped: DataFrame) -> DataFrame:
+    return scoped.select("chunk_id", "organization_id", *[c for c in CHUNK_FIELDS if c in scoped.columns])
 
 
 def check_dimensions(rows: DataFrame, dim: int, vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -295,10 +305,10 @@ def payload_filter_search(
                 points = points.where(F.col(name) == item)
     return (
         _scored(points, query_vector, "vector")
+        .orderBy(F.desc(F.round("_sim", RANK_DIGITS)), "id")
+        .limit(top_k)
         .withColumn("score", F.round("_sim", SIMILARITY_DIGITS))
         .drop("vector", "_sim")
-        .orderBy(F.desc("score"), "id")
-        .limit(top_k)
     )
 
 
@@ -306,6 +316,8 @@ def top_similarity_debug(clauses: DataFrame, query_vector: list[float] | Column,
     """Unfiltered best clauses with distance, similarity and a 70-character preview."""
     return (
         _scored(clauses.where(F.col("embedding").isNotNull()), query_vector)
+        .orderBy(F.desc(F.round("_sim", RANK_DIGITS)), "clause_id")
+        .limit(limit)
         .select(
             "clause_id",
             F.substring("text", 1, 70).alias("text_preview"),
@@ -313,8 +325,6 @@ def top_similarity_debug(clauses: DataFrame, query_vector: list[float] | Column,
             F.round("_sim", SIMILARITY_DIGITS).alias("similarity"),
         )
         .withColumn("cosine_distance", F.round(1 - F.col("similarity"), SIMILARITY_DIGITS))
-        .orderBy(F.desc("similarity"), "clause_id")
-        .limit(limit)
     )
 
 

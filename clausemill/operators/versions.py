@@ -11,8 +11,10 @@ from clausemill.functions import metadata as md
 from clausemill.functions.text import strip
 
 PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "failed"
+EMPTY_DOCUMENT = "EMPTY_DOCUMENT"
 MAX_ERROR_CHARS = 2000
 MAX_TITLE_CHARS = 500
+MAX_TYPE_CHARS = 50
 
 
 def dedupe_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -23,20 +25,24 @@ def dedupe_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     document of this batch that carries the content) and ``outcome``: a
     completed version makes the row a 'duplicate', a version in any other
     state a 're-ingest', another row of the batch a 'duplicate_in_batch', all
-    else is 'new'.  The per-hash values come from a map-side aggregate, so a
-    hash shared by many rows shuffles as a few.
+    else is 'new'; a row without a hash has no content and is an
+    'EMPTY_DOCUMENT'.  Of several versions with a content a completed one
+    counts, then the lowest id.  The per-hash values come from a map-side
+    aggregate, so a hash shared by many rows shuffles as a few.
     """
+    completed_first = F.struct(F.coalesce(F.col("status") != COMPLETED, F.lit(True)).alias("open"), "version_id")
     known = existing.groupBy("content_hash").agg(
-        F.min_by(F.struct("version_id", "clause_count", "status"), "version_id").alias("_known")
+        F.min_by(F.struct("version_id", "clause_count", "status"), completed_first).alias("_known")
     )
-    first = incoming.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"))
+    first = incoming.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"))
     per_hash = first.join(known, "content_hash", "left")
-    return incoming.join(per_hash, "content_hash").select(
+    return incoming.join(per_hash, "content_hash", "left").select(
         *[F.col(c) for c in incoming.columns],
         F.col("_known.version_id").alias("existing_version_id"),
         F.when(F.col("_known.status") == COMPLETED, F.col("_known.clause_count")).alias("existing_clause_count"),
         "first_doc_id",
-        F.when(F.col("_known.status") == COMPLETED, F.lit("duplicate"))
+        F.when(F.col("content_hash").isNull(), F.lit(EMPTY_DOCUMENT))
+        .when(F.col("_known.status") == COMPLETED, F.lit("duplicate"))
         .when(F.col("doc_id") != F.col("first_doc_id"), F.lit("duplicate_in_batch"))
         .when(F.col("_known").isNotNull(), F.lit("re-ingest"))
         .otherwise(F.lit("new"))
@@ -50,15 +56,16 @@ def upload_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def regulation_key(regulator_code: Column, title: Column) -> Column:
-    return F.sha2(F.concat_ws("\u0001", regulator_code, F.substring(title, 1, MAX_TITLE_CHARS)), 256)
+    return F.sha2(F.concat_ws("\u0001", regulator_code, title), 256)
 
 
 def resolve_regulation(requests: DataFrame, regulations: DataFrame) -> DataFrame:
     """Find each request(regulator_code, title, document_type) or give it a new key.
 
-    Adds ``regulation_id`` (text) and ``created``; equal requests share a key.
+    Titles are compared whole; ``new_regulations`` cuts them for storage.  Adds
+    ``regulation_id`` (text) and ``created``; equal requests share a key.
     """
-    keyed = requests.withColumn("_title", F.substring("title", 1, MAX_TITLE_CHARS))
+    keyed = requests.withColumn("_title", F.col("title"))
     found = regulations.groupBy(F.col("regulator_code"), F.col("title").alias("_title")).agg(
         F.min("regulation_id").cast("string").alias("_found")
     )
@@ -69,14 +76,16 @@ def resolve_regulation(requests: DataFrame, regulations: DataFrame) -> DataFrame
     )
 
 
-def new_regulations(resolved: DataFrame) -> DataFrame:
-    """Rows to append: one per created key, type cut to 50 characters."""
+def new_regulations(
+    resolved: DataFrame, *, title_chars: int = MAX_TITLE_CHARS, type_chars: int = MAX_TYPE_CHARS
+) -> DataFrame:
+    """Rows to append, one per created key; title and type are cut to what the store holds."""
     return (
         resolved.where("created")
         .groupBy("regulation_id", "regulator_code")
         .agg(
-            F.min(F.substring("title", 1, MAX_TITLE_CHARS)).alias("title"),
-            F.min(F.substring("document_type", 1, 50)).alias("document_type"),
+            F.min(F.substring("title", 1, title_chars)).alias("title"),
+            F.min(F.substring("document_type", 1, type_chars)).alias("document_type"),
         )
     )
 
@@ -117,15 +126,15 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
     )
 
 
-def finish_jobs(results: DataFrame, jobs: DataFrame) -> DataFrame:
+def finish_jobs(results: DataFrame, jobs: DataFrame, *, error_chars: int = MAX_ERROR_CHARS) -> DataFrame:
     """Final state per version of results(version_id, clause_count, error).
 
     Failed when there is an error or nothing was persisted; the error text is
-    cut to 2000 characters and goes to the version and its latest job alike.
+    cut to ``error_chars`` characters, which the store holds, and goes to the version and its latest job alike.
     """
     nothing = F.lit("Pipeline reported success but no clauses were persisted to the database")
     error = F.substring(
-        F.coalesce("error", F.when(F.coalesce("clause_count", F.lit(0)) == 0, nothing)), 1, MAX_ERROR_CHARS
+        F.coalesce("error", F.when(F.coalesce("clause_count", F.lit(0)) == 0, nothing)), 1, error_chars
     )
     latest = latest_jobs(jobs).select(F.col("entity_id").alias("version_id"), "job_id")
     return results.join(latest, "version_id", "left").select(
@@ -182,7 +191,7 @@ def reject_empty(pages: DataFrame, clauses: DataFrame) -> DataFrame:
         F.bool_or(strip(F.coalesce("text", F.lit(""))) != "").alias("_filled"),
     )
     counts = clauses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"))
-    error = F.when(~F.col("_filled"), F.lit("EMPTY_DOCUMENT")).when(
+    error = F.when(~F.col("_filled"), F.lit(EMPTY_DOCUMENT)).when(
         F.coalesce("n_clauses", F.lit(0)) == 0, F.lit("CLAUSE_SPLITTING_FAILED")
     )
     return filled.join(counts, "doc_id", "left").select(

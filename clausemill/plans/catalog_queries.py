@@ -217,10 +217,11 @@ def cleanup_cascade(spark, folder):
 # ---------------------------------------------------------------- documents and jobs
 
 _HASHES = {
-    "incoming": "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 1",
+    "incoming": "SELECT doc_id, CASE WHEN doc_id % 23 <> 0 THEN sha256(text) END AS content_hash FROM documents",
     "existing": """
   SELECT doc_id AS version_id, sha256(text) AS content_hash, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status,
-    doc_id % 17 AS clause_count FROM documents WHERE doc_id % 2 = 0""",
+    doc_id % 17 AS clause_count FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id + 1000000, sha256(text), 'completed', 99 FROM documents WHERE doc_id % 6 = 0""",
 }
 
 
@@ -234,7 +235,12 @@ def _uploads(spark, folder):
         F.when(k % 3 == 0, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
         (k % 17).alias("clause_count"),
     )
-    return hashed.where(k % 2 == 1), existing
+    # A failed version whose content was completed later under a higher id.
+    later = hashed.where(k % 6 == 0).select(
+        (k + 1_000_000).alias("version_id"), "content_hash", F.lit("completed").alias("status"), F.lit(99).cast("long").alias("clause_count")
+    )
+    incoming = hashed.withColumn("content_hash", F.when(k % 23 != 0, F.col("content_hash")))
+    return incoming, existing.unionByName(later)
 
 
 @query(
@@ -243,12 +249,12 @@ def _uploads(spark, folder):
         {
             **_HASHES,
             "known": """
-  SELECT content_hash, min(version_id) AS existing_version_id, arg_min(status, version_id) AS status,
-    arg_min(clause_count, version_id) AS clause_count FROM existing GROUP BY 1""",
+  SELECT DISTINCT ON (content_hash) content_hash, version_id AS existing_version_id, status, clause_count
+  FROM existing ORDER BY content_hash, status <> 'completed', version_id""",
         },
         """SELECT i.doc_id, i.content_hash, k.existing_version_id, CASE WHEN k.status = 'completed' THEN k.clause_count END AS existing_clause_count,
-  min(i.doc_id) OVER (PARTITION BY i.content_hash) AS first_doc_id,
-  CASE WHEN k.status = 'completed' THEN 'duplicate' WHEN i.doc_id <> min(i.doc_id) OVER (PARTITION BY i.content_hash) THEN 'duplicate_in_batch'
+  CASE WHEN i.content_hash IS NOT NULL THEN min(i.doc_id) OVER (PARTITION BY i.content_hash) END AS first_doc_id,
+  CASE WHEN i.content_hash IS NULL THEN 'EMPTY_DOCUMENT' WHEN k.status = 'completed' THEN 'duplicate' WHEN i.doc_id <> min(i.doc_id) OVER (PARTITION BY i.content_hash) THEN 'duplicate_in_batch'
        WHEN k.content_hash IS NOT NULL THEN 're-ingest' ELSE 'new' END AS outcome
 FROM incoming i LEFT JOIN known k ON k.content_hash = i.content_hash""",
     ),
@@ -272,9 +278,9 @@ _TITLES = {
     CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'Title ' || (c_custkey % 40) || repeat('x', 600) END AS title, 'CIRCULAR' AS document_type
   FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "resolved": """
-  SELECT q.*, coalesce(CAST(r.regulation_id AS VARCHAR), sha256(q.regulator_code || chr(1) || q.title[1:500])) AS regulation_id,
+  SELECT q.*, coalesce(CAST(r.regulation_id AS VARCHAR), sha256(q.regulator_code || chr(1) || q.title)) AS regulation_id,
     r.regulation_id IS NULL AS created
-  FROM requests q LEFT JOIN regulations r ON r.regulator_code = q.regulator_code AND r.title = q.title[1:500]""",
+  FROM requests q LEFT JOIN regulations r ON r.regulator_code = q.regulator_code AND r.title = q.title""",
 }
 
 

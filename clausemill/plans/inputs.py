@@ -488,7 +488,7 @@ MATCHES = {
     "match_hits": f"""
   SELECT * FROM (
     SELECT organization_id, clause_id, chunk_id, round(s, 4) AS similarity,
-      CAST(row_number() OVER (PARTITION BY organization_id, clause_id ORDER BY round(s, 4) DESC, chunk_id) AS INTEGER) AS rank
+      CAST(row_number() OVER (PARTITION BY organization_id, clause_id ORDER BY round(s, 12) DESC, chunk_id) AS INTEGER) AS rank
     FROM pair_sims WHERE s >= {POLICY_THRESHOLD}) r
   WHERE rank <= 5""",
 }

@@ -73,7 +73,7 @@ DOC_MATCHES = {
     CASE WHEN matching_score >= {CUT} THEN 88.0::DOUBLE ELSE 60.0::DOUBLE END AS compliance_score,
     CASE WHEN matching_score >= {CUT} THEN 'COMPLIANT' ELSE 'PARTIALLY_COMPLIANT' END AS status
   FROM (SELECT k.chunk_id, k.organization_id, k.document_id, c.clause_id, round({inp.sql_cosine('c.embedding', 'k.embedding')}, 4) AS matching_score,
-      CAST(row_number() OVER (PARTITION BY k.chunk_id ORDER BY round({inp.sql_cosine('c.embedding', 'k.embedding')}, 4) DESC, c.clause_id) AS INTEGER) AS rank
+      CAST(row_number() OVER (PARTITION BY k.chunk_id ORDER BY round({inp.sql_cosine('c.embedding', 'k.embedding')}, 12) DESC, c.clause_id) AS INTEGER) AS rank
     FROM org_chunks k, reg_clauses c)
   WHERE rank <= 5""",
 }

@@ -56,7 +56,7 @@ def _search_query(name: str, filters: search.Filters, where: str, k: int = 20, f
     sql = with_ctes(
         SEARCH,
         f"SELECT {_HIT}, round({_SIM}, 4) AS similarity FROM catalog_rows WHERE {where}{extra} "
-        f"ORDER BY similarity DESC, clause_id LIMIT {k}",
+        f"ORDER BY round({_SIM}, 12) DESC, clause_id LIMIT {k}",
     )
 
     @query(name, sql)
@@ -98,7 +98,7 @@ def cosine(spark, folder):
         SEARCH,
         f"""SELECT query_id, clause_id, similarity, rank FROM (
   SELECT q.vec_id AS query_id, c.clause_id, round({inp.sql_cosine('c.embedding', 'q.v')}, 4) AS similarity,
-    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('c.embedding', 'q.v')}, 4) DESC, c.clause_id) AS INTEGER) AS rank
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('c.embedding', 'q.v')}, 12) DESC, c.clause_id) AS INTEGER) AS rank
   FROM catalog_rows c, (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 1) q) r
 WHERE rank <= 5""",
     ),
@@ -134,9 +134,10 @@ def search_param_validation(spark, folder):
     "search_org_policies",
     with_ctes(
         inp.ORG,
-        f"""SELECT query_id, organization_id, chunk_id, similarity, rank FROM (
-  SELECT q.vec_id AS query_id, k.organization_id, k.chunk_id, round({inp.sql_cosine('k.embedding', 'q.v')}, 4) AS similarity,
-    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('k.embedding', 'q.v')}, 4) DESC, k.chunk_id) AS INTEGER) AS rank
+        f"""SELECT * FROM (
+  SELECT q.vec_id AS query_id, k.organization_id, k.chunk_id, k.document_id, d.document_name, d.document_type, d.version AS document_version,
+    k.content, k.section_title, k.clause_reference, k.chunk_index, round({inp.sql_cosine('k.embedding', 'q.v')}, 4) AS similarity,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('k.embedding', 'q.v')}, 12) DESC, k.chunk_id) AS INTEGER) AS rank
   FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 0) q
   JOIN org_chunks k ON k.organization_id = q.label
   JOIN org_documents d ON d.document_id = k.document_id AND d.organization_id = k.organization_id AND d.status = 'processed') r
@@ -178,7 +179,7 @@ def _even_odd(spark, folder):
 
 _KNN_SQL = f"""SELECT left_id, right_id, similarity, rank FROM (
   SELECT l.vec_id AS left_id, r.vec_id AS right_id, round({inp.sql_cosine('l.v', 'r.v')}, 4) AS similarity,
-    CAST(row_number() OVER (PARTITION BY l.vec_id ORDER BY round({inp.sql_cosine('l.v', 'r.v')}, 4) DESC, r.vec_id) AS INTEGER) AS rank
+    CAST(row_number() OVER (PARTITION BY l.vec_id ORDER BY round({inp.sql_cosine('l.v', 'r.v')}, 12) DESC, r.vec_id) AS INTEGER) AS rank
   FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 0) l,
        (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 1) r) p
 WHERE rank <= 10"""
@@ -200,7 +201,8 @@ def knn_join_approx(spark, folder):
 def knn_join_recall(spark, folder):
     left, right = _even_odd(spark, folder)
     approx = knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD)
-    return knn.recall(approx, knn.knn_join_exact(left, right, 10, threshold=inp.POLICY_THRESHOLD))
+    found = knn.recall(approx, knn.knn_join_exact(left, right, 10, threshold=inp.POLICY_THRESHOLD))
+    return found.join(F.broadcast(knn.comparisons(left, right, dim=DIM)), F.lit(True))  # one row each
 
 
 def _points(spark, folder):
@@ -223,7 +225,7 @@ _POINTS = {
 def _payload(where: str) -> str:
     return with_ctes(
         _POINTS,
-        f"SELECT id, label, regulator, round({_SIM}, 4) AS score FROM points WHERE {where} ORDER BY score DESC, id LIMIT 10",
+        f"SELECT id, label, regulator, round({_SIM}, 4) AS score FROM points WHERE {where} ORDER BY round({_SIM}, 12) DESC, id LIMIT 10",
     )
 
 
@@ -246,7 +248,7 @@ def payload_filter_search_any(spark, folder):
     with_ctes(
         inp.REG_CLAUSES,
         f"""SELECT clause_id, text[1:70] AS text_preview, coalesce(m_document_name, 'unknown') AS doc_name, round({_SIM}, 4) AS similarity,
-  round(1 - round({_SIM}, 4), 4) AS cosine_distance FROM reg_clauses ORDER BY similarity DESC, clause_id LIMIT 10""",
+  round(1 - round({_SIM}, 4), 4) AS cosine_distance FROM reg_clauses ORDER BY round({_SIM}, 12) DESC, clause_id LIMIT 10""",
     ),
 )
 def top10_similarity_debug(spark, folder):

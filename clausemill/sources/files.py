@@ -14,27 +14,40 @@ DEFAULT_REGULATOR = "RBI"
 DEFAULT_SOURCE_TYPE = "regulatory_document"
 
 
-def read_files(spark: SparkSession, path: str, announced: DataFrame | None = None) -> DataFrame:
-    """(filename, content, length) of the files below a folder.
-
-    Spark's file index passes over empty files.  With ``announced(filename)``,
-    a table of the uploads that should be there, such files and missing ones
-    appear with null content.
+def read_files(
+    spark: SparkSession, path: str, announced: DataFrame | None = None, *, max_bytes: int = MAX_UPLOAD_BYTES
+) -> DataFrame:
+    """(filename, content, length) of the files below a folder; names are relative to it.
+
+    The content of files above ``max_bytes`` is not loaded.  Spark's file index
+    passes over empty files: with ``announced(filename[, length])``, a table of
+    the uploads that should be there, such files appear with their announced
+    length (0) and missing ones with null.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "length"
-    )
-    return found if announced is None else announced.select("filename").join(found, "filename", "left")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substr("path", F.lit(len(root.rstrip("/")) + 2)).alias("filename")
+    fitting = found.where(F.col("length") <= max_bytes).select(name, "content", "length")
+    others = found.where(F.col("length") > max_bytes).select(name, F.lit(None).cast("binary").alias("content"), "length")
+    found = fitting.unionByName(others)
+    if announced is None:
+        return found
+    said = "_said" if "length" in announced.columns else None
+    wanted = announced.select("filename", *([F.col("length").alias(said)] if said else []))
+    length = F.coalesce("length", said) if said else F.col("length")
+    return wanted.join(found, "filename", "left").select("filename", "content", length.alias("length"))
 
 
 def upload_error(filename: Column, content: Column, length: Column, *, max_bytes: int = MAX_UPLOAD_BYTES) -> Column:
-    """The first failed check of an upload, or null."""
+    """The first failed check of an upload, or null; a missing file has neither content nor length."""
+    # The messages.
     return (
-        F.when(content.isNull(), F.concat(F.lit("PDF file not found: '"), filename, F.lit("'")))
+        F.when(content.isNull() & length.isNull(), F.concat(F.lit("PDF file not found: '"), filename, F.lit("'")))
         .when(~F.endswith(F.lower(filename), F.lit(".pdf")), F.lit("Unsupported file type. Only PDF uploads are accepted."))
         .when(length == 0, F.lit("Uploaded file is empty"))
         .when(length > max_bytes, F.lit(f"Uploaded file exceeds the maximum size of {max_bytes} bytes"))
-        .when(F.hex(F.substring(content, 1, 4)) != "25504446", F.lit("Uploaded file is not a valid PDF"))
+        .when(content.isNull() | (F.hex(F.substring(content, 1, 4)) != "25504446"), F.lit("Uploaded file is not a valid PDF"))
     )
 
 

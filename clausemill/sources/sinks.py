@@ -17,14 +17,27 @@ def write_clause_json(records: DataFrame, path: str) -> None:
     records.select(*CLAUSE_RECORD).write.mode("overwrite").partitionBy("filename").json(path)
 
 
-def replace_version_clauses(clauses: DataFrame, path: str) -> None:
-    """Replace all clauses of the versions in the batch, leave other versions alone."""
+def replace_version_clauses(clauses: DataFrame, path: str, versions: DataFrame | None = None) -> None:
+    """Replace all clauses of the versions in the batch, leave other versions alone.
+
+    ``versions`` (version_id) names the batch's versions: those without any
+    clause now lose the clauses they had.  Their folders are dropped one by
+    one, after the new ones were written; a repeated run does the same again.
+    """
     (
         clauses.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("version_id")
         .parquet(path)
     )
+    if versions is None:
+        return
+    spark = clauses.sparkSession
+    emptied = versions.select("version_id").distinct().join(clauses.select("version_id").distinct(), "version_id", "left_anti")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for row in emptied.where(F.col("version_id").isNotNull()).toLocalIterator():
+        files.delete(jvm.Path(path, f"version_id={row.version_id}"), True)
 
 
 def unique_chunks(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:

@@ -10,33 +10,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clausemill.operators import clauses as cl
 from clausemill.operators import clean
-from clausemill.operators.versions import COMPLETED, FAILED, dedupe_documents, reject_empty
+from clausemill.operators.versions import COMPLETED, EMPTY_DOCUMENT, FAILED, dedupe_documents, reject_empty
 
 VERSIONS_TYPE = "version_id long, content_hash string, status string, error_code string, clause_count long"
 
 
 def _ingest_batch(batch: DataFrame, batch_id: int, pages_of: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Write ``clauses/batch=N`` and ``versions/batch=N``.
+    """Write ``marked``, ``pages``, ``clauses`` and ``versions``, each below ``batch=N``.
 
     Earlier batches are the known content; a repeated batch reads the same
     ones and overwrites its own folders, so a retry changes nothing.  A
     document that cannot be split becomes a failed version, not a failed job.
     """
     spark = batch.sparkSession
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        """Written to the batch's folder once and read from there, so that later steps do not compute it again."""
+        folder = f"{path}/{name}/batch={batch_id}"
+        frame.write.mode("overwrite").parquet(folder)
+        return spark.read.schema(frame.schema).parquet(folder)
+
     known = (
         spark.read.schema(VERSIONS_TYPE + ", batch long").parquet(f"{path}/versions").where(F.col("batch") < batch_id)
     )
-    marked = dedupe_documents(batch, known).where(F.col("outcome").isin("new", "re-ingest"))
-    fresh_ids = marked.select("doc_id", "content_hash")
-    pages = pages_of(batch.join(fresh_ids.select("doc_id"), "doc_id", "left_semi"))
-    cl.split_clauses(clean.clean_pages(pages)).write.mode("overwrite").parquet(f"{path}/clauses/batch={batch_id}")
-    written = spark.read.parquet(f"{path}/clauses/batch={batch_id}").select("doc_id")
-    checked = reject_empty(pages, written)
-    versions = fresh_ids.join(checked, "doc_id", "left").select(
+    marked = kept(dedupe_documents(batch, known), "marked")
+    fresh = marked.where(F.col("outcome").isin("new", "re-ingest"))
+    pages = kept(pages_of(fresh.select(*batch.columns)), "pages")
+    clauses = kept(cl.split_clauses(clean.clean_pages(pages)), "clauses")
+    checked = reject_empty(pages, clauses.select("doc_id"))
+    taken = marked.where(F.col("outcome").isin("new", "re-ingest", EMPTY_DOCUMENT)).select("doc_id", "content_hash")
+    versions = taken.join(checked, "doc_id", "left").select(
         F.col("doc_id").alias("version_id"),
         "content_hash",
         F.when(F.col("status") == "ok", F.lit(COMPLETED)).otherwise(F.lit(FAILED)).alias("status"),
-        F.when(F.col("status").isNull(), F.lit("EMPTY_DOCUMENT")).otherwise(F.col("error_code")).alias("error_code"),
+        F.when(F.col("status").isNull(), F.lit(EMPTY_DOCUMENT)).otherwise(F.col("error_code")).alias("error_code"),
         F.coalesce("n_clauses", F.lit(0)).cast("long").alias("clause_count"),
     )
     versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")

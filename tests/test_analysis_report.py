@@ -104,10 +104,11 @@ def test_pages_out_of_range():
 
 
 def test_duplicates_of_a_batch_and_of_the_store(spark):
-    incoming = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")], "doc_id long, content_hash string")
-    known = spark.createDataFrame([(90, "b", "completed", 7), (91, "c", "failed", 0)], "version_id long, content_hash string, status string, clause_count long")
+    incoming = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d"), (6, None), (7, None), (8, "e")], "doc_id long, content_hash string")
+    known = spark.createDataFrame([(90, "b", "completed", 7), (91, "c", "failed", 0), (10, "e", "failed", 0), (11, "e", "completed", 4)], "version_id long, content_hash string, status string, clause_count long")
     got = {r.doc_id: (r.outcome, r.existing_clause_count) for r in versions.dedupe_documents(incoming, known).collect()}
-    assert got == {1: ("new", None), 2: ("duplicate_in_batch", None), 3: ("duplicate", 7), 4: ("re-ingest", None), 5: ("new", None)}
+    assert got == {1: ("new", None), 2: ("duplicate_in_batch", None), 3: ("duplicate", 7), 4: ("re-ingest", None), 5: ("new", None),
+                   6: ("EMPTY_DOCUMENT", None), 7: ("EMPTY_DOCUMENT", None), 8: ("duplicate", 4)}
 
 
 def test_whole_ingest(spark):

@@ -160,3 +160,36 @@ def test_retrieval_metrics(spark):
     assert got == {1: (False, True, True, 0.5, "other"), 2: (False, False, False, 0.0, "abc"), 3: (False, False, False, 0.0, "")}
     empty = evaluate.retrieval_summary(evaluate.evaluate_cases(results, cases.limit(0))).first()
     assert tuple(empty) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_rank_goes_by_the_unrounded_similarity(spark):
+    near = [1.0, 0.0], [1.0, 0.009], [0.0, 1.0]
+    rows = spark.createDataFrame([(2, near[0]), (1, near[1]), (3, near[2])], "right_id long, vector array<float>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "left_id long, vector array<float>")
+    assert [(r.right_id, r.similarity) for r in knn.knn_join_exact(asked, rows, 1).collect()] == [(2, 1.0)]
+    catalog = rows.withColumnsRenamed({"right_id": "clause_id", "vector": "embedding"})
+    assert [r.clause_id for r in search.search_topk(catalog, [1.0, 0.0], top_k=2).collect()] == [2, 1]
+
+
+def test_vectors_of_another_dimension_are_left_out(spark):
+    rows = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0, 0.0]), (2, []), (3, [0.0, 1.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0, 0.0]), (5, None), (6, [1.0])], "id long, vector array<float>"
+    )
+    right, left = rows.withColumnRenamed("id", "right_id"), rows.withColumnRenamed("id", "left_id")
+    got = knn.knn_join_exact(left, right, 1).collect()
+    assert sorted((r.left_id, r.right_id, r.similarity) for r in got) == [(1, 1, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+    got = knn.knn_join_approx(left, right, 1, dim=4).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == [(1, 1), (3, 3), (4, 4)]
+
+
+def test_a_query_meets_its_own_scope_only(spark):
+    import random
+
+    rng = random.Random(6)
+    vectors = lambda n: [(i, i % 3 and i % 5, [rng.gauss(0, 1) for _ in range(6)]) for i in range(n)]
+    left = spark.createDataFrame(vectors(60), "left_id long, scope long, vector array<double>")
+    right = spark.createDataFrame(vectors(150), "right_id long, scope long, vector array<double>")
+    got = knn.knn_join_scoped(left, right, 4, block_rows=7)
+    want = knn.knn_join_exact(left.drop("scope"), right, 4).join(left.select("left_id", "scope"), ["left_id", "scope"], "left_semi")
+    key = lambda frame: sorted(tuple(r) for r in frame.select("left_id", "scope", "right_id", "similarity", "rank").collect())
+    assert key(got) == key(want) and len(key(got)) == 240

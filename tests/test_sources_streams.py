@@ -15,12 +15,18 @@ def test_upload_checks_on_real_files(spark, tmp_path):
     (tmp_path / "note.txt").write_bytes(b"%PDF")
     (tmp_path / "long.pdf").write_bytes(b"%PDF" + b"x" * 100)
     (tmp_path / "empty.pdf").write_bytes(b"")
-    announced = spark.createDataFrame([(p.name,) for p in tmp_path.iterdir()], "filename string")
-    rows = files.read_files(spark, str(tmp_path), announced)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "bad.pdf").write_bytes(b"%PDF of the same name")
+    names = [p for p in tmp_path.rglob("*") if p.is_file()]
+    announced = spark.createDataFrame([(str(p.relative_to(tmp_path)), p.stat().st_size) for p in names], "filename string, length long")
+    announced = announced.union(spark.createDataFrame([("gone.pdf", None)], announced.schema))
+    rows = files.read_files(spark, str(tmp_path), announced, max_bytes=50)
+    assert rows.count() == len(names) + 1 and rows.where("length > 50 and content is not null").isEmpty()
     got = {r.filename: r.error for r in files.validate_uploads(rows, max_bytes=50).collect()}
     assert got == {
         "good.PDF": None, "bad.pdf": "Uploaded file is not a valid PDF", "note.txt": "Unsupported file type. Only PDF uploads are accepted.",
-        "long.pdf": "Uploaded file exceeds the maximum size of 50 bytes", "empty.pdf": "PDF file not found: 'empty.pdf'",
+        "long.pdf": "Uploaded file exceeds the maximum size of 50 bytes", "empty.pdf": "Uploaded file is empty",
+        "gone.pdf": "PDF file not found: 'gone.pdf'", "more/bad.pdf": None,
     }
 
 
@@ -42,6 +48,10 @@ def test_replacing_a_version_leaves_the_others(spark):
     sinks.replace_version_clauses(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "version_id long, text string"), path)
     sinks.replace_version_clauses(spark.createDataFrame([(1, "z")], "version_id long, text string"), path)
     assert sorted((r.version_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
+    none, batch = spark.createDataFrame([], "version_id long, text string"), spark.createDataFrame([(1,), (3,)], "version_id long")
+    for _ in range(2):
+        sinks.replace_version_clauses(none, path, batch)
+        assert [(r.version_id, r.text) for r in spark.read.parquet(path).collect()] == [(2, "c")]
 
 
 def test_upsert_replaces_whole_points(spark):
@@ -68,8 +78,8 @@ def test_ingest_takes_every_content_once_over_several_runs(spark, tmp_path):
 
     first = run((1, "1. Keep the records"), (2, "1. Keep the records"), (3, " "), (4, "short"))
     assert first == {1: ("completed", None, 1), 3: ("failed", "EMPTY_DOCUMENT", 0), 4: ("failed", "CLAUSE_SPLITTING_FAILED", 0)}
-    second = run((5, "1. Keep the records"), (6, "2. Review them\n(a) every year"))
-    assert second == {**first, 6: ("completed", None, 2)}
+    second = run((5, "1. Keep the records"), (6, "2. Review them\n(a) every year"), (7, None))
+    assert second == {**first, 6: ("completed", None, 2), 7: ("failed", "EMPTY_DOCUMENT", 0)}
 
 
 def test_status_stream_equals_the_batch_result(spark, tmp_path):
