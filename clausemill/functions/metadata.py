@@ -6,16 +6,33 @@ matches anywhere, not the leftmost match in the text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 
-SCAN_CHARS = 5000
-TYPE_SCAN_CHARS = 2000
-PUBLICATION_SCAN_CHARS = 8000
 DEFAULT_REGULATOR = "RBI"
 
+
+@dataclass(frozen=True)
+class Windows:
+    """How many characters from the start each field is looked for in, and how many lines and characters a name has; None: all."""
+
+    regulator: int | None = None
+    document_type: int | None = None
+    publication_date: int | None = None
+    version: int | None = None
+    section: int | None = None
+    name_lines: int | None = None
+    name_chars: int | None = None
+
+
+WHOLE = Windows()
+# The windows of an extraction that reads only the head of a text.
+HEAD = Windows(5000, 2000, 8000, 5000, 5000, 15, 200)
+
 # How each regulator is recognised, in priority order.
 REGULATOR_PATTERNS = {
     "RBI": r"\bReserve\s+Bank\s+of\s+India\b|\bRBI\b",
@@ -61,6 +78,7 @@ ABBREVIATION_STOP_WORDS = (
     "direction", "directions", "master", "circular", "rbi",
 )
 
+# The patterns of dates, versions and sections.
 # [0-9] instead of \\d: the class is tried at every character of whole documents.
 MONTH_DATE = rf"(?i)([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({'|'.join(MONTHS)}),?\s+([0-9]{{4}})"
 ISO_DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
@@ -89,9 +107,13 @@ def _first_pattern(text: Column, patterns: dict[str, str]) -> Column:
     return tx.bind(text, first)
 
 
-def regulator(text: Column, filename: Column) -> Column:
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def regulator(text: Column, filename: Column, *, chars: int | None = None) -> Column:
     return F.coalesce(
-        _first_pattern(F.substring(text, 1, SCAN_CHARS), REGULATOR_PATTERNS),
+        _first_pattern(_head(text, chars), REGULATOR_PATTERNS),
         _first_pattern(filename, REGULATOR_PATTERNS),
     )
 
@@ -106,15 +128,14 @@ def jurisdiction(code: Column) -> Column:
     return tx.bind(code, place_of)
 
 
-def document_type(text: Column, filename: Column) -> Column:
-    return _first_pattern(
-        F.concat(F.substring(text, 1, TYPE_SCAN_CHARS), F.lit(" "), filename), TYPE_PATTERNS
-    )
+def document_type(text: Column, filename: Column, *, chars: int | None = None) -> Column:
+    return _first_pattern(F.concat(_head(text, chars), F.lit(" "), filename), TYPE_PATTERNS)
 
 
-def document_name(text: Column, filename: Column) -> Column:
-    """First telling line among the first 15 non-blank ones, else the file's title-cased stem."""
-    lines = F.slice(F.filter(F.transform(tx.split_lines(text), tx.strip), lambda line: line != ""), 1, 15)
+def document_name(text: Column, filename: Column, *, lines: int | None = None, chars: int | None = None) -> Column:
+    """First telling line among the (first ``lines``) non-blank ones, else the file's title-cased stem."""
+    most, lines = lines, F.filter(F.transform(tx.split_lines(text), tx.strip), lambda line: line != "")
+    lines = lines if most is None else F.slice(lines, 1, most)
     telling = F.filter(
         lines,
         # The cheap test first: it settles most lines without the search for words.
@@ -122,42 +143,47 @@ def document_name(text: Column, filename: Column) -> Column:
         | line.rlike("(?iU-u)" + NAME_WORDS),
     )
     stem = tx.title_case(F.translate(tx.file_stem(filename), "_-", "  "))
-    return _blank_to_null(F.coalesce(F.substring(F.get(telling, F.lit(0)), 1, 200), stem))
+    return _blank_to_null(F.coalesce(_head(F.get(telling, F.lit(0)), chars), stem))
 
 
 def first_date(text: Column) -> Column:
     """'yyyy-mm-dd' of the first month-name date, else ISO date, else day-first date; unchecked."""
 
-    def part(pattern: str, index: int) -> Column:
-        return F.regexp_extract(text, pattern, index)
-
     months = F.array(*[F.lit(m) for m in MONTHS])
-    month = F.array_position(months, F.lower(part(MONTH_DATE, 2))).cast("string")
-    named = F.concat_ws("-", part(MONTH_DATE, 3), F.lpad(month, 2, "0"), F.lpad(part(MONTH_DATE, 1), 2, "0"))
-    day_first = F.concat_ws("-", part(DAY_FIRST_DATE, 3), part(DAY_FIRST_DATE, 2), part(DAY_FIRST_DATE, 1))
-    return (
-        F.when(text.rlike(MONTH_DATE), named)
-        .when(text.rlike(ISO_DATE), part(ISO_DATE, 0))
-        .when(text.rlike(DAY_FIRST_DATE), day_first)
+
+    # Each pattern goes over the text once; day, month and year come from the short match.
+    def month_named(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, MONTH_DATE, i)
+        month = F.array_position(months, F.lower(part(2))).cast("string")
+        return F.when(found.isNotNull(), F.concat_ws("-", part(3), F.lpad(month, 2, "0"), F.lpad(part(1), 2, "0")))
+
+    def day_first(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, DAY_FIRST_DATE, i)
+        return F.when(found.isNotNull(), F.concat_ws("-", part(3), part(2), part(1)))
+
+    return F.coalesce(
+        tx.bind(F.regexp_substr(text, F.lit(MONTH_DATE)), month_named),
+        F.regexp_substr(text, F.lit(ISO_DATE)),
+        tx.bind(F.regexp_substr(text, F.lit(DAY_FIRST_DATE)), day_first),
     )
 
 
-def publication_date(text: Column) -> Column:
-    raw = tx.strip(F.regexp_extract(F.substring(text, 1, PUBLICATION_SCAN_CHARS), PUBLICATION, 1))
+def publication_date(text: Column, *, chars: int | None = None) -> Column:
+    raw = tx.strip(F.regexp_extract(_head(text, chars), PUBLICATION, 1))
     iso = "^" + ISO_DATE
     return tx.bind(raw, lambda found: F.when(found.rlike(iso), found).otherwise(first_date(found)))
 
 
-def version(text: Column, filename: Column) -> Column:
+def version(text: Column, filename: Column, *, chars: int | None = None) -> Column:
     return F.coalesce(
-        _blank_to_null(F.regexp_extract(F.substring(text, 1, SCAN_CHARS), VERSION, 1)),
+        _blank_to_null(F.regexp_extract(_head(text, chars), VERSION, 1)),
         _blank_to_null(F.regexp_extract(filename, FILE_VERSION, 1)),
     )
 
 
-def section(text: Column) -> Column:
+def section(text: Column, *, chars: int | None = None) -> Column:
     """'prefix — title'; the prefix is the whole match up to its first colon."""
-    scan = F.substring(text, 1, SCAN_CHARS)
+    scan = _head(text, chars)
 
     def named(match: Column) -> Column:
         title = tx.strip(F.regexp_extract(match, SECTION, 2))
@@ -171,19 +197,21 @@ def parse_date(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd"))
 
 
-def document_metadata(text: Column, filename: Column, total_pages: Column | None = None) -> Column:
+def document_metadata(
+    text: Column, filename: Column, total_pages: Column | None = None, *, windows: Windows = WHOLE
+) -> Column:
     """The 12-field document struct, blanks as null."""
-    code = regulator(text, filename)
+    code = regulator(text, filename, chars=windows.regulator)
     nothing = F.lit(None).cast("string")
     return F.struct(
-        document_name(text, filename).alias("document_name"),
-        document_type(text, filename).alias("document_type"),
+        document_name(text, filename, lines=windows.name_lines, chars=windows.name_chars).alias("document_name"),
+        document_type(text, filename, chars=windows.document_type).alias("document_type"),
         code.alias("regulator"),
         jurisdiction(code).alias("jurisdiction"),
         first_date(text).alias("effective_date"),
-        publication_date(text).alias("publication_date"),
-        version(text, filename).alias("version"),
-        section(text).alias("section"),
+        publication_date(text, chars=windows.publication_date).alias("publication_date"),
+        version(text, filename, chars=windows.version).alias("version"),
+        section(text, chars=windows.section).alias("section"),
         nothing.alias("subsection"),
         filename.alias("source"),
         filename.alias("filename"),

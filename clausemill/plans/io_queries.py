@@ -102,7 +102,7 @@ def src_manifest(spark, folder):
 def _records(spark, folder):
     """One record per regulation text, in the layout of the clause files."""
     texts = inp.regulation_texts(spark, folder)
-    meta = texts.select("doc_id", "filename", "text", md.document_metadata(F.col("text"), F.col("filename")).alias("m"))
+    meta = texts.select("doc_id", "filename", "text", md.document_metadata(F.col("text"), F.col("filename"), windows=md.HEAD).alias("m"))
     number = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".1"))
     return meta.select(
         md.readable_clause_id(F.col("m.regulator"), F.col("m.document_name"), number).alias("id"),

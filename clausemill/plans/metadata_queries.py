@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from clausemill.functions import metadata as md
@@ -77,14 +79,25 @@ def _extract(name: str, spark_expr, sql_expr: str) -> None:
         )
 
 
-_extract("meta_regulator", md.regulator, SQL_REGULATOR)
-_extract("meta_jurisdiction", lambda t, f: md.jurisdiction(md.regulator(t, f)), SQL_JURISDICTION)
-_extract("meta_doc_type", md.document_type, SQL_TYPE)
-_extract("meta_document_name", md.document_name, SQL_NAME)
+def whole(sql: str) -> str:
+    """The same SQL over whole texts: without the windows."""
+    return re.sub(r"\btext\[1:\d+\]", "text", sql).replace("[1:15]", "").replace("[1][1:200]", "[1]")
+
+
+def _field(name: str, spark_expr, sql_expr: str) -> None:
+    """A field as it is found in the head of a text, and in the whole of it."""
+    _extract(name, lambda t, f: spark_expr(t, f, md.HEAD), sql_expr)
+    _extract(f"{name}_whole", lambda t, f: spark_expr(t, f, md.WHOLE), whole(sql_expr))
+
+
+_field("meta_regulator", lambda t, f, w: md.regulator(t, f, chars=w.regulator), SQL_REGULATOR)
+_extract("meta_jurisdiction", lambda t, f: md.jurisdiction(md.regulator(t, f, chars=md.HEAD.regulator)), SQL_JURISDICTION)
+_field("meta_doc_type", lambda t, f, w: md.document_type(t, f, chars=w.document_type), SQL_TYPE)
+_field("meta_document_name", lambda t, f, w: md.document_name(t, f, lines=w.name_lines, chars=w.name_chars), SQL_NAME)
 _extract("meta_first_date", lambda t, f: md.first_date(t), sql_first_date("text"))
-_extract("meta_publication_date", lambda t, f: md.publication_date(t), SQL_PUBLICATION)
-_extract("meta_version", md.version, SQL_VERSION)
-_extract("meta_section", lambda t, f: md.section(t), SQL_SECTION)
+_field("meta_publication_date", lambda t, f, w: md.publication_date(t, chars=w.publication_date), SQL_PUBLICATION)
+_field("meta_version", lambda t, f, w: md.version(t, f, chars=w.version), SQL_VERSION)
+_field("meta_section", lambda t, f, w: md.section(t, chars=w.section), SQL_SECTION)
 _extract(
     "meta_parse_date",
     lambda t, f: md.parse_date(
@@ -121,7 +134,7 @@ META = {
 
 def _meta(spark, folder):
     return inp.regulation_texts(spark, folder).select(
-        "doc_id", "filename", md.document_metadata(F.col("text"), F.col("filename")).alias("meta")
+        "doc_id", "filename", md.document_metadata(F.col("text"), F.col("filename"), windows=md.HEAD).alias("meta")
     )
 
 

@@ -283,16 +283,35 @@ def text_fallback_match(spark, folder):
 # ---------------------------------------------------------------- embedding
 
 
-@query("embed_documents")
+_LETTERS = "etaonrishdlu"
+
+
+def _letter_counts(text):
+    """An embedder that both engines can compute: how often a text holds each of some letters."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in _LETTERS])
+
+
+def _sql_letter_counts(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    return "[" + ", ".join(f"(length({low}) - length(replace({low}, '{c}', '')))::FLOAT" for c in _LETTERS) + "]"
+
+
+@query("embed_documents", f"SELECT doc_id, text, {_sql_letter_counts('text')} AS embedding FROM documents")
 def embed_documents(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return embed.embed_documents(docs)
+    return embed.embed_documents(docs, embedder=_letter_counts)
 
 
-@query("embed_query")
+@query(
+    "embed_query",
+    "SELECT item_id AS query_id, text AS query, "
+    + _sql_letter_counts(f"'{embed.QUERY_PREFIX}' || trim(text, ' ' || chr(9) || chr(10) || chr(13))")
+    + " AS vector FROM benchmark WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
+)
 def embed_query(spark, folder):
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return embed.embed_query(asked)
+    return embed.embed_query(asked, embedder=_letter_counts)
 
 
 def _partly_embedded(spark, folder):
@@ -305,14 +324,35 @@ def _partly_embedded(spark, folder):
     )
 
 
-@query("embed_backfill")
+_PARTLY = {
+    "partly": """
+  SELECT vec_id AS clause_id, vec_id % 9 AS version_id, CASE WHEN vec_id % 11 <> 0 THEN 'Clause text ' || vec_id END AS text,
+    CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN [] ELSE embedding END AS embedding FROM embeddings"""
+}
+
+
+@query(
+    "embed_backfill",
+    with_ctes(
+        _PARTLY,
+        f"""SELECT clause_id, version_id, text, CASE WHEN embedding IS NULL OR len(embedding) = 0
+  THEN {_sql_letter_counts("text")} ELSE embedding END AS embedding FROM partly""",
+    ),
+)
 def embed_backfill(spark, folder):
-    return embed.embed_backfill(_partly_embedded(spark, folder), dim=DIM)
+    return embed.embed_backfill(_partly_embedded(spark, folder), embedder=_letter_counts)
 
 
-@query("embed_reindex")
+@query(
+    "embed_reindex",
+    with_ctes(
+        _PARTLY,
+        f"""SELECT clause_id, version_id, text, {_sql_letter_counts("text")} AS embedding
+FROM partly WHERE text IS NOT NULL AND version_id = 3""",
+    ),
+)
 def embed_reindex(spark, folder):
-    return embed.embed_reindex(_partly_embedded(spark, folder), version_id=3, dim=DIM)
+    return embed.embed_reindex(_partly_embedded(spark, folder), version_id=3, embedder=_letter_counts)
 
 
 @query(
