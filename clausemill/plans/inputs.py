@@ -390,12 +390,13 @@ POLICY_CUT = 0.3
 
 
 def reg_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    """Even vectors: regulatory clauses with catalog keys and a metadata struct."""
-    e = table(spark, folder, "embeddings").where(F.col("vec_id") % 2 == 0)
+    """All vectors: regulatory clauses, spread over all versions, with a metadata struct."""
+    e = table(spark, folder, "embeddings")
+    n_versions = table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
     v = F.col("vec_id")
     return e.select(
         v.alias("clause_id"),
-        (v % 9 + 1).alias("version_id"),
+        (v % n_versions + 1).alias("version_id"),
         F.concat((v % 30).cast("string"), F.lit("."), (v % 4).cast("string")).alias("clause_number"),
         F.concat(F.lit("Section "), (v % 7).cast("string"), F.when(v % 3 == 0, F.lit(" Data Retention")).otherwise(F.lit(""))).alias("section"),
         F.concat(F.lit("Clause "), v.cast("string"), F.lit(" of topic "), F.col("label").cast("string")).alias("text"),
@@ -413,7 +414,7 @@ def reg_clauses(spark: SparkSession, folder: str) -> DataFrame:
 
 REG_CLAUSES = {
     "reg_clauses": """
-  SELECT vec_id AS clause_id, vec_id % 9 + 1 AS version_id, (vec_id % 30) || '.' || (vec_id % 4) AS clause_number,
+  SELECT vec_id AS clause_id, vec_id % (SELECT count(*) FROM supplier) + 1 AS version_id, (vec_id % 30) || '.' || (vec_id % 4) AS clause_number,
     'Section ' || (vec_id % 7) || CASE WHEN vec_id % 3 = 0 THEN ' Data Retention' ELSE '' END AS section,
     'Clause ' || vec_id || ' of topic ' || label AS text, CAST(vec_id % 20 + 1 AS INTEGER) AS page_number,
     CASE WHEN vec_id % 6 = 0 THEN 'Direction ' || (vec_id % 5) END AS m_document_name,
@@ -421,13 +422,13 @@ REG_CLAUSES = {
     CASE WHEN vec_id % 14 = 0 THEN 'EU' END AS m_jurisdiction,
     CASE WHEN vec_id % 22 = 0 THEN 'ACT' END AS m_document_type,
     list_transform(embedding, lambda x: x::DOUBLE) AS embedding, label
-  FROM embeddings WHERE vec_id % 2 = 0""",
+  FROM embeddings""",
 }
 
 
 def org_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Odd vectors: policy chunks of organisation = label, three documents each."""
-    e = table(spark, folder, "embeddings").where(F.col("vec_id") % 2 == 1)
+    """All vectors: policy chunks of organisation = label, three documents each."""
+    e = table(spark, folder, "embeddings")
     v = F.col("vec_id")
     part = F.floor(v / 2) % 3
     return e.select(
@@ -463,7 +464,7 @@ ORG = {
     CASE WHEN vec_id % 5 <> 0 THEN 'Part ' || (vec_id % 11) END AS section_title,
     CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id % 13 AS VARCHAR) END AS clause_reference,
     'Policy text ' || vec_id || ' ' AS content, list_transform(embedding, lambda x: x::DOUBLE) AS embedding
-  FROM embeddings WHERE vec_id % 2 = 1""",
+  FROM embeddings""",
     "org_documents": """
   SELECT DISTINCT document_id, organization_id, 'Policy ' || document_id AS document_name,
     CASE WHEN document_id % 4 <> 0 THEN 'policy_' || document_id || '.pdf' END AS source_filename,

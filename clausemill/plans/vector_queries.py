@@ -78,7 +78,7 @@ _search_query("filter_section", search.Filters(section="data_ret"), "section ILI
 _search_query(
     "filter_effective_date", search.Filters(effective_date="2024-01-01"), "effective_date = DATE '2024-01-01'"
 )
-_search_query("filter_clause_number", search.Filters(clause_number="4.0"), "clause_number = '4.0'")
+_search_query("filter_clause_number", search.Filters(clause_number="6.2"), "clause_number = '6.2'")
 _search_query("filter_min_similarity", search.Filters(), "true", k=50, floor=0.1)
 
 
