@@ -343,9 +343,9 @@ SHORT_ANCHOR_CHARS = 3
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def _like_pattern(content: Column) -> Column:
-    """%first 80 characters%, with escapes no LIKE dialect refuses: '\\x' means x."""
-    prefix = F.substring(content, 1, PREFIX_CHARS)
+def _like_pattern(content: Column, chars: int) -> Column:
+    """%first characters%, with escapes no LIKE dialect refuses: '\\x' means x."""
+    prefix = F.substring(content, 1, chars)
     return F.concat(F.lit("%"), F.regexp_replace(prefix, r"(\\[%_\\])|\\(.)", "$1$2"), F.lit("%"))
 
 
@@ -362,8 +362,20 @@ def _phrases(words: Column, n: int) -> Column:
     )
 
 
-def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | None = None) -> DataFrame:
-    """Clauses whose text contains, ignoring case, the first 80 characters of a chunk.
+def _grams(letters: Column, n: int) -> Column:
+    """All runs of n characters of a text with at least one."""
+    if n == 1:
+        return letters
+    last = F.greatest(F.size(letters) - n, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.concat_ws("", *[F.get(letters, i + j) for j in range(n)])
+    )
+
+
+def text_fallback_match(
+    chunks: DataFrame, clauses: DataFrame, *, top_k: int | None = None, prefix_chars: int = PREFIX_CHARS
+) -> DataFrame:
+    """Clauses whose text contains, ignoring case, the first ``prefix_chars`` characters of a chunk.
 
     chunks(chunk_id, content), clauses(clause_id, text) -> (chunk_id,
     clause_id, rank), the k smallest clause ids per chunk.  ``%`` and ``_`` in
@@ -373,11 +385,13 @@ def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | N
     inside a wildcard-free stretch of the prefix, without its first and last
     (which may be cut), must all stand as whole words in a matching text: up
     to three of them in a row are the anchor.  Prefixes without such a word
-    use their first three characters against the texts' character triples;
-    what is shorter still has few distinct values and is tested directly.
+    take the first three, two or one characters of a stretch.  A prefix of
+    wildcards alone asks for a length only.  Texts are taken apart once, into
+    the kinds of anchors that some prefix asks for.
     """
-    limit = search_limit(top_k)
-    stretches = F.split(F.lower(F.substring("content", 1, PREFIX_CHARS)), r"[%_\\]")
+    limit = match_limit(top_k)
+    prefix = F.substring("content", 1, prefix_chars)
+    stretches = F.split(F.lower(prefix), r"[%_\\]")
     # The first and last token are cut words, or '' beside a break; both are left out.
     inner = F.transform(
         F.transform(stretches, lambda s: F.split(s, _WORD_BREAK)),
@@ -385,37 +399,53 @@ def text_fallback_match(chunks: DataFrame, clauses: DataFrame, *, top_k: int | N
     )
     longest = F.array_max(F.transform(inner, lambda ws: F.struct(F.size(ws).alias("n"), ws.alias("ws"))))
     literal = F.array_max(F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
-    asked = chunks.select("chunk_id", _like_pattern(F.col("content")).alias("_like"))
+    words_n = F.least(longest["n"], F.lit(ANCHOR_WORDS))
+    chars_n = F.least(literal["n"], F.lit(SHORT_ANCHOR_CHARS))
+    asked = chunks.where(F.col("content").isNotNull()).select("chunk_id", _like_pattern(F.col("content"), prefix_chars).alias("_like"))
     # Every pattern is matched once and cut to its k clauses, however many chunks share it.
-    patterns = chunks.select(
-        _like_pattern(F.col("content")).alias("_like"),
-        F.least(longest["n"], F.lit(ANCHOR_WORDS)).alias("_n"),
-        F.array_join(F.slice(longest["ws"], 1, ANCHOR_WORDS), " ").alias("_words"),
-        F.when(literal["n"] >= SHORT_ANCHOR_CHARS, F.substring(literal["s"], 1, SHORT_ANCHOR_CHARS)).alias("_chars"),
-    ).distinct()
-    by_chars = patterns.where((F.col("_n") == 0) & F.col("_chars").isNotNull())
-    by_scan = patterns.where((F.col("_n") == 0) & F.col("_chars").isNull())
-
+    patterns = (
+        chunks.where(F.col("content").isNotNull())
+        .select(
+            _like_pattern(F.col("content"), prefix_chars).alias("_like"),
+            F.when(words_n > 0, F.concat(F.lit("w"), words_n.cast("string")))
+            .when(chars_n > 0, F.concat(F.lit("c"), chars_n.cast("string")))
+            .alias("_kind"),
+            F.when(words_n > 0, F.array_join(F.slice(longest["ws"], 1, ANCHOR_WORDS), " "))
+            .otherwise(F.substring(literal["s"], 1, SHORT_ANCHOR_CHARS))
+            .alias("_anchor"),
+            # What stands before a backslash is escaped and thus a character; the count only has to be no larger than needed.
+            F.length(F.regexp_replace(F.regexp_replace(prefix, r"\\.?", ""), "[^_]", "")).alias("_least"),
+        )
+        .distinct()
+    )
     texts = clauses.select("clause_id", "text").where(F.col("text").isNotNull())
-    words = F.filter(F.split(F.lower("text"), _WORD_BREAK), lambda w: w != "")
-    letters = F.split(F.lower("text"), "")
-    last = F.greatest(F.size("_ls") - SHORT_ANCHOR_CHARS, F.lit(0))
-    triples = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.concat_ws("", *[F.get(F.col("_ls"), i + j) for j in range(SHORT_ANCHOR_CHARS)]),
+    kinds = patterns.agg(F.collect_set("_kind")).scalar()  # at most six
+    taken_apart = texts.select(
+        "clause_id",
+        F.filter(F.split(F.lower("text"), _WORD_BREAK), lambda w: w != "").alias("_ws"),
+        F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("_ls"),
+        kinds.alias("_kinds"),
     )
-    char_rows = texts.withColumn("_ls", letters).select("clause_id", F.explode(F.array_distinct(triples)).alias("_chars"))
-    candidates = char_rows.join(by_chars.select("_like", "_chars"), "_chars").select("_like", "clause_id")
-    # One join per anchor length: where no chunk asks for a length, Spark finds
-    # the small side empty at run time and leaves the texts unread.
-    for n in range(1, ANCHOR_WORDS + 1):
-        anchors = patterns.where(F.col("_n") == n).select("_like", "_words")
-        phrases = texts.withColumn("_ws", words).select(
-            "clause_id", F.explode(F.array_distinct(_phrases(F.col("_ws"), n))).alias("_words")
-        )
-        candidates = candidates.unionByName(phrases.join(anchors, "_words").select("_like", "clause_id"))
-    matched = candidates.join(texts, "clause_id").where(F.expr("text ilike _like")).select("_like", "clause_id")
-    scanned = by_scan.select("_like").join(texts, F.expr("text ilike _like")).select("_like", "clause_id")
+
+    def entries(kind: str, values: Column) -> Column:
+        named = F.transform(values, lambda v: F.struct(F.lit(kind).alias("_kind"), v.alias("_anchor")))
+        return F.when(F.array_contains("_kinds", kind), named)
+
+    found = [entries(f"w{n}", _phrases(F.col("_ws"), n)) for n in range(1, ANCHOR_WORDS + 1)]
+    found += [entries(f"c{n}", _grams(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
+    held = F.array_distinct(F.flatten(F.array_compact(F.array(*found))))
+    anchors = taken_apart.select("clause_id", F.explode(held).alias("_a")).select("clause_id", "_a.*")
+    candidates = anchors.join(patterns.where(F.col("_kind").isNotNull()).select("_like", "_kind", "_anchor"), ["_kind", "_anchor"])
+
+    # Wildcards alone: the lengths asked for, at most prefix_chars + 1 of them, meet the texts that are long enough.
+    open_ = patterns.where(F.col("_kind").isNull())
+    lengths = open_.agg(F.collect_set("_least")).scalar()
+    long_enough = texts.select("clause_id", F.length("text").alias("_n"), lengths.alias("_asked")).select(
+        "clause_id", F.explode(F.filter("_asked", lambda n: n <= F.col("_n"))).alias("_least")
+    )
+    by_length = long_enough.join(open_.select("_like", "_least"), "_least").select("_like", "clause_id")
+    pairs = candidates.select("_like", "clause_id").unionByName(by_length)
+    matched = pairs.join(texts, "clause_id").where(F.expr("text ilike _like")).select("_like", "clause_id")
     order = Window.partitionBy("_like").orderBy("clause_id")
-    best = matched.unionByName(scanned).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = matched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return asked.join(best, "_like").select("chunk_id", "clause_id", "rank")
