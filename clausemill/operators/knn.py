@@ -37,14 +37,11 @@ def _block_count(rows: Column, block_rows: int) -> Column:
     return F.greatest(by_size, spread, F.lit(1)).cast("int")
 
 
-def _best(hits: DataFrame, k: int) -> DataFrame:
+def _best(hits: DataFrame, k: int, digits: int | None = SIMILARITY_DIGITS) -> DataFrame:
     """Rank the cells' candidates by the raw similarity, then round it; Spark limits every group to k before the shuffle."""
     order = Window.partitionBy("left_id", "scope").orderBy(F.desc(F.round("similarity", RANK_DIGITS)), "right_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
-    )
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best if digits is None else best.withColumn("similarity", F.round("similarity", digits))
 
 
 def _run_cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, threshold: float | None, skip_self: bool) -> DataFrame:
@@ -132,16 +129,18 @@ def knn_join_scoped(
     dim: int | None = None,
     threshold: float | None = None,
     block_rows: int = BLOCK_ROWS,
+    digits: int | None = SIMILARITY_DIGITS,
 ) -> DataFrame:
     """Like ``knn_join_exact``, but left(left_id, scope, vector) meets the rows of its own scope only.
 
     The scope is part of the cell's key, so work and output do not grow with
     the number of scopes; a scope that holds most rows is cut into cells by id.
+    With ``digits=None`` similarities stay as they are.
     """
     left, right = _sides(left, right, dim)
     left_cells, right_cells = _keyed_cells(left, right, ["scope"], block_rows, few_keys=False)
     left_cells, right_cells = (side.withColumn("_scope", F.col("scope")) for side in (left_cells, right_cells))
-    return _best(_run_cells(left_cells.drop("scope"), right_cells, ["_scope", "lb", "rb"], k, threshold, False), k)
+    return _best(_run_cells(left_cells.drop("scope"), right_cells, ["_scope", "lb", "rb"], k, threshold, False), k, digits)
 
 
 def sign_buckets(vector: Column, *, dim: int, tables: int, bits: int, seed: int, probes: int = 0) -> Column:

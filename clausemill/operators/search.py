@@ -281,6 +281,65 @@ def match_clause_to_policy(
     )
 
 
+def match_fields(matches: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``match_clause_to_policy`` rows with the fields of their chunk and document."""
+    return matches.join(chunk_fields(searchable_chunks(chunks, documents)), ["chunk_id", "organization_id"])
+
+
+def _not_found(what: str, column: str) -> Column:
+    return F.concat(F.lit(f"{what} '"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit("' not found"))
+
+
+def match_requests(
+    requests: DataFrame,
+    organizations: DataFrame,
+    clauses: DataFrame,
+    chunks: DataFrame,
+    documents: DataFrame,
+    *,
+    dim: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Requests(request_id, organization_id, clause_id, top_k, similarity_threshold) as (hits, refused requests).
+
+    A request without k or threshold takes the defaults.  Hits carry the fields
+    of chunk and document; a refused request says why: an argument out of
+    range, an unknown organisation or clause, a clause without a vector of
+    dimension ``dim``, in this order.  Each request meets its own organisation.
+    """
+    known = organizations.select("organization_id", F.lit(True).alias("_org")).distinct()
+    found = clauses.select("clause_id", F.lit(True).alias("_clause"), F.col("embedding").alias("vector"))
+    limit = F.coalesce("top_k", F.lit(DEFAULT_TOP_K))
+    threshold = F.coalesce("similarity_threshold", F.lit(MATCH_THRESHOLD))
+    size = F.coalesce(F.size("vector"), F.lit(0))
+    # The messages.
+    error = (
+        F.when(~limit.between(1, MAX_TOP_K), F.lit(f"top_k must be between 1 and {MAX_TOP_K}"))
+        .when(~threshold.between(0.0, 1.0) | F.isnan(threshold), F.lit("similarity_threshold must be between 0.0 and 1.0"))
+        .when(F.col("_org").isNull(), _not_found("Organization", "organization_id"))
+        .when(F.col("_clause").isNull(), _not_found("Regulatory clause", "clause_id"))
+        .when(size != dim, F.concat(F.lit("Embedding dimension "), size.cast("string"), F.lit(f" does not match expected {dim}")))
+    )
+    checked = requests.join(known, "organization_id", "left").join(found, "clause_id", "left").withColumn("error", error)
+    refused = checked.where(F.col("error").isNotNull()).select("request_id", "organization_id", "clause_id", "error")
+    asked = checked.where(F.col("error").isNull()).withColumn("_limit", limit).withColumn("_threshold", threshold)
+    scoped = searchable_chunks(chunks, documents)
+    best = knn_join_scoped(
+        asked.select(F.col("request_id").alias("left_id"), F.col("organization_id").alias("scope"), "vector"),
+        scoped.select(F.col("chunk_id").alias("right_id"), F.col("organization_id").alias("scope"), F.col("embedding").alias("vector")),
+        MAX_TOP_K,
+        dim=dim,
+        digits=None,
+    )
+    hits = (
+        best.select(F.col("left_id").alias("request_id"), F.col("right_id").alias("chunk_id"), "similarity", "rank")
+        .join(asked.select("request_id", "organization_id", "clause_id", "_limit", "_threshold"), "request_id")
+        .where((F.col("rank") <= F.col("_limit")) & (F.col("similarity") >= F.col("_threshold")))
+        .drop("_limit", "_threshold")
+        .withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
+    )
+    return hits.join(chunk_fields(scoped), ["chunk_id", "organization_id"]), refused
+
+
 def payload_filter_search(
     points: DataFrame,
     query_vector: list[float] | Column,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausemill.operators import analysis, risk
+from clausemill.operators import analysis, risk, search
 from clausemill.plans import inputs as inp
 from clausemill.plans.registry import query, table, with_ctes
 from clausemill.plans.vector_queries import matches
@@ -221,13 +221,7 @@ def _pairs(spark, folder):
 
 
 def hits_with_text(spark, folder):
-    chunks = inp.org_chunks(spark, folder).select(
-        "chunk_id", "document_id", "section_title", "clause_reference", "content"
-    )
-    documents = inp.org_documents(spark, folder).select(
-        "document_id", "document_name", "document_type", F.col("version").alias("document_version")
-    )
-    return matches(spark, folder).join(chunks, "chunk_id").join(documents, "document_id")
+    return search.match_fields(matches(spark, folder), inp.org_chunks(spark, folder), inp.org_documents(spark, folder))
 
 
 def _pairs_with_hits(spark, folder):

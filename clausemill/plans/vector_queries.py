@@ -170,6 +170,67 @@ def match_clause_to_policy(spark, folder):
     return matches(spark, folder)
 
 
+@query(
+    "match_clause_fields",
+    with_ctes(
+        inp.MATCHES,
+        """SELECT m.*, k.document_id, d.document_name, d.document_type, d.version AS document_version, k.content, k.section_title,
+  k.clause_reference, k.chunk_index
+FROM match_hits m JOIN org_chunks k ON k.chunk_id = m.chunk_id JOIN org_documents d ON d.document_id = k.document_id""",
+    ),
+)
+def match_clause_fields(spark, folder):
+    return search.match_fields(matches(spark, folder), inp.org_chunks(spark, folder), inp.org_documents(spark, folder))
+
+
+@query(
+    "match_requests",
+    with_ctes(
+        {
+            **inp.REG_CLAUSES,
+            **inp.ORG,
+            "requests": """
+  SELECT vec_id AS request_id, CAST(CASE WHEN vec_id % 13 = 0 THEN 999 ELSE label END AS BIGINT) AS organization_id,
+    CASE WHEN vec_id % 17 = 0 THEN -vec_id - 1 ELSE vec_id END AS clause_id,
+    CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id % 56 - 2 AS INTEGER) END AS top_k,
+    CASE WHEN vec_id % 19 = 0 THEN 1.5::DOUBLE ELSE (vec_id % 4) / 10.0::DOUBLE END AS similarity_threshold FROM embeddings""",
+            "checked": """
+  SELECT q.*, c.embedding AS v, CASE WHEN coalesce(top_k, 5) NOT BETWEEN 1 AND 50 THEN 'top_k must be between 1 and 50'
+    WHEN similarity_threshold NOT BETWEEN 0 AND 1 THEN 'similarity_threshold must be between 0.0 and 1.0'
+    WHEN q.organization_id NOT IN (SELECT organization_id FROM org_documents) THEN 'Organization ''' || q.organization_id || ''' not found'
+    WHEN c.clause_id IS NULL THEN 'Regulatory clause ''' || q.clause_id || ''' not found' END AS error
+  FROM requests q LEFT JOIN reg_clauses c ON c.clause_id = q.clause_id""",
+            "compared": f"""
+  SELECT q.request_id, q.organization_id, q.clause_id, k.chunk_id, {inp.sql_cosine('k.embedding', 'q.v')} AS s, q.top_k, q.similarity_threshold, d.document_name
+  FROM checked q JOIN org_chunks k ON k.organization_id = q.organization_id
+  JOIN org_documents d ON d.document_id = k.document_id AND d.organization_id = k.organization_id AND d.status = 'processed'
+  WHERE q.error IS NULL""",
+            "ranked": """
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(s, 12) DESC, chunk_id) AS INTEGER) AS rank FROM compared""",
+        },
+        """SELECT request_id, organization_id, clause_id, chunk_id, document_name, round(s, 4) AS similarity, rank, NULL AS error
+FROM ranked WHERE rank <= coalesce(top_k, 5) AND s >= similarity_threshold
+UNION ALL SELECT request_id, organization_id, clause_id, NULL, NULL, NULL, NULL, error FROM checked WHERE error IS NOT NULL""",
+    ),
+)
+def match_requests(spark, folder):
+    v = F.col("vec_id")
+    requests = table(spark, folder, "embeddings").select(
+        v.alias("request_id"),
+        F.when(v % 13 == 0, F.lit(999)).otherwise(F.col("label")).cast("long").alias("organization_id"),
+        F.when(v % 17 == 0, -v - 1).otherwise(v).alias("clause_id"),
+        F.when(v % 3 != 0, (v % 56 - 2).cast("int")).alias("top_k"),
+        F.when(v % 19 == 0, F.lit(1.5)).otherwise((v % 4) / 10.0).alias("similarity_threshold"),
+    )
+    documents = inp.org_documents(spark, folder)
+    hits, refused = search.match_requests(
+        requests, documents.select("organization_id"), inp.reg_clauses(spark, folder), inp.org_chunks(spark, folder), documents, dim=DIM
+    )
+    columns = ["request_id", "organization_id", "clause_id", "chunk_id", "document_name", "similarity", "rank", "error"]
+    hits = hits.withColumn("error", F.lit(None).cast("string")).select(*columns)
+    return hits.unionByName(refused, allowMissingColumns=True).select(*columns)
+
+
 def _even_odd(spark, folder):
     e = table(spark, folder, "embeddings")
     left = e.where(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector"))
