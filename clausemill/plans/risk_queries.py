@@ -295,6 +295,36 @@ def verdict_provider(spark, folder):
     return analysis.parse_verdict(raw).select(*analysis.PAIR, "compliance_status", "confidence")
 
 
+def _counting_provider(prompt):
+    """A provider behind the hook that SQL can repeat: it judges a prompt by the number of its evidence blocks."""
+    mark = "--- Evidence E"
+    n = (F.length(prompt) - F.length(F.replace(prompt, F.lit(mark), F.lit("")))) / len(mark)
+    status = F.when(n >= 5, "COMPLIANT").when(n >= 3, "PARTIALLY_COMPLIANT").otherwise("NON_COMPLIANT")
+    return F.to_json(
+        F.struct(
+            status.alias("compliance_status"),
+            (n / 10).alias("confidence"),
+            F.concat(F.lit("Blocks: "), n.cast("int").cast("string")).alias("reasoning"),
+            F.array().cast(f"array<{analysis.EVIDENCE_TYPE}>").alias("evidence"),
+            F.array().cast("array<string>").alias("gaps"),
+        )
+    )
+
+
+@query(
+    "verdict_provider_hook",
+    with_ctes(
+        PAIRS,
+        f"""SELECT organization_id, clause_id, CASE WHEN n_hits = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN n_hits >= 5 THEN 'COMPLIANT'
+  WHEN n_hits >= 3 THEN 'PARTIALLY_COMPLIANT' ELSE 'NON_COMPLIANT' END AS compliance_status, n_hits / 10.0::DOUBLE AS confidence,
+  CASE WHEN n_hits = 0 THEN '{analysis.NO_EVIDENCE_REASONING}' ELSE 'Blocks: ' || n_hits END AS reasoning FROM pair_stats""",
+    ),
+)
+def verdict_provider_hook(spark, folder):
+    responses, _ = analysis.analyze_compliance(_pairs_with_hits(spark, folder), _counting_provider)
+    return responses.select(*analysis.PAIR, "compliance_status", "confidence", "reasoning")
+
+
 def _raw_verdicts(spark, folder):
     """orders -> verdict JSON, some of it malformed or out of its domain."""
     k = F.col("o_orderkey")
