@@ -24,6 +24,8 @@ _PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"
 #: A source's documents are laid out in so many parts, each ordered by itself.
 _PARTS_BITS = 12
 _ROUNDS = 20
+#: Slots that one task unfolds from one row.
+_RUN = 1024
 
 
 @dataclass(frozen=True)
@@ -206,10 +208,15 @@ def mix(
 
     draws = _draws(sources, shard_slots, seed)
     earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # Few rows become many slots: runs of them are dealt out before they unfold.
+    end, tasks = F.col("_base") + F.col("slots") - 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = (
         draws.withColumn("_base", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
         .where("slots > 0")
-        .withColumn("_n", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("slots") - 1)))
+        .withColumn("_from", F.explode(F.sequence(F.col("_base"), end, F.lit(_RUN).cast("long"))))
+        .withColumn("_to", F.least(end, F.col("_from") + _RUN - 1))
+        .repartition(tasks, "source_no", "_from")
+        .withColumn("_n", F.explode(F.sequence("_from", "_to")))
         .where(F.col("_n") < F.col("blocks") * most)
         .select(
             "source_no",
@@ -227,7 +234,7 @@ def taken(plan: Mix) -> DataFrame:
     times = plan.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     sums = (
         plan.segments()
-        .join(times, ["source_no", "block"])
+        .join(times.hint("merge"), ["source_no", "block"])
         .groupBy("_row")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
@@ -258,7 +265,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("doc").dropFields("text").alias("doc") if len(docs.columns) > 1 else F.lit(None).alias("doc"),
         F.explode(F.transform(F.sequence(first, last), piece)).alias("piece"),
     ).select("source_no", "doc", F.col("piece.block").alias("block"), F.col("piece.text").alias("text"))
-    out = pieces.join(plan.slots.select("source_no", "block"), ["source_no", "block"])
+    out = pieces.join(plan.slots.select("source_no", "block").hint("merge"), ["source_no", "block"])
     columns = []
     for c in docs.columns:
         if c.lower() == "text":
