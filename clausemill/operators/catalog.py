@@ -15,12 +15,22 @@ class InvalidPage(ValueError):
     """skip or limit is out of range."""
 
 
-def paginate(rows: DataFrame, order: list[str], *, skip: int = 0, limit: int = 20) -> DataFrame:
-    """One page of rows plus ``total``, the number of rows on all pages."""
+def paginate(
+    rows: DataFrame, order: list[str], *, skip: int = 0, limit: int = 20, after: list | None = None
+) -> DataFrame:
+    """One page of rows plus ``total``, the number of rows on all pages.
+
+    ``skip`` makes one task pass over all rows before the page.  ``after``, the
+    values of the ``order`` columns in the last row of the page before, costs
+    the same for any page; the columns must tell rows apart and hold no nulls.
+    """
     if skip < 0 or not 1 <= limit <= MAX_PAGE:
         raise InvalidPage(f"skip must be >= 0 and limit between 1 and {MAX_PAGE}")
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return rows.orderBy(*order).offset(skip).limit(limit).withColumn("total", total)
+    if after is not None:
+        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]))
+    page = rows.orderBy(*order)
+    return (page.offset(skip) if skip else page).limit(limit).withColumn("total", total)
 
 
 def list_org_documents(documents: DataFrame, organization_id, *, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -118,24 +128,39 @@ def unique_slug(requests: DataFrame, organizations: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_clauses(clauses: DataFrame, versions: DataFrame, regulations: DataFrame, *, limit: int = 10) -> DataFrame:
-    """Most repeated (document, clause number, first 80 characters)."""
+def duplicate_clauses(
+    clauses: DataFrame,
+    versions: DataFrame,
+    regulations: DataFrame,
+    *,
+    limit: int = 10,
+    key_chars: int | None = None,
+    preview_chars: int = 80,
+) -> DataFrame:
+    """Most repeated (document, clause number, text), shown by the text's first ``preview_chars`` characters.
+
+    Texts are the same if they agree as a whole or, with ``key_chars``, in so
+    many characters; whole texts are grouped by their hash.
+    """
+    key = F.sha2("text", 256) if key_chars is None else F.substring("text", 1, key_chars)
     named = (
         clauses.join(versions.select("version_id", "regulation_id"), "version_id")
         .join(regulations.select("regulation_id", "title"), "regulation_id")
         .select(
             F.coalesce("metadata.document_name", "title").alias("document_name"),
             "clause_number",
-            F.substring("text", 1, 80).alias("text_preview"),
+            key.alias("_key"),
+            F.substring("text", 1, preview_chars).alias("text_preview"),
         )
     )
-    keys = ["document_name", "clause_number", "text_preview"]
+    shown = ["document_name", "clause_number", "text_preview"]
     return (
-        named.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("duplicate_count"))
+        named.groupBy("document_name", "clause_number", "_key")
+        .agg(F.min("text_preview").alias("text_preview"), F.count(F.lit(1)).alias("duplicate_count"))
         .where(F.col("duplicate_count") > 1)
-        .orderBy(F.desc("duplicate_count"), *keys)
+        .orderBy(F.desc("duplicate_count"), *shown, "_key")
         .limit(limit)
+        .select(*shown, "duplicate_count")
     )
 
 

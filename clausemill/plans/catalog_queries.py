@@ -19,6 +19,16 @@ def paginate(spark, folder):
     return catalog.paginate(rows, ["c_name", "c_custkey"], skip=50, limit=25)
 
 
+@query(
+    "paginate_after",
+    """SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer
+WHERE (c_name, c_custkey) > ('Customer#000000020', 20) ORDER BY c_name, c_custkey LIMIT 25""",
+)
+def paginate_after(spark, folder):
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name")
+    return catalog.paginate(rows, ["c_name", "c_custkey"], limit=25, after=["Customer#000000020", 20])
+
+
 @query(
     "list_org_documents",
     with_ctes(
@@ -151,6 +161,23 @@ GROUP BY ALL HAVING count(*) > 1 ORDER BY duplicate_count DESC, document_name, c
     ),
 )
 def duplicate_clauses(spark, folder):
+    return catalog.duplicate_clauses(
+        inp.stored_clauses(spark, folder), inp.versions(spark, folder), inp.regulations(spark, folder), key_chars=80
+    )
+
+
+@query(
+    "duplicate_clauses_whole",
+    with_ctes(
+        inp.CATALOG,
+        """SELECT document_name, clause_number, text[1:80] AS text_preview, duplicate_count FROM (
+  SELECT coalesce(c.m_document_name, r.title) AS document_name, c.clause_number, c.text, count(*) AS duplicate_count
+  FROM stored_clauses c JOIN versions v ON v.version_id = c.version_id JOIN regulations r ON r.regulation_id = v.regulation_id
+  GROUP BY ALL HAVING count(*) > 1)
+ORDER BY duplicate_count DESC, document_name, clause_number, text_preview, sha256(text) LIMIT 10""",
+    ),
+)
+def duplicate_clauses_whole(spark, folder):
     return catalog.duplicate_clauses(
         inp.stored_clauses(spark, folder), inp.versions(spark, folder), inp.regulations(spark, folder)
     )
