@@ -217,20 +217,22 @@ def cleanup_totals(spark, folder):
             **inp.CATALOG,
             "kept_versions": "SELECT * FROM versions WHERE NOT (version LIKE 'test-%' OR version LIKE 'itest-%')",
             "kept_regulations": """
-  SELECT * FROM regulations WHERE regulation_id IN (SELECT regulation_id FROM kept_versions) AND regulation_id % 5 <> 2""",
+  SELECT * FROM regulations WHERE regulation_id IN (SELECT regulation_id FROM kept_versions)""",
+            # Two regulators without a regulation, beside those that lose theirs.
+            "all_regulators": "SELECT code FROM regulators UNION ALL VALUES ('NONE-1'), ('NONE-2')",
         },
         """SELECT 'clause' AS kind, CAST(clause_id AS VARCHAR) AS id FROM stored_clauses
   WHERE version_id NOT IN (SELECT version_id FROM versions WHERE version LIKE 'test-%' OR version LIKE 'itest-%')
 UNION ALL SELECT 'version', CAST(version_id AS VARCHAR) FROM kept_versions
 UNION ALL SELECT 'regulation', CAST(regulation_id AS VARCHAR) FROM kept_regulations
-UNION ALL SELECT 'regulator', code FROM regulators WHERE code IN (SELECT regulator_code FROM kept_regulations)""",
+UNION ALL SELECT 'regulator', code FROM all_regulators WHERE code IN (SELECT regulator_code FROM kept_regulations)""",
     ),
 )
 def cleanup_cascade(spark, folder):
     regulations, stored_versions, clauses = _catalog(spark, folder)
-    kept = catalog.cleanup_cascade(
-        clauses, stored_versions, regulations.where(F.col("regulation_id") % 5 != 2), inp.regulators(spark, folder)
-    )
+    regulators = inp.regulators(spark, folder).select("code")
+    regulators = regulators.unionByName(spark.range(1, 3).select(F.concat(F.lit("NONE-"), F.col("id").cast("string")).alias("code")))
+    kept = catalog.cleanup_cascade(clauses, stored_versions, regulations, regulators)
     named = {
         "clause": kept["clauses"].select(F.col("clause_id").cast("string").alias("id")),
         "version": kept["versions"].select(F.col("version_id").cast("string").alias("id")),

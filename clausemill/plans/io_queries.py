@@ -60,8 +60,11 @@ def src_pages(spark, folder):
     with_ctes(
         {
             **inp.CLAUSES,
-            "blanked": "SELECT doc_id, page_number, CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(10) ELSE text END AS text FROM raw_pages",
-            "found": "SELECT doc_id, count(*) AS n FROM clause_rows WHERE doc_id % 10 NOT IN (0, 1) GROUP BY 1",
+            "blanked": """
+  SELECT doc_id, page_number, text FROM raw_pages
+  UNION ALL SELECT doc_id + 10000000, 1, ' ' || chr(10) FROM documents WHERE doc_id % 10 = 0
+  UNION ALL SELECT doc_id + 20000000, 1, 'short' FROM documents WHERE doc_id % 10 = 1""",
+            "found": "SELECT doc_id, count(*) AS n FROM clause_rows GROUP BY 1",
         },
         """SELECT b.doc_id, b.n_pages, coalesce(f.n, 0) AS n_clauses, CASE WHEN NOT filled OR coalesce(f.n, 0) = 0 THEN 'rejected' ELSE 'ok' END AS status,
   CASE WHEN NOT filled THEN 'EMPTY_DOCUMENT' WHEN coalesce(f.n, 0) = 0 THEN 'CLAUSE_SPLITTING_FAILED' END AS error_code
@@ -70,10 +73,16 @@ LEFT JOIN found f ON f.doc_id = b.doc_id""",
     ),
 )
 def src_reject_empty(spark, folder):
+    """All documents, and further ones without text or without a clause."""
     pages = inp.regulation_pages(spark, folder).select("doc_id", "page_number", "text")
-    blanked = pages.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit(" \n")).otherwise(F.col("text")))
-    clauses = cl.split_clauses(clean.clean_pages(pages)).where(~(F.col("doc_id") % 10).isin(0, 1))
-    return versions.reject_empty(blanked, clauses)
+    k = F.col("doc_id")
+    more = table(spark, folder, "documents").where((k % 10).isin(0, 1)).select(
+        F.when(k % 10 == 0, k + 10_000_000).otherwise(k + 20_000_000).alias("doc_id"),
+        F.lit(1).cast(pages.schema["page_number"].dataType).alias("page_number"),
+        F.when(k % 10 == 0, F.lit(" \n")).otherwise(F.lit("short")).alias("text"),
+    )
+    pages = pages.unionByName(more)
+    return versions.reject_empty(pages, cl.split_clauses(clean.clean_pages(pages)))
 
 
 @query(

@@ -181,15 +181,19 @@ def high_risk_findings(spark, folder):
 @query(
     "uncovered_requirements",
     with_ctes(
-        inp.ASSESSMENTS,
+        {**inp.ASSESSMENTS, "all_documents": """
+  SELECT document_id, organization_id FROM policy_documents
+  UNION ALL SELECT document_id + 1000000, organization_id FROM policy_documents WHERE document_id % 4 = 0"""},
         f"""SELECT organization_id, document_id, '{report.UNCOVERED_REQUIREMENT}' AS regulatory_requirement,
-  '{report.UNCOVERED_REASON}' AS reason, 'HIGH' AS severity FROM policy_documents p
-WHERE NOT EXISTS (SELECT 1 FROM assessments a WHERE a.policy_document_id = p.document_id AND a.organization_id = p.organization_id AND a.policy_document_id % 4 <> 0)""",
+  '{report.UNCOVERED_REASON}' AS reason, 'HIGH' AS severity FROM all_documents p
+WHERE NOT EXISTS (SELECT 1 FROM assessments a WHERE a.policy_document_id = p.document_id AND a.organization_id = p.organization_id)""",
     ),
 )
 def uncovered_requirements(spark, folder):
-    matched = _assessed(spark, folder).where(F.col("document_id") % 4 != 0)
-    return report.uncovered_requirements(inp.policy_documents(spark, folder), matched)
+    """All documents, and further ones that nothing was matched with."""
+    documents = inp.policy_documents(spark, folder)
+    more = documents.where(F.col("document_id") % 4 == 0).withColumn("document_id", F.col("document_id") + 1_000_000)
+    return report.uncovered_requirements(documents.unionByName(more), _assessed(spark, folder))
 
 
 @query(
@@ -197,29 +201,56 @@ def uncovered_requirements(spark, folder):
     with_ctes(
         {
             **DOC_MATCHES,
-            "results": "SELECT * FROM doc_matches WHERE chunk_id % 9 <> 0 AND document_id % 6 <> 5",
+            "documents_asked": """
+  SELECT organization_id, document_id, document_name FROM org_documents
+  UNION ALL SELECT organization_id, document_id + 1000000, 'More ' || document_id FROM org_documents""",
+            "bare_chunks": """
+  SELECT chunk_id + 1000000 AS chunk_id, organization_id, document_id + 1000000 AS document_id,
+    CASE WHEN chunk_id % 9 = 0 THEN 'Clause ' || chunk_id || ' of topic ' ELSE 'No such text ' || chunk_id END AS content
+  FROM org_chunks WHERE chunk_id % 9 < 2 AND document_id % 4 <> 1""",
+            "results": """
+  SELECT chunk_id, organization_id, document_id, compliance_score, status FROM doc_matches
+  UNION ALL SELECT x.chunk_id, x.organization_id, x.document_id, 88.0::DOUBLE, 'COMPLIANT'
+  FROM bare_chunks x JOIN reg_clauses c ON c.text ILIKE '%' || x.content || '%'""",
             "placed": """
-  SELECT organization_id, document_id, count(*) AS n_chunks FROM org_chunks WHERE document_id % 8 <> 3 GROUP BY ALL""",
+  SELECT organization_id, document_id, count(*) AS n_chunks
+  FROM (SELECT organization_id, document_id FROM org_chunks UNION ALL SELECT organization_id, document_id FROM bare_chunks) GROUP BY ALL""",
             "sums": f"""
-  SELECT r.organization_id, r.document_id, {_COUNTS}, avg(compliance_score) AS mean_score
-  FROM results r JOIN placed p ON p.organization_id = r.organization_id AND p.document_id = r.document_id GROUP BY ALL""",
+  SELECT r.organization_id, r.document_id, {_COUNTS}, avg(compliance_score) AS mean_score FROM results r GROUP BY ALL""",
         },
         f"""SELECT d.organization_id, d.document_id, CASE WHEN p.n_chunks IS NOT NULL THEN d.document_name END AS document_name,
   {inp.sql_round_exact('s.mean_score')} AS overall_score,
   {", ".join(f"coalesce(s.{c.strip()}, 0) AS {c.strip()}" for c in _COUNT_NAMES.split(","))},
   CASE WHEN p.n_chunks IS NOT NULL AND s.document_id IS NULL THEN 1::BIGINT ELSE 0::BIGINT END AS uncovered_count
-FROM org_documents d LEFT JOIN placed p ON p.organization_id = d.organization_id AND p.document_id = d.document_id
+FROM documents_asked d LEFT JOIN placed p ON p.organization_id = d.organization_id AND p.document_id = d.document_id
 LEFT JOIN sums s ON s.organization_id = d.organization_id AND s.document_id = d.document_id""",
     ),
 )
 def document_report(spark, folder):
-    """All documents at once; some lose their matches or chunks to show empty and uncovered reports."""
-    chunks = inp.org_chunks(spark, folder)
-    matched = _doc_matches(spark, folder).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-    matched = matched.where((F.col("chunk_id") % 9 != 0) & (F.col("document_id") % 6 != 5)).drop("document_id")
-    return report.document_report(
-        inp.org_documents(spark, folder), chunks.where(F.col("document_id") % 8 != 3), matched
+    """All documents, and as many more: some with chunks that only their text can match, some with none at all."""
+    chunks = inp.org_chunks(spark, folder).select("chunk_id", "organization_id", "document_id", "content", "embedding")
+    k = F.col("chunk_id")
+    text = F.when(k % 9 == 0, F.concat(F.lit("Clause "), k.cast("string"), F.lit(" of topic "))).otherwise(
+        F.concat(F.lit("No such text "), k.cast("string"))
+    )
+    bare = chunks.where((k % 9 < 2) & (F.col("document_id") % 4 != 1)).select(
+        (k + 1_000_000).alias("chunk_id"),
+        "organization_id",
+        (F.col("document_id") + 1_000_000).alias("document_id"),
+        text.alias("content"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    chunks = chunks.unionByName(bare)
+    matched = report.match_with_fallback(
+        chunks, inp.reg_clauses(spark, folder), inp.versions(spark, folder), inp.regulations(spark, folder), status_cut=CUT
+    )
+    documents = inp.org_documents(spark, folder).select("organization_id", "document_id", "document_name")
+    more = documents.select(
+        "organization_id",
+        (F.col("document_id") + 1_000_000).alias("document_id"),
+        F.concat(F.lit("More "), F.col("document_id").cast("string")).alias("document_name"),
     )
+    return report.document_report(documents.unionByName(more), chunks, matched)
 
 
 @query(
