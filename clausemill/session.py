@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
     A machine-local folder is used only where that setting is absent *and* the
-    master is local, because executors on other hosts could not read it.
+    driver is the only executor (master ``local`` or ``local[n]``), because
+    executors on other hosts, or of a local cluster, could not read it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="clausemill-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

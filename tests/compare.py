@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -61,7 +62,7 @@ def main() -> None:
 
     args = sys.argv[1:]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.001"
-    spark = local_session(8)
+    spark = local_session(8, checkpoint_dir=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     queries, sql = entry.queries(), entry.oracle_sql()
