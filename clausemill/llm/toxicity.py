@@ -88,13 +88,15 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``text, y`` of at most ``rows`` labelled documents that are not held out, chosen by a hash of their ids.
+    """``doc_id, y, text`` of at most ``rows`` labelled documents that are not held out, chosen by a hash of their ids.
 
-    The chosen ids are broadcast; their number is bounded by ``rows``.
+    The chosen ids are broadcast; their number is bounded by ``rows``. A
+    repeated id counts once, with the smallest of its texts.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    chosen = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    chosen = usable.where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
