@@ -22,6 +22,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,11 @@ from clausemill.llm.common import NO_ID, order_id, saved
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _TURN = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE2 = _U(0xC2B2AE3D27D4EB4F)
+_BASE, _TURN, _BASE2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
+#: Keeps the first 0 to 8 bytes of eight.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,17 +45,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = _U(1)
-    return np.multiply.accumulate(out)
-
-
-#: Bytes whose words are hashed at a time.
-_BLOCK = 1 << 20
-
-
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text's UTF-8 bytes begin and end."""
     word = np.concatenate(([False], ~_SPACES[data], [False]))
@@ -61,46 +53,67 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, block by block: sums of byte values times powers, mixed with the length."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK)))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        length = (ends[at:to] - starts[at:to]).astype(np.int64)
-        # The power of a byte is its place in its word.
-        place = np.arange(hi - lo) - np.repeat(starts[at:to] - lo, np.append(np.diff(starts[at:to]), hi - starts[to - 1]))
-        terms = _BYTE[data[lo:hi]] * _powers(_BASE, int(length.max()))[np.minimum(place, length.max() - 1)]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        sums = total[ends[at:to] - lo] - total[starts[at:to] - lo]
-        out[at:to] = _mix(sums + length.astype(np.uint64) * _TURN)
-        at = to
+    """A 64-bit hash of each word, eight bytes of all words that are as long at a time."""
+    length = ends - starts
+    out = length.astype(np.uint64) * _TURN
+    if not len(out):
+        return out
+    # Eight bytes from every place on, as one number.
+    eights = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), strides=(1,))
+    left, at = np.flatnonzero(length <= _LONG_WORD), 0
+    while len(left):
+        part = eights[starts[left] + at] & _HEAD[np.minimum(length[left] - at, 8)]
+        out[left] = _mix((out[left] ^ part) * _BASE)
+        at += 8
+        left = left[length[left] > at]
+    for i in np.flatnonzero(length > _LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
     return out
 
 
-def window_hashes(words: np.ndarray, size: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """A hash of every run of ``size`` words: runs of 1, 2, 4, ... words by doubling, joined as ``size`` in binary says."""
+#: Odd factors for joining runs, three for each doubling.
+_FACTORS = np.random.default_rng(20240601).integers(1, 1 << 63, (64, 3), dtype=np.uint64) * _U(2) + _U(1)
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words: runs of 1, 2, 4, ... words by doubling, joined as ``size`` in binary says.
+
+    Before the last step this is a sum of word hashes, each times the factors of its place.
+    """
     if len(words) < size:
         return np.empty(0, np.uint64)
-    n, done, out = len(words) - size + 1, 0, np.zeros(len(words) - size + 1, np.uint64)
-    part, width = words, 1
-    while True:
+    n, done, out, part, width = len(words) - size + 1, 0, None, words, 1
+    for left, right, joint in _FACTORS:
         if size & width:
-            out = _mix(out * base + part[done : done + n])
+            piece = part[done : done + n]
+            out = piece * joint if out is None else out + piece * joint
             done += width
         if 2 * width > size:
-            return out
-        part, width = _mix(part[:-width] * base + part[width:] * _TURN), 2 * width
+            break
+        part, width = part[:-width] * left + part[width:] * right, 2 * width
+    return _mix(out)
+
+
+_PLACE_BITS = 24
 
 
 def _picked(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Of every ``run`` consecutive hashes, the place of the smallest (the first of equals)."""
-    if len(hashes) < run:
+    """Of every ``run`` consecutive hashes, the place of the smallest by its leading bits (the first of equals)."""
+    n = len(hashes) - run + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, run)
-    step = 1 << 16  # bounds the memory for long texts
-    least = [view[i : i + step].argmin(axis=1) + np.arange(i, min(i + step, len(view))) for i in range(0, len(view), step)]
-    return np.concatenate(least)
+    step = (1 << _PLACE_BITS) - run  # places within a stretch fit in the bits that hashes give up
+    found = []
+    for at in range(0, n, step):
+        part = hashes[at : min(at + step, n) + run - 1]
+        least = part >> _U(_PLACE_BITS) << _U(_PLACE_BITS) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= run:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        if width < run:
+            least = np.minimum(least[: len(part) - run + 1], least[run - width :])
+        found.append((least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + at)
+    return np.concatenate(found)
 
 
 class Text:
@@ -110,23 +123,27 @@ class Text:
         self.data = np.frombuffer((text or "").encode(), np.uint8)
         self.starts, self.ends = word_spans(self.data)
         self.words = word_hashes(self.data, self.starts, self.ends)
-        self._windows: dict[tuple, np.ndarray] = {}
+        self._windows: dict[int, np.ndarray] = {}
 
-    def _hashes(self, size: int, base: np.uint64 = _BASE) -> np.ndarray:
-        if (size, base) not in self._windows:
-            self._windows[size, base] = window_hashes(self.words, size, base)
-        return self._windows[size, base]
+    def _hashes(self, size: int) -> np.ndarray:
+        if size not in self._windows:
+            self._windows[size] = window_hashes(self.words, size)
+        return self._windows[size]
 
     def picks(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of ``size`` words, and the pick inside each window of twice the size."""
+        if len(self.words) < 2 * size:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         hashes = self._hashes(size)
         return hashes, _picked(hashes, size + 1)
 
     def names(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits that stand for the windows of ``size`` words at the places ``at``."""
-        one = self._hashes(size)[at].view(np.int64)
-        two = (self._hashes(size, _BASE2)[at] >> _U(33)).astype(np.int32)
-        return one, two
+        """96 bits that stand for the windows of ``size`` words at the places ``at``, from the hashes of their halves."""
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        halves = self._hashes(size // 2)
+        one, two = halves[at], halves[at + size // 2] * _TURN
+        return _mix(one * _BASE + two).view(np.int64), (_mix(one * _BASE2 + two) >> _U(33)).astype(np.int32)
 
     def kept(self, gone: np.ndarray) -> str:
         """The digest of the words that stay, joined by one space."""
@@ -161,32 +178,35 @@ def _id() -> Column:
 def _first_level(texts: DataFrame, size: int) -> DataFrame:
     """``doc, own``: the hashes picked at ``size`` that start in no other document."""
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         for frame in frames:
             for doc, text in zip(frame["doc"], frame["text"], strict=True):
                 hashes, picks = Text(text).picks(size)
                 if len(picks):
                     names = np.unique(hashes[np.unique(picks)]).view(np.int64)
-                    yield pd.DataFrame({"doc": np.full(len(names), doc), "name": names})
+                    yield {"doc": np.full(len(names), doc), "name": names}
 
     found = texts.select("doc", "text").mapInPandas(_batched(emit), "doc long, name long")
     span = found.groupBy("name").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
     return span.where("doc = last").groupBy("doc").agg(F.collect_list("name").alias("own"))
 
 
-def _batched(emit, rows: int = 100_000):
-    """``emit`` with its small frames joined to larger ones."""
+def _batched(emit, rows: int = 200_000):
+    """The columns that ``emit`` gives per document, as frames of about ``rows`` rows."""
+
+    def frame(held: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({name: np.concatenate([h[name] for h in held]) for name in held[0]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-        for frame in emit(frames):
-            held.append(frame)
-            n += len(frame)
+        for columns in emit(frames):
+            held.append(columns)
+            n += len(columns["doc"])
             if n >= rows:
-                yield pd.concat(held, ignore_index=True)
+                yield frame(held)
                 held, n = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield frame(held)
 
     return run
 
@@ -228,14 +248,14 @@ def _repeating(row, text: Text, half: int, sizes: list[int]) -> np.ndarray:
 def _level(known: DataFrame, half: int, sizes: list[int], size: int) -> DataFrame:
     """Per name of a window of ``size`` words that is looked at, the first and the last document it starts in."""
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 text = Text(row.text)
                 at = _repeating(row, text, half, sizes)
                 if len(at):
                     one, two = text.names(size, at)
-                    yield pd.DataFrame({"doc": np.full(len(at), row.doc), "one": one, "two": two})
+                    yield {"doc": np.full(len(at), row.doc), "one": one, "two": two}
 
     found = known.mapInPandas(_batched(emit), "doc long, one long, two int")
     return found.groupBy("one", "two").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))

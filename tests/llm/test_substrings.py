@@ -60,11 +60,14 @@ def test_equal_to_brute_force(spark, window):
 
 
 def test_hashes_depend_on_words_alone(monkeypatch):
-    text = "the  cat\nsat é on the cat sat é on " * 40
+    text = ("the  cat\nsat é on the cat sat é on " + "w" * 8 + " " + "w" * 9 + " " + "w" * 300 + "\t") * 40
     want = Text(text).words.tolist()
     assert len(set(want[:5])) == 5 and want[:5] == want[5:10]
-    monkeypatch.setattr(substrings, "_BLOCK", 11)
-    assert Text(text).words.tolist() == want
+    assert Text("x " + text).words.tolist()[1:] == want and len(set(want)) == 8
+    run = [substrings._picked(np.array(want, np.uint64), 7).tolist()]
+    monkeypatch.setattr(substrings, "_PLACE_BITS", 10)
+    assert [substrings._picked(np.array(want, np.uint64), 7).tolist()] == run
+    assert run[0] == [min(range(i, i + 7), key=lambda k: (want[k] >> 24, k)) for i in range(len(want) - 6)]
     words = np.array(want, np.uint64)
     for size in (1, 2, 3, 25, 50):
         got = window_hashes(words, size)
