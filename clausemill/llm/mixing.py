@@ -155,7 +155,7 @@ def mix(
     docs: DataFrame,
     *,
     keep: Sequence[str] = ("doc_id",),
-    block_words: int = 256,
+    block_words: int = 128,
     shard_slots: int = 65_536,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
