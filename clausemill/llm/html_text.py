@@ -186,7 +186,11 @@ def _main(root: Element) -> list[Element]:
 
 
 def blocks(root: Element, template: frozenset[int]) -> list[str]:
-    """The text blocks of the article, without what is set apart and without the subtrees of ``template``."""
+    """The text blocks of the article, without what is set apart and without the subtrees of ``template``.
+
+    An article's running text stays although the same subtree is template elsewhere on the host.
+    """
+    safe = _safe(root) if template else set()
     out: list[str] = []
     run: list[str] = []
 
@@ -206,7 +210,7 @@ def blocks(root: Element, template: frozenset[int]) -> list[str]:
                 run.append(node)
             elif node.tag == "br":
                 run.append(" ")
-            elif node is part or not (node.apart() or node.digest in template):
+            elif node is part or not (node.apart() or (node.digest in template and id(node) not in safe)):
                 inline = node.tag in INLINE
                 if not inline:
                     end()
@@ -251,9 +255,8 @@ def template_subtrees(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
     return named.join(many.select("host", "subtree"), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
 
 
-def _candidates(root: Element) -> list[int]:
-    """The hashes of a page's subtrees that counting may remove: in an article, running text stands even if it recurs."""
-    order = hashed(root)
+def _safe(root: Element) -> set[int]:
+    """The elements (by ``id``) of an article's running text, which stands even if it recurs."""
     safe: set[int] = set()
     for part in _main(root):
         if part.tag == "#page":
@@ -263,6 +266,12 @@ def _candidates(root: Element) -> list[int]:
             element = stack.pop()
             safe.add(id(element))
             stack.extend(c for c in element.children if isinstance(c, Element) and c.tag in _RUNNING and not c.apart())
+    return safe
+
+
+def _candidates(root: Element) -> list[int]:
+    """The hashes of a page's subtrees that counting may remove."""
+    order, safe = hashed(root), _safe(root)
     return list({e.digest for e in order if e is not root and e.tag not in _SECTIONS and e.tag not in VOID and id(e) not in safe})
 
 

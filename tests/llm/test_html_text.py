@@ -84,6 +84,14 @@ def test_empty_table(spark):
     assert page_texts(spark.createDataFrame([], PAGES)).isEmpty()
 
 
+def test_a_sentence_keeps_words_that_the_menu_repeats():
+    menu = "<div class='top'><a href='/c'>Contact</a><b>News</b></div>"
+    template = frozenset(e.digest for e in hashed(parse(menu)) if e.tag in ("a", "b", "div"))
+    kept = "<article><p>Write to <a href='/x'>Contact</a> for <b>News</b> today.</p></article>"
+    assert text(menu + kept, template) == "Write to Contact for News today."
+    assert text(menu + "<p>No article</p>", template) == "No article"
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 def test_all_pages_against_a_plain_cut(spark):
     """These pages hold one article each, of headings and paragraphs only."""
