@@ -25,7 +25,7 @@ from clausemill.operators.cells import RANK_DIGITS, SIMILARITY_DIGITS, cell_kern
 BLOCK_ROWS = 8192  # a 1024-dimension block is 64 MiB of doubles
 MIN_CELL_ROWS = 256  # below this a cell is not worth a task
 #: Tables, planes and further buckets of the approximate join.
-TABLES, BITS, PROBES = 14, 6, 3
+TABLES, BITS, PROBES = 16, 6, 3
 MAX_BROADCAST_BUCKETS = 1 << 20
 MIN_SIDE_BLOCKS = 8  # a middle-sized side is still spread over this many blocks
 
@@ -160,6 +160,7 @@ def knn_join_approx(
     probes: int = PROBES,
     seed: int = 7,
     block_rows: int = BLOCK_ROWS,
+    skip_self: bool = False,
 ) -> DataFrame:
     """Like ``knn_join_exact`` but only vectors sharing a hash bucket are compared.
 
@@ -175,7 +176,7 @@ def knn_join_approx(
     few = tables << bits <= MAX_BROADCAST_BUCKETS
     key = ["table", "bucket"]
     left_cells, right_cells = _keyed_cells(left_b, right_b, key, block_rows, few)
-    cells = _run_cells(left_cells, right_cells, [*key, "lb", "rb"], k, threshold, False)
+    cells = _run_cells(left_cells, right_cells, [*key, "lb", "rb"], k, threshold, skip_self)
     distinct = cells.groupBy("left_id", "scope", "right_id").agg(F.max("similarity").alias("similarity"))
     return _best(distinct, k)
 

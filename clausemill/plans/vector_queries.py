@@ -252,17 +252,22 @@ def knn_join_exact(spark, folder):
     return knn.knn_join_exact(left, right, 10, block_rows=128).drop("scope")
 
 
+def _all_with_all(spark, folder):
+    e = table(spark, folder, "embeddings")
+    return tuple(e.select(F.col("vec_id").alias(name), F.col("embedding").alias("vector")) for name in ("left_id", "right_id"))
+
+
 @query("knn_join_approx")
 def knn_join_approx(spark, folder):
-    left, right = _even_odd(spark, folder)
-    return knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD).drop("scope")
+    left, right = _all_with_all(spark, folder)
+    return knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True).drop("scope")
 
 
 @query("knn_join_recall")
 def knn_join_recall(spark, folder):
-    left, right = _even_odd(spark, folder)
-    approx = knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD)
-    found = knn.recall(approx, knn.knn_join_exact(left, right, 10, threshold=inp.POLICY_THRESHOLD))
+    left, right = _all_with_all(spark, folder)
+    approx = knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True)
+    found = knn.recall(approx, knn.knn_join_exact(left, right, 10, threshold=inp.POLICY_THRESHOLD, skip_self=True))
     return found.join(F.broadcast(knn.comparisons(left, right, dim=DIM)), F.lit(True))  # one row each
 
 
