@@ -10,12 +10,14 @@ from clausemill.llm.chunk_dedup import exact_dedup
 from clausemill.llm.common import read
 from clausemill.llm.decontaminate import contamination
 from clausemill.llm.html_text import page_texts
+from clausemill.llm.lexical import ranked
 from clausemill.llm.mixing import mix, taken
 from clausemill.llm.quality import quality
 from clausemill.llm.simhash import near_duplicates
 from clausemill.llm.substrings import remove_repeats
 from clausemill.llm.token_shards import Vocabulary, write_shards
 from clausemill.llm.toxicity import toxicity, train
+from clausemill.llm.warc import read_chunks, records, write_warc
 
 
 def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,6 +120,51 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken(mix(read(spark, folder, "documents"))).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes all pages as WARC archives and returns what is read back from them."""
+    told = records(read_chunks(spark, write_warc(read(spark, folder, "pages"))))
+    return told.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+OP12_SQL = """
+WITH told AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) END AS seen
+         FROM told)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN seen > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN seen > page_id THEN seen END AS refers_to, true AS intact
+FROM last
+"""
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf
+       FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), total),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
@@ -129,9 +176,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,
     "op10_source_mixing": op10_source_mixing,
+    "op12_warc": op12_warc,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL = {
     "op3_chat_format": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
