@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.chat import format_chats, read_loss, read_turns
 from clausemill.llm.chunk_dedup import exact_dedup
+from clausemill.llm.collocations import collocations
 from clausemill.llm.common import read
 from clausemill.llm.decontaminate import contamination
 from clausemill.llm.html_text import page_texts
@@ -120,6 +121,37 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken(mix(read(spark, folder, "documents"))).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spoken),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM places, range(1, 5) AS ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+asked AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, w, k FROM asked),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:c.k], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM asked, range(2, 4) AS ms(m), range(1, 4) AS places(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM scored LEFT JOIN inside USING (lang, phrase) JOIN total USING (lang)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Writes all pages as WARC archives and returns what is read back from them."""
     told = records(read_chunks(spark, write_warc(read(spark, folder, "pages"))))
@@ -176,6 +208,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,
     "op10_source_mixing": op10_source_mixing,
+    "op11_collocations": op11_collocations,
     "op12_warc": op12_warc,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -183,6 +216,7 @@ QUERIES = {
 SQL = {
     "op3_chat_format": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_warc": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
 }
