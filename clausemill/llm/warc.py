@@ -3,8 +3,9 @@
 A payload is cut into chunks of bounded size, and each chunk is a WARC record
 of its own: the first a ``response``, the others its ``continuation`` segments.
 Spark's text writer writes such records one after the other and its text reader
-finds them again by the line that opens a record, so archives can be split. A
-chunk never holds that line: it is cut in the middle of it.
+finds them again by the line that opens a record. A chunk never holds that
+line: it is cut in the middle of it. Archives are compressed as a whole unless
+they shall be read in splits.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from clausemill.session import work_dir
 CHUNK_BYTES = 1 << 18
 #: Payloads of fewer bytes are stored again and again rather than referred to.
 MIN_BYTES = 1000
+#: An archive holds so many chunks at most.
+MAX_RECORDS = 1 << 17
 #: A frame between Python and Spark holds about so many bytes.
 _FRAME_BYTES = 1 << 22
 _VERSION = b"WARC/1.1\r\n"
@@ -153,6 +156,8 @@ def write_warc(
     *,
     min_bytes: int = MIN_BYTES,
     chunk_bytes: int = CHUNK_BYTES,
+    max_records: int = MAX_RECORDS,
+    compression: str = "gzip",
     date: str = "2024-01-01T00:00:00Z",
 ) -> str:
     """Writes a record per row of ``pages`` (``page_id, url, html``) below ``path`` (by default a fresh shared folder), and returns it.
@@ -164,7 +169,9 @@ def write_warc(
     id or address is left out. Other columns are not read. Every task writes an
     archive, whose first record is a ``warcinfo``; Spark's writer commits the
     files, so a task that is run again leaves nothing twice. An empty table
-    gives an empty folder. ``date`` stands in all records, as pages have none.
+    gives an empty folder. A gzip archive is read by one task, from front to
+    back, and holds at most ``max_records`` chunks; with ``compression="none"``
+    archives are read in splits. ``date`` stands in all records, as pages have none.
     """
     path = path or work_dir(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
@@ -201,7 +208,7 @@ def write_warc(
             yield pd.DataFrame({"value": held})
 
     records = rows.mapInPandas(archive, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\r\n").option("compression", "none").text(path)
+    records.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", max_records).text(path)
     return path
 
 
@@ -231,7 +238,7 @@ def parse(row: bytes) -> tuple | None:
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The archives' chunks: ``record_id, chunk`` (from 1), whether it is the ``last``, its ``payload``, and what the headers say.
 
-    Archives are read in splits like any text, a record at a time. A record that
+    Archives are read like any text, a record at a time, in splits unless compressed. A record that
     ends too early raises an error.
     """
     lines = spark.read.schema("value string").option("lineSep", SEPARATOR.decode()).text(path)
