@@ -15,7 +15,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,13 +64,17 @@ class Words:
         self.ends = self.starts + sizes
 
     def hashes(self) -> np.ndarray:
-        """A number per word from its length, first and last bytes; it only decides where chunks begin."""
-        padded = bytes(8) + self.data + bytes(8)
-        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-        sizes = self.ends - self.starts
-        spare = _U(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)
-        head, tail = eight[self.starts + 8] << spare, eight[self.ends] >> spare
-        return _mixed(head + _mixed(tail + sizes.astype(np.uint64)))
+        return _hashes(self.data, self.starts, self.ends)
+
+
+def _hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number per word from its length, first and last eight bytes; equal words have equal ones, some others too."""
+    padded = b"".join((bytes(8), data, bytes(8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    spare = _U(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)
+    head, tail = eight[starts + 8] << spare, eight[ends] >> spare
+    return _mixed(head + _mixed(tail + sizes.astype(np.uint64)))
 
 
 def _chunks(words: Words, overlap: int, trigger: int, most: int) -> Iterator[tuple[int, bytes, bool]]:
@@ -135,7 +141,7 @@ def parse(texts: list[bytes], *, overlap: int = MAX_WORDS - 1, trigger: int = TR
 
 
 def dictionary(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """``lang, chunk, tail, f``: the distinct chunks of all texts per language and how often the parse holds each."""
+    """``lang, chunk, tail, f``: the distinct chunks of all texts per language (255 behind each) and how often the parse holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +157,7 @@ def dictionary(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
             yield _batch(*found)
 
     def _batch(langs, chunks, tails):
+        chunks = [c + b"\xff" for c in chunks]
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(tails, pa.bool_())], ["lang", "chunk", "tail"])
 
     texts = docs.select(_lang().alias("lang"), F.col("text").cast("binary").alias("text")).where("text is not null")
@@ -162,27 +169,37 @@ def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("und"))
 
 
-def _slots(hashes: list[np.ndarray], bits: int) -> np.ndarray:
-    """The bit of the filter for n-grams given by the hashes of their words, one array per place."""
-    state = np.zeros(len(hashes[0]), np.uint64)
-    for h in hashes:
-        state = _mixed(state * _U(0x9E3779B97F4A7C15) + h)
+def _slots(lang: str, hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bit of the filter for the n words from each place on (all but the last n - 1 places)."""
+    m = len(hashes) - n + 1
+    state = np.full(m, xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for i in range(n):
+        state = _mixed(state * _U(0x9E3779B97F4A7C15) + hashes[i : i + m])
     return (state >> _U(64 - bits)).astype(np.int64)
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, len(lang) << 32 ^ xxhash.xxh32_intdigest(lang.encode()))
+def _edges(blob: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end in parsed texts each followed by one separator, and those separators."""
+    raw = np.frombuffer(blob, np.uint8)
+    ends = np.flatnonzero((raw == _BLANK) | (raw == _BREAK) | (raw == _TEXT))
+    return np.r_[0, ends[:-1] + 1], ends, raw[ends]
+
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    for lang in pc.unique(batch["lang"]).to_pylist():
+        yield lang, batch.filter(pc.equal(batch["lang"], lang))
 
-def _filter(grams: DataFrame, bits: int) -> np.ndarray:
+
+def _filter(grams: DataFrame, n: int, bits: int) -> np.ndarray:
     """A bitmap of fixed size in which the bit of every n-gram of ``grams`` (``lang, phrase``) is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [p.split(b" ") for p in batch["phrase"].to_pylist()]
-            rows = [[_word_hash(lang, w) for w in p] for lang, p in zip(batch["lang"].to_pylist(), split, strict=True)]
-            slots = _slots(list(np.array(rows, np.uint64).T), bits) + 1 if rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
+            for lang, part in _by_lang(batch):
+                blob = b" ".join(part["phrase"].to_pylist()) + b" "
+                starts, ends, _ = _edges(blob)
+                slots = _slots(lang, _hashes(blob, starts, ends), n, bits)[::n] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
 
     slots = grams.select("lang", "phrase").mapInArrow(run, "slot long")
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
@@ -199,70 +216,76 @@ def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def grams(
-    lang: str, chunks: list[bytes], tails: np.ndarray, weights: np.ndarray, n: int, overlap: int, bitmap: np.ndarray | None
+    lang: str, blob: bytes, tails: np.ndarray, weights: np.ndarray, n: int, overlap: int, bitmap: np.ndarray | None
 ) -> tuple[list[bytes], np.ndarray]:
-    """The distinct n-grams of some chunks and their weighted counts; without those whose parts the filter of
-    (n - 1)-grams shows to be rare. Words are compared themselves, not by hashes."""
-    blob = bytes([_TEXT]).join(chunks)
-    raw = np.frombuffer(blob, np.uint8)
-    separators = np.flatnonzero((raw == _BLANK) | (raw == _BREAK) | (raw == _TEXT))
-    starts, ends = np.r_[0, separators + 1], np.r_[separators, len(raw)]
-    apart = np.r_[True, raw[separators] != _BLANK]
-    chunk = np.r_[0, np.cumsum(raw[separators] == _TEXT)]
-    vocabulary: dict[bytes, int] = defaultdict()
-    vocabulary.default_factory = vocabulary.__len__
-    words = blob.replace(b"\n", b" ").replace(b"\xff", b" ").split(b" ")
-    ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-    last = np.searchsorted(chunk, np.arange(len(chunks)), "right") - 1
-    fits = tails[chunk] | (last[chunk] - np.arange(len(ids)) >= overlap)
-    for i in range(1, n):
-        fits[-i:] = False
-        fits[:-i] &= ~apart[i:]
-    at = np.flatnonzero(fits)
-    if n > 1 and len(at):
-        hashes = np.array([_word_hash(lang, w) for w in vocabulary], np.uint64)[ids]
-        if n == 2:
-            known = _set(bitmap, _slots([hashes], FILTER_BITS))
-            at = at[known[at] & known[at + 1]]
-        else:
-            known = _set(bitmap, _slots([hashes[at + i] for i in range(n - 1)], FILTER_BITS))
-            at = at[known]
-            at = at[_set(bitmap, _slots([hashes[at + 1 + i] for i in range(n - 1)], FILTER_BITS))]
+    """The distinct n-grams of some chunks (``blob``, each with 255 behind it) and their weighted counts; without those
+    whose parts the filter of (n - 1)-grams shows to be rare. Words are compared themselves, not by hashes."""
+    starts, ends, after = _edges(blob)
+    size = len(starts)
+    if size < n:
+        return [], np.empty(0, np.int64)
+    closing = np.flatnonzero(after == _TEXT)
+    chunk = np.repeat(np.arange(len(closing)), np.diff(np.r_[-1, closing]))
+    fits = tails[chunk] | (closing[chunk] - np.arange(size) >= overlap)
+    if n > 1:
+        held = fits[: size - n + 1]
+        for i in range(n - 1):
+            held &= after[i : size - n + 1 + i] == _BLANK
+        known = np.append(_set(bitmap, _slots(lang, _hashes(blob, starts, ends), n - 1, FILTER_BITS)), False)
+        held &= known[: len(held)] & known[1 : len(held) + 1]
+        at = np.flatnonzero(held)
+    else:
+        at = np.flatnonzero(fits)
     if not len(at):
         return [], np.empty(0, np.int64)
-    key = ids[at]
-    first, key = np.unique(key, return_index=True, return_inverse=True)[1:]
-    for i in range(1, n):
-        first, key = np.unique(key << 32 | ids[at + i], return_index=True, return_inverse=True)[1:]
-    counts = np.zeros(len(first), np.int64)
-    np.add.at(counts, key, weights[chunk[at]])
-    begin, end = starts[at[first]].tolist(), ends[at[first] + n - 1].tolist()
-    return [blob[a:b] for a, b in zip(begin, end, strict=True)], counts
+    if n > 2:  # few are left
+        phrases = np.empty(len(at), object)
+        phrases[:] = [blob[a:b] for a, b in zip(starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)]
+        key, distinct = pd.factorize(phrases)
+        return distinct.tolist(), _summed(key, weights[chunk[at]], len(distinct))
+    vocabulary: dict[bytes, int] = defaultdict()
+    vocabulary.default_factory = vocabulary.__len__
+    words = blob[:-1].replace(b"\n", b" ").replace(b"\xff", b" ").split(b" ")
+    key = np.fromiter(map(vocabulary.__getitem__, words), np.int64, size)
+    if n == 1:
+        counts = _summed(key[at], weights[chunk[at]], len(vocabulary))
+        return [w for w, c in zip(vocabulary, counts.tolist(), strict=True) if c], counts[counts > 0]
+    key, distinct = pd.factorize(key[at] << 32 | key[at + 1])
+    counts, some = _summed(key, weights[chunk[at]], len(distinct)), np.empty(len(distinct), np.int64)
+    some[key] = at
+    return [blob[a:b] for a, b in zip(starts[some].tolist(), ends[some + 1].tolist(), strict=True)], counts
+
+
+def _summed(key: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers; doubles hold them up to 2^53, far beyond what a block can reach."""
+    return np.bincount(key, weights, n).astype(np.int64)
 
 
 def counted(chunks: DataFrame, n: int, shorter: DataFrame | None, overlap: int) -> DataFrame:
     """``lang, phrase, f``: the n-grams in a dictionary whose (n - 1)-grams are among ``shorter``, and perhaps some others."""
-    bitmap = _filter(shorter, FILTER_BITS) if shorter is not None else None
+    bitmap = _filter(shorter, n - 1, FILTER_BITS) if shorter is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, list[pa.RecordBatch]] = {}
         size = 0
 
         def flush():
-            for lang, rows in held.items():
-                phrases, counts = grams(lang, [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), n, overlap, bitmap)
+            for lang, parts in held.items():
+                rows = pa.Table.from_batches(parts)
+                blob = b"".join(rows["chunk"].to_pylist())
+                phrases, counts = grams(lang, blob, rows["tail"].to_numpy(), rows["f"].to_numpy(), n, overlap, bitmap)
                 for i in range(0, len(phrases), 1 << 16):
                     part = phrases[i : i + (1 << 16)]
                     columns = [pa.array([lang] * len(part)), pa.array(part, pa.binary()), pa.array(counts[i : i + (1 << 16)])]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, *row in zip(*(batch[c].to_pylist() for c in ("lang", "chunk", "tail", "f")), strict=True):
-                held.setdefault(lang, []).append(row)
-                size += len(row[0])
-                if size >= 4 * _BLOCK:
-                    yield from flush()
-                    held, size = {}, 0
+            for lang, part in _by_lang(batch):
+                held.setdefault(lang, []).append(part)
+            size += batch["chunk"].nbytes
+            if size >= 4 * _BLOCK:
+                yield from flush()
+                held, size = {}, 0
         yield from flush()
 
     found = chunks.mapInArrow(run, "lang string, phrase binary, f long")

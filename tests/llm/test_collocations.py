@@ -57,16 +57,11 @@ def table(spark, docs):
 
 
 def counted(chunks, n, overlap=3):
-    rows = [(c, z, f) for c, z, f in chunks]
-    found, counts = grams("en", [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), n, overlap, None) if n == 1 else every(rows, n, overlap)
+    blob, full = b"".join(c + b"\xff" for c, _, _ in chunks), np.full(1 << 23, 255, np.uint8)
+    found, counts = grams("en", blob, np.array([z for _, z, _ in chunks]), np.array([f for _, _, f in chunks]), n, overlap, full)
     return Counter(dict(zip(found, counts.tolist(), strict=True)))
 
 
-def every(rows, n, overlap):
-    full = np.full(1 << 23, 255, np.uint8)
-    return grams("en", [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), n, overlap, full)
-
-
 def test_each_ngram_counts_once_however_a_text_is_parsed():
     rng = random.Random(2)
     for _ in range(120):
