@@ -244,7 +244,8 @@ def template_subtrees(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
                 keys += [key] * len(digests)
                 hosts += [where] * len(digests)
                 found += digests
-            yield pd.DataFrame({"key": keys, "host": hosts, "subtree": found})
+            if found:  # columns without values have no type that Arrow could convert
+                yield pd.DataFrame({"key": keys, "host": hosts, "subtree": found})
 
     key = F.xxhash64(*row_key("page_id", "html"), "url")
     source = pages.select(key.alias("key"), host(F.col("url")).alias("host"), "html")

@@ -80,6 +80,13 @@ def test_hosts(spark):
     assert [r.h for r in frame.collect()] == ["www.a.example", "b.example", "", "", "", "[bad", "d.example"]
 
 
+@pytest.mark.parametrize("html, want", [(None, ""), ("", ""), ("plain", "plain"), ("<article><p>One</p><p>two</p></article>", "One\ntwo"), ("<!-- -->", "")])
+def test_odd_pages_alone(spark, html, want):
+    """No page of the batch holds a subtree that counting could remove."""
+    rows = [(i, u, html, "x", 1, 2) for i, u in enumerate([None, "http://a.example/1"])]
+    assert [r.text for r in page_texts(spark.createDataFrame(rows, PAGES)).collect()] == [want, want]
+
+
 def test_empty_table(spark):
     assert page_texts(spark.createDataFrame([], PAGES)).isEmpty()
 
