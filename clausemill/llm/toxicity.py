@@ -27,6 +27,8 @@ SAMPLE_ROWS = 16_384
 FEATURES = 8192
 _TASKS, _CHUNKS = 16, 64
 _U = np.uint64
+#: Features of rows that are unfolded together.
+_PIECE = 1 << 20
 #: Characters that are looked at together.
 _BLOCK = 1 << 20
 
@@ -140,14 +142,27 @@ def _telling(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int
     return np.sort(best[(seen[best] > 1) & (cells[best] > 1)])
 
 
-def _logistic(place: np.ndarray, row: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, rounds: int = 80):
-    """Weights and bias (last) of a regularised logistic regression over sparse rows, by limited-memory BFGS."""
-    n, x, ridge = len(y), value[place], 1e-4
+def _logistic(place: np.ndarray, sizes: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 80):
+    """Weights and bias (last) of a regularised logistic regression over sparse rows, by limited-memory BFGS.
+
+    ``place`` holds the features of all rows, ``sizes`` how many each row has.
+    A piece of the rows is unfolded at a time, so that memory stays near that
+    of ``place`` itself.
+    """
+    n, width, ridge = len(y), len(value), 1e-4
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(_PIECE, int(ends[-1]) + _PIECE, _PIECE)).clip(max=n), n])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        odds = w[-1] + np.bincount(row, weights=x * w[place], minlength=n)
-        off = (1 / (1 + np.exp(-np.clip(odds, -35, 35))) - y) / n
-        slope = np.append(np.bincount(place, weights=x * off[row], minlength=width) + ridge * w[:-1], off.sum())
+        odds, scaled, total = np.full(n, w[-1]), w[:-1] * value, np.zeros(width)
+        off = np.empty(n)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at = place[ends[a] - sizes[a] : ends[b - 1]]
+            row = np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])
+            odds[a:b] += np.bincount(row, weights=scaled[at], minlength=b - a)
+            off[a:b] = (1 / (1 + np.exp(-np.clip(odds[a:b], -35, 35))) - y[a:b]) / n
+            total += np.bincount(at, weights=off[a:b][row], minlength=width)
+        slope = np.append(total * value + ridge * w[:-1], off.sum())
         return float(np.mean(np.logaddexp(0, odds) - y * odds) + ridge / 2 * w[:-1] @ w[:-1]), slope
 
     w, past = np.zeros(width + 1), []
@@ -204,10 +219,11 @@ def train(
             yield pd.DataFrame({"at": at, "y": frame["y"]})
 
     got = rows.mapInPandas(held, "at binary, y int").collect()  # at most sample_rows rows of 2 x features bytes
-    lists = [np.frombuffer(r["at"], np.uint16) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(x) for x in lists])
-    place = np.concatenate(lists).astype(np.int64) if lists else np.empty(0, np.int64)
-    weights, bias = _logistic(place, row, ratio, np.array([r["y"] for r in got], np.float64), len(chosen))
+    y = np.array([r["y"] for r in got], np.float64)
+    sizes = np.array([len(r["at"]) // 2 for r in got], np.int64)
+    place = np.frombuffer(b"".join(r["at"] for r in got), np.uint16)
+    del got
+    weights, bias = _logistic(place, sizes, ratio, y)
     table = np.zeros(1 << TABLE_BITS)
     table[chosen] = weights * ratio
     return Model(table, bias)
