@@ -398,6 +398,8 @@ def like_probe(clauses: DataFrame, pattern: str, query_vector: list[float] | Col
 
 PREFIX_CHARS = 80
 ANCHOR_WORDS = 3
+#: So many anchors are compared with every text before its anchors become rows.
+FEW_ANCHORS = 4096
 SHORT_ANCHOR_CHARS = 3
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -440,13 +442,18 @@ def text_fallback_match(
     clause_id, rank), the k smallest clause ids per chunk.  ``%`` and ``_`` in
     the chunk stay wildcards.
 
-    An equi-join on anchors finds candidates, the LIKE test decides.  The words
+    An equi-join on anchors finds candidates, the LIKE test decides. The words
     inside a wildcard-free stretch of the prefix, without its first and last
-    (which may be cut), must all stand as whole words in a matching text: up
-    to three of them in a row are the anchor.  Prefixes without such a word
-    take the first three, two or one characters of a stretch.  A prefix of
-    wildcards alone asks for a length only.  Texts are taken apart once, into
-    the kinds of anchors that some prefix asks for.
+    (which may be cut), must all stand as whole words in a matching text: any
+    three of them in a row (or fewer, if there are no more) can be the anchor.
+    Prefixes without such a word take three, two or one characters in a row of
+    a stretch. Of a prefix's anchors the one that the fewest texts hold is
+    looked for; a prefix with an anchor that no text holds has no match. A
+    prefix of wildcards alone asks for a length only.
+
+    Texts are taken apart into the kinds of anchors that some prefix asks for;
+    while at most ``FEW_ANCHORS`` are asked for, only those become rows, else
+    all do and the join drops the others.
     """
     limit = match_limit(top_k)
     prefix = F.substring("content", 1, prefix_chars)
@@ -461,6 +468,9 @@ def text_fallback_match(
     words_n = F.least(longest["n"], F.lit(ANCHOR_WORDS))
     chars_n = F.least(literal["n"], F.lit(SHORT_ANCHOR_CHARS))
     asked = chunks.where(F.col("content").isNotNull()).select("chunk_id", _like_pattern(F.col("content"), prefix_chars).alias("_like"))
+    word_anchors = F.when(words_n == ANCHOR_WORDS, _phrases(longest["ws"], ANCHOR_WORDS)).otherwise(F.array(F.array_join(longest["ws"], " ")))
+    letters = F.filter(F.split(literal["s"], ""), lambda c: c != "")
+    char_anchors = F.when(chars_n == SHORT_ANCHOR_CHARS, _grams(letters, SHORT_ANCHOR_CHARS)).otherwise(F.array(literal["s"]))
     # Every pattern is matched once and cut to its k clauses, however many chunks share it.
     patterns = (
         chunks.where(F.col("content").isNotNull())
@@ -469,32 +479,40 @@ def text_fallback_match(
             F.when(words_n > 0, F.concat(F.lit("w"), words_n.cast("string")))
             .when(chars_n > 0, F.concat(F.lit("c"), chars_n.cast("string")))
             .alias("_kind"),
-            F.when(words_n > 0, F.array_join(F.slice(longest["ws"], 1, ANCHOR_WORDS), " "))
-            .otherwise(F.substring(literal["s"], 1, SHORT_ANCHOR_CHARS))
-            .alias("_anchor"),
+            F.when(words_n > 0, word_anchors).otherwise(char_anchors).alias("_anchors"),
             # What stands before a backslash is escaped and thus a character; the count only has to be no larger than needed.
             F.length(F.regexp_replace(F.regexp_replace(prefix, r"\\.?", ""), "[^_]", "")).alias("_least"),
         )
-        .distinct()
+        .dropDuplicates(["_like"])
     )
     texts = clauses.select("clause_id", "text").where(F.col("text").isNotNull())
-    kinds = patterns.agg(F.collect_set("_kind")).scalar()  # at most six
+    wanted = patterns.where(F.col("_kind").isNotNull()).select("_like", "_kind", F.explode("_anchors").alias("_anchor"))
+
+    # One row of bounded size each: the kinds (at most six) and, while they are few, the anchors asked for.
+    kinds = patterns.agg(F.collect_set("_kind")).scalar()
+    few = wanted.select("_anchor").distinct().limit(FEW_ANCHORS + 1).agg(F.collect_set("_anchor")).scalar()
+
+    def held(values: Column) -> Column:
+        return F.when(F.size(few) <= FEW_ANCHORS, F.array_intersect(values, few)).otherwise(F.array_distinct(values))
+
+    def entries(kind: str, values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), F.when(F.array_contains(kinds, kind), held(values)).alias("_held"))
+
+    letter_kinds = F.array(*[F.lit(f"c{n}") for n in range(1, SHORT_ANCHOR_CHARS + 1)])
     taken_apart = texts.select(
         "clause_id",
         F.filter(F.split(F.lower("text"), _WORD_BREAK), lambda w: w != "").alias("_ws"),
-        F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("_ls"),
-        kinds.alias("_kinds"),
+        F.when(F.arrays_overlap(kinds, letter_kinds), F.filter(F.split(F.lower("text"), ""), lambda c: c != "")).alias("_ls"),
     )
-
-    def entries(kind: str, values: Column) -> Column:
-        named = F.transform(values, lambda v: F.struct(F.lit(kind).alias("_kind"), v.alias("_anchor")))
-        return F.when(F.array_contains("_kinds", kind), named)
-
     found = [entries(f"w{n}", _phrases(F.col("_ws"), n)) for n in range(1, ANCHOR_WORDS + 1)]
     found += [entries(f"c{n}", _grams(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
-    held = F.array_distinct(F.flatten(F.array_compact(F.array(*found))))
-    anchors = taken_apart.select("clause_id", F.explode(held).alias("_a")).select("clause_id", "_a.*")
-    candidates = anchors.join(patterns.where(F.col("_kind").isNotNull()).select("_like", "_kind", "_anchor"), ["_kind", "_anchor"])
+    by_kind = taken_apart.select("clause_id", F.explode(F.array(*found)).alias("_e")).select("clause_id", "_e._kind", F.explode("_e._held").alias("_anchor"))
+    holders = by_kind.join(wanted.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"], "left_semi")
+    often = holders.groupBy("_kind", "_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = wanted.join(often, ["_kind", "_anchor"], "left").groupBy("_like", "_kind")
+    chosen = weighed.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_anchor").alias("anchor"))).alias("_a"))
+    rarest = chosen.where("_a.n > 0").select("_like", "_kind", F.col("_a.anchor").alias("_anchor"))
+    candidates = holders.join(rarest, ["_kind", "_anchor"])
 
     # Wildcards alone: the lengths asked for, at most prefix_chars + 1 of them, meet the texts that are long enough.
     open_ = patterns.where(F.col("_kind").isNull())

@@ -99,13 +99,12 @@ def cosine(spark, folder):
         f"""SELECT query_id, clause_id, similarity, rank FROM (
   SELECT q.vec_id AS query_id, c.clause_id, round({inp.sql_cosine('c.embedding', 'q.v')}, 4) AS similarity,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('c.embedding', 'q.v')}, 12) DESC, c.clause_id) AS INTEGER) AS rank
-  FROM catalog_rows c, (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 1) q) r
+  FROM catalog_rows c, (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) q) r
 WHERE rank <= 5""",
     ),
 )
 def search_many(spark, folder):
-    asked = table(spark, folder, "embeddings").where(F.col("vec_id") % 2 == 1)
-    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.search_many(_catalog(spark, folder), queries)
 
 
@@ -138,15 +137,14 @@ def search_param_validation(spark, folder):
   SELECT q.vec_id AS query_id, k.organization_id, k.chunk_id, k.document_id, d.document_name, d.document_type, d.version AS document_version,
     k.content, k.section_title, k.clause_reference, k.chunk_index, round({inp.sql_cosine('k.embedding', 'q.v')}, 4) AS similarity,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({inp.sql_cosine('k.embedding', 'q.v')}, 12) DESC, k.chunk_id) AS INTEGER) AS rank
-  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 0) q
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) q
   JOIN org_chunks k ON k.organization_id = q.label
   JOIN org_documents d ON d.document_id = k.document_id AND d.organization_id = k.organization_id AND d.status = 'processed') r
 WHERE rank <= 3""",
     ),
 )
 def search_org_policies(spark, folder):
-    asked = table(spark, folder, "embeddings").where(F.col("vec_id") % 2 == 0)
-    queries = asked.select(
+    queries = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("query_id"),
         F.col("label").cast("long").alias("organization_id"),
         F.col("embedding").alias("vector"),
@@ -231,30 +229,23 @@ def match_requests(spark, folder):
     return hits.unionByName(refused, allowMissingColumns=True).select(*columns)
 
 
-def _even_odd(spark, folder):
+def _all_with_all(spark, folder):
     e = table(spark, folder, "embeddings")
-    left = e.where(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector"))
-    right = e.where(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector"))
-    return left, right
+    return tuple(e.select(F.col("vec_id").alias(name), F.col("embedding").alias("vector")) for name in ("left_id", "right_id"))
 
 
 _KNN_SQL = f"""SELECT left_id, right_id, similarity, rank FROM (
   SELECT l.vec_id AS left_id, r.vec_id AS right_id, round({inp.sql_cosine('l.v', 'r.v')}, 4) AS similarity,
     CAST(row_number() OVER (PARTITION BY l.vec_id ORDER BY round({inp.sql_cosine('l.v', 'r.v')}, 12) DESC, r.vec_id) AS INTEGER) AS rank
-  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 0) l,
-       (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 1) r) p
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) l
+  JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) r ON l.vec_id <> r.vec_id) p
 WHERE rank <= 10"""
 
 
 @query("knn_join_exact", _KNN_SQL)
 def knn_join_exact(spark, folder):
-    left, right = _even_odd(spark, folder)
-    return knn.knn_join_exact(left, right, 10, block_rows=128).drop("scope")
-
-
-def _all_with_all(spark, folder):
-    e = table(spark, folder, "embeddings")
-    return tuple(e.select(F.col("vec_id").alias(name), F.col("embedding").alias("vector")) for name in ("left_id", "right_id"))
+    left, right = _all_with_all(spark, folder)
+    return knn.knn_join_exact(left, right, 10, block_rows=128, skip_self=True).drop("scope")
 
 
 @query("knn_join_approx")
@@ -452,7 +443,7 @@ def embed_dimension_histogram(spark, folder):
 
 EVAL = {
     "hits": f"SELECT left_id, right_id, rank FROM ({_KNN_SQL}) WHERE rank <= 5",
-    "cases": "SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 2 = 0",
+    "cases": "SELECT vec_id AS query_id, label FROM embeddings",
     "ranked": """
   SELECT h.left_id AS query_id, h.rank, 'Label ' || e.label || ' of ' || e.vec_id AS text, c.label
   FROM hits h JOIN embeddings e ON e.vec_id = h.right_id JOIN cases c ON c.query_id = h.left_id""",
@@ -468,15 +459,15 @@ EVAL = {
 
 
 def _eval_inputs(spark, folder):
-    left, right = _even_odd(spark, folder)
+    left, right = _all_with_all(spark, folder)
     e = table(spark, folder, "embeddings")
     label = F.col("label").cast("string")
     texts = e.select(
         F.col("vec_id").alias("right_id"),
         F.concat(F.lit("Label "), label, F.lit(" of "), F.col("vec_id").cast("string")).alias("text"),
     )
-    hits = knn.knn_join_exact(left, right, 5).join(texts, "right_id")
-    cases = e.where(F.col("vec_id") % 2 == 0).select(
+    hits = knn.knn_join_exact(left, right, 5, skip_self=True).join(texts, "right_id")
+    cases = e.select(
         F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("LABEL "), label, F.lit(" of"))).alias("snippets")
     )
     return hits.select(F.col("left_id").alias("query_id"), "rank", "text"), cases
