@@ -508,7 +508,9 @@ def text_fallback_match(
     found += [entries(f"c{n}", _grams(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
     by_kind = taken_apart.select("clause_id", F.explode(F.array(*found)).alias("_e")).select("clause_id", "_e._kind", F.explode("_e._held").alias("_anchor"))
     holders = by_kind.join(wanted.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"], "left_semi")
-    often = holders.groupBy("_kind", "_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    # Dealt out once: the counts and the candidates read the same shuffle, so texts are taken apart once.
+    holders = holders.repartition("_kind", "_anchor")
+    often = holders.groupBy("_kind", "_anchor").agg(F.count("clause_id").alias("_n"))
     weighed = wanted.join(often, ["_kind", "_anchor"], "left").groupBy("_like", "_kind")
     chosen = weighed.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_anchor").alias("anchor"))).alias("_a"))
     rarest = chosen.where("_a.n > 0").select("_like", "_kind", F.col("_a.anchor").alias("_anchor"))
