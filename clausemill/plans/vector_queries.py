@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.functions.vectors import cosine_similarity
-from clausemill.operators import embed, evaluate, knn, search
+from clausemill.operators import ann, embed, evaluate, knn, search
 from clausemill.plans import inputs as inp
 from clausemill.plans.registry import query, table, with_ctes
+from clausemill.session import work_dir
 
 DIM = 64
 
@@ -248,14 +249,53 @@ def knn_join_exact(spark, folder):
     return knn.knn_join_exact(left, right, 10, block_rows=128, skip_self=True).drop("scope")
 
 
+@query("knn_join_pruned", _KNN_SQL)
+def knn_join_pruned(spark, folder):
+    """All vectors against all others; cells that cannot hold a neighbour are not built."""
+    left, right = _all_with_all(spark, folder)
+    return ann.knn_join_pruned(left, right, 10, dim=DIM, skip_self=True)
+
+
 @query("knn_join_approx")
 def knn_join_approx(spark, folder):
     left, right = _all_with_all(spark, folder)
-    return knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True).drop("scope")
+    return ann.knn_join_indexed(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True)
+
+
+def _index_recall(left, right, threshold):
+    """One row: recall against the exact join, and the looks of both index joins beside all pairs."""
+    index = ann.build(right, dim=DIM)
+    found = ann.search_index(left, index, 10, threshold=threshold, skip_self=True)
+    exact = knn.knn_join_exact(left, right, 10, dim=DIM, threshold=threshold, skip_self=True)
+    share = knn.recall(found.rows.withColumn("scope", F.lit(0)), exact)
+    pruned = ann.search_pruned(left, index, 10, threshold=threshold, skip_self=True)
+    looks = ann.comparisons(left, index, found).withColumnRenamed("compared", "compared_codes")
+    exactly = ann.comparisons(left, index, pruned).select(F.col("compared").alias("compared_pruned"))
+    return share.join(F.broadcast(looks), F.lit(True)).join(F.broadcast(exactly), F.lit(True))  # one row each
 
 
 @query("knn_join_recall")
 def knn_join_recall(spark, folder):
+    return _index_recall(*_all_with_all(spark, folder), inp.POLICY_THRESHOLD)
+
+
+@query("knn_documents_recall")
+def knn_documents_recall(spark, folder):
+    """The same on vectors that lie in clusters: hashed term frequencies of all documents."""
+    path = work_dir(spark, "document-vectors")
+    embed.embed_documents(table(spark, folder, "documents").select("doc_id", "text"), dim=DIM, output_col="vector").write.parquet(path)
+    stored = spark.read.schema("doc_id long, text string, vector array<float>").parquet(path)
+    return _index_recall(*(stored.select(F.col("doc_id").alias(name), "vector") for name in ("left_id", "right_id")), None)
+
+
+@query("knn_join_hashed")
+def knn_join_hashed(spark, folder):
+    left, right = _all_with_all(spark, folder)
+    return knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True).drop("scope")
+
+
+@query("knn_hashed_recall")
+def knn_hashed_recall(spark, folder):
     left, right = _all_with_all(spark, folder)
     approx = knn.knn_join_approx(left, right, 10, dim=DIM, threshold=inp.POLICY_THRESHOLD, skip_self=True)
     found = knn.recall(approx, knn.knn_join_exact(left, right, 10, threshold=inp.POLICY_THRESHOLD, skip_self=True))
