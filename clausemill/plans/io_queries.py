@@ -155,13 +155,14 @@ FROM stored_clauses WHERE version_id % 3 <> 0 OR (clause_id % 2 = 0 AND version_
 def snk_clauses_replace(spark, folder):
     path = work_dir(spark, "clauses")
     stored = inp.stored_clauses(spark, folder).select("version_id", "clause_id", "text")
-    sinks.replace_version_clauses(stored, path)
+    sinks.replace_version_clauses(stored, path, batch="first")
     # Every third version is ingested again; odd ones among them yield no clause any more.
     batch = stored.where(F.col("version_id") % 3 == 0)
     again = batch.where((F.col("clause_id") % 2 == 0) & (F.col("version_id") % 2 == 0))
     changed = again.withColumn("text", F.concat(F.lit("new "), F.col("text")))
-    sinks.replace_version_clauses(changed, path, batch)
-    return spark.read.schema("version_id long, clause_id long, text string").parquet(path)
+    for _ in range(2):  # a repeated run changes nothing
+        sinks.replace_version_clauses(changed, path, batch, batch="second")
+    return sinks.version_clauses(spark, path, "version_id long, clause_id long, text string")
 
 
 @query(
@@ -176,11 +177,10 @@ def snk_chunks(spark, folder):
     path = work_dir(spark, "chunks")
     rows = inp.org_chunks(spark, folder).select("document_id", "chunk_index", "content", "organization_id")
     schema = "document_id long, chunk_index int, content string, organization_id long"
-    first = sinks.unique_chunks(None, rows.where(F.col("document_id") % 2 == 0))
-    sinks.append_chunks(first, path)
-    stored = spark.read.schema(schema).parquet(path)
-    sinks.append_chunks(sinks.unique_chunks(stored, rows), path)
-    return spark.read.schema(schema).parquet(path)
+    sinks.append_chunks(rows.where(F.col("document_id") % 2 == 0), path, batch="first")
+    for _ in range(2):  # a repeated run changes nothing
+        sinks.append_chunks(rows, path, batch="second")
+    return sinks.stored_chunks(spark, path, schema)
 
 
 @query(

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausemill.session import work_dir
-from clausemill.sources import files, sinks
+from clausemill.sources import commits, files, sinks
 from clausemill.streaming import ingest, status
 
 
@@ -43,15 +45,66 @@ def test_manifest(spark, tmp_path):
     ]
 
 
+CLAUSES = "version_id long, text string"
+
+
+def stored(spark, path):
+    return sorted(((r.version_id, r.text) for r in sinks.version_clauses(spark, path, CLAUSES).collect()), key=repr)
+
+
 def test_replacing_a_version_leaves_the_others(spark):
     path = work_dir(spark, "t")
-    sinks.replace_version_clauses(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "version_id long, text string"), path)
-    sinks.replace_version_clauses(spark.createDataFrame([(1, "z")], "version_id long, text string"), path)
-    assert sorted((r.version_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
-    none, batch = spark.createDataFrame([], "version_id long, text string"), spark.createDataFrame([(1,), (3,)], "version_id long")
+    assert stored(spark, path) == []
+    sinks.replace_version_clauses(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], CLAUSES), path)
+    sinks.replace_version_clauses(spark.createDataFrame([(1, "z"), (None, "m")], CLAUSES), path)
+    assert stored(spark, path) == [(1, "z"), (2, "c"), (None, "m")]
+    none, batch = spark.createDataFrame([], CLAUSES), spark.createDataFrame([(1,), (3,), (None,)], "version_id long")
     for _ in range(2):
         sinks.replace_version_clauses(none, path, batch)
-        assert [(r.version_id, r.text) for r in spark.read.parquet(path).collect()] == [(2, "c")]
+        assert stored(spark, path) == [(2, "c")]
+
+
+def test_a_run_that_dies_before_its_commit_changes_nothing(spark, monkeypatch):
+    path = work_dir(spark, "t")
+    sinks.replace_version_clauses(spark.createDataFrame([(1, "a")], CLAUSES), path, batch="b0")
+    changed = spark.createDataFrame([(1, "z")], CLAUSES)
+
+    def dies(self, commit):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(commits.CommitLog, "_publish", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            sinks.replace_version_clauses(changed, path, batch="b1")
+    assert stored(spark, path) == [(1, "a")]
+    assert sinks.replace_version_clauses(changed, path, batch="b1")
+    assert stored(spark, path) == [(1, "z")]
+    assert not sinks.replace_version_clauses(spark.createDataFrame([(1, "other")], CLAUSES), path, batch="b1")
+    assert stored(spark, path) == [(1, "z")]
+    # The folder of the run that died and the replaced batch go, names of batches stay known.
+    sinks.compact_version_clauses(spark, path, CLAUSES)
+    log = commits.CommitLog(spark, path)
+    assert stored(spark, path) == [(1, "z")] and len(log.visible()) == 1 and len(list((Path(path) / "data").iterdir())) == 1
+    assert not sinks.replace_version_clauses(spark.createDataFrame([(1, "late")], CLAUSES), path, batch="b0")
+
+
+def test_one_of_two_writers_gets_the_commit(spark):
+    path = work_dir(spark, "t")
+    log = commits.CommitLog(spark, path)
+    log.commit("b0", {"rows": spark.range(3)})
+    second = commits.Commit(0, "b1", "data/x", ("rows",), False)
+    with pytest.raises(commits.CommitConflict):
+        log._publish(second)
+    assert [c.batch for c in log.commits()] == ["b0"] and log.read("rows", "id long").count() == 3
+
+
+def test_chunks_are_stored_once(spark):
+    path, schema = work_dir(spark, "t"), "document_id long, chunk_index int, content string, organization_id long"
+    rows = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "b", 1), (1, 1, "c", 1)], schema)
+    for name in ("x", "x", "y"):
+        sinks.append_chunks(rows, path, batch=name)
+    got = sorted((r.document_id, r.chunk_index, r.content) for r in sinks.stored_chunks(spark, path, schema).collect())
+    assert got == [(1, 0, "a"), (1, 1, "c")]
 
 
 def test_upsert_replaces_whole_points(spark):
