@@ -41,7 +41,7 @@ ROUNDS = 4
 SLABS = 8  # groups in which sums of partitions are added up
 BLOCK_ROWS = 8192
 #: The cells looked into at first, how far others may reach, and how many neighbours per asked one are compared by their vectors.
-FIRST, REACH, SHORT_LIST = 2, 4.5, 12
+FIRST, REACH, SHORT_LIST = 2, 4.5, 40
 
 _SUMS = "place long, n long, total array<double>"
 
