@@ -9,6 +9,7 @@ from clausemill.functions.numbers import round_exact
 from clausemill.operators.knn import knn_join_exact
 from clausemill.operators.scans import numbered
 from clausemill.operators.search import search_limit, text_fallback_match
+from clausemill.session import saved
 
 DOCUMENT = ("organization_id", "document_id")
 PAIR_KEY = ("organization_id", "policy_document_id", "policy_clause_id", "regulatory_clause_id")
@@ -120,8 +121,11 @@ def match_with_fallback(
     top_k: int | None = None,
     status_cut: float = STATUS_CUT,
 ) -> DataFrame:
-    """Vector matches, and text matches for chunks that have none (no vector, or no clause has one)."""
-    by_vector = match_document_clauses(chunks, clauses, top_k=top_k, status_cut=status_cut)
+    """Vector matches, and text matches for chunks that have none (no vector, or no clause has one).
+
+    The vector matches are written once, when the function is called, and read by both branches.
+    """
+    by_vector = saved(match_document_clauses(chunks, clauses, top_k=top_k, status_cut=status_cut), "vector-matches")
     unmatched = chunks.join(by_vector.select("chunk_id").distinct(), "chunk_id", "left_anti")
     by_text = fallback_classification(
         text_fallback_match(unmatched, clauses, top_k=top_k), clauses, versions, regulations

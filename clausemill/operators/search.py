@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions.vectors import cosine_similarity, has_dimension, literal_vector
 from clausemill.operators.knn import RANK_DIGITS, SIMILARITY_DIGITS, knn_join_exact, knn_join_scoped
+from clausemill.session import saved
 
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 50
@@ -454,37 +455,58 @@ def text_fallback_match(
     Texts are taken apart into the kinds of anchors that some prefix asks for;
     while at most ``FEW_ANCHORS`` are asked for, only those become rows, else
     all do and the join drops the others.
+
+    Prefixes, and the places of their anchors, are written to the shared folder
+    when the function is called: both are read several times, and a plan that
+    repeats the steps before them is slower to plan than to run.
     """
     limit = match_limit(top_k)
     prefix = F.substring("content", 1, prefix_chars)
-    stretches = F.split(F.lower(prefix), r"[%_\\]")
-    # The first and last token are cut words, or '' beside a break; both are left out.
-    inner = F.transform(
-        F.transform(stretches, lambda s: F.split(s, _WORD_BREAK)),
-        lambda ws: F.filter(F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w: w != ""),
+    # Step by step: an expression that names a long one several times is compiled as often.
+    cut = chunks.where(F.col("content").isNotNull()).select(
+        "chunk_id",
+        _like_pattern(F.col("content"), prefix_chars).alias("_like"),
+        # What stands before a backslash is escaped and thus a character; the count only has to be no larger than needed.
+        F.length(F.regexp_replace(F.regexp_replace(prefix, r"\\.?", ""), "[^_]", "")).alias("_least"),
+        F.split(F.lower(prefix), r"[%_\\]").alias("_stretches"),
     )
+    # The first and last token are cut words, or '' beside a break; both are left out.
+    tokens = F.transform("_stretches", lambda s: F.split(s, _WORD_BREAK))
+    inner = F.transform(tokens, lambda ws: F.filter(F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w: w != ""))
     longest = F.array_max(F.transform(inner, lambda ws: F.struct(F.size(ws).alias("n"), ws.alias("ws"))))
-    literal = F.array_max(F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
-    words_n = F.least(longest["n"], F.lit(ANCHOR_WORDS))
-    chars_n = F.least(literal["n"], F.lit(SHORT_ANCHOR_CHARS))
-    asked = chunks.where(F.col("content").isNotNull()).select("chunk_id", _like_pattern(F.col("content"), prefix_chars).alias("_like"))
-    word_anchors = F.when(words_n == ANCHOR_WORDS, _phrases(longest["ws"], ANCHOR_WORDS)).otherwise(F.array(F.array_join(longest["ws"], " ")))
-    letters = F.filter(F.split(literal["s"], ""), lambda c: c != "")
-    char_anchors = F.when(chars_n == SHORT_ANCHOR_CHARS, _grams(letters, SHORT_ANCHOR_CHARS)).otherwise(F.array(literal["s"]))
+    literal = F.array_max(F.transform("_stretches", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
+    measured = cut.select("chunk_id", "_like", "_least", longest.alias("_longest"), literal.alias("_literal")).select(
+        "chunk_id",
+        "_like",
+        "_least",
+        F.col("_longest.ws").alias("_ws"),
+        F.least("_longest.n", F.lit(ANCHOR_WORDS)).alias("_words_n"),
+        F.col("_literal.s").alias("_chars"),
+        F.filter(F.split("_literal.s", ""), lambda c: c != "").alias("_ls"),
+        F.least("_literal.n", F.lit(SHORT_ANCHOR_CHARS)).alias("_chars_n"),
+    )
+    words_n, chars_n = F.col("_words_n"), F.col("_chars_n")
+    anchors = (
+        F.when(words_n == ANCHOR_WORDS, _phrases(F.col("_ws"), ANCHOR_WORDS))
+        .when(words_n > 0, F.array(F.array_join("_ws", " ")))
+        .when(chars_n == SHORT_ANCHOR_CHARS, _grams(F.col("_ls"), SHORT_ANCHOR_CHARS))
+        .otherwise(F.array("_chars"))
+    )
     # Every pattern is matched once and cut to its k clauses, however many chunks share it.
-    patterns = (
-        chunks.where(F.col("content").isNotNull())
-        .select(
-            _like_pattern(F.col("content"), prefix_chars).alias("_like"),
+    prefixes = saved(
+        measured.select(
+            "chunk_id",
+            "_like",
             F.when(words_n > 0, F.concat(F.lit("w"), words_n.cast("string")))
             .when(chars_n > 0, F.concat(F.lit("c"), chars_n.cast("string")))
             .alias("_kind"),
-            F.when(words_n > 0, word_anchors).otherwise(char_anchors).alias("_anchors"),
-            # What stands before a backslash is escaped and thus a character; the count only has to be no larger than needed.
-            F.length(F.regexp_replace(F.regexp_replace(prefix, r"\\.?", ""), "[^_]", "")).alias("_least"),
-        )
-        .dropDuplicates(["_like"])
+            anchors.alias("_anchors"),
+            "_least",
+        ),
+        "prefixes",
     )
+    asked = prefixes.select("chunk_id", "_like")
+    patterns = prefixes.drop("chunk_id").dropDuplicates(["_like"])
     texts = clauses.select("clause_id", "text").where(F.col("text").isNotNull())
     wanted = patterns.where(F.col("_kind").isNotNull()).select("_like", "_kind", F.explode("_anchors").alias("_anchor"))
 
@@ -508,8 +530,8 @@ def text_fallback_match(
     found += [entries(f"c{n}", _grams(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
     by_kind = taken_apart.select("clause_id", F.explode(F.array(*found)).alias("_e")).select("clause_id", "_e._kind", F.explode("_e._held").alias("_anchor"))
     holders = by_kind.join(wanted.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"], "left_semi")
-    # Dealt out once: the counts and the candidates read the same shuffle, so texts are taken apart once.
-    holders = holders.repartition("_kind", "_anchor")
+    # The counts and the candidates read the same files, so texts are taken apart once.
+    holders = saved(holders, "anchors")
     often = holders.groupBy("_kind", "_anchor").agg(F.count("clause_id").alias("_n"))
     weighed = wanted.join(often, ["_kind", "_anchor"], "left").groupBy("_like", "_kind")
     chosen = weighed.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_anchor").alias("anchor"))).alias("_a"))

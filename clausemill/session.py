@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(
@@ -47,3 +47,15 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="clausemill-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def saved(frame: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``frame``, written once below the shared folder and read back.
+
+    Whatever reads the result plans and runs over files, not over the steps
+    before them; a lost executor costs no more than its own tasks.  The files
+    are left to the owner of the folder.
+    """
+    path = work_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
