@@ -125,3 +125,13 @@ def title_case(col: Column) -> Column:
         )
 
     return F.array_join(bind(F.split(F.lower(col), ""), title), "")
+
+
+def character_runs(letters: Column, n: int) -> Column:
+    """All runs of n characters of a text given as an array of at least one character."""
+    if n == 1:
+        return letters
+    last = F.greatest(F.size(letters) - n, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.concat_ws("", *[F.get(letters, i + j) for j in range(n)])
+    )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.functions.text import character_runs
 from clausemill.functions.vectors import cosine_similarity, has_dimension, literal_vector
 from clausemill.operators.knn import RANK_DIGITS, SIMILARITY_DIGITS, knn_join_exact, knn_join_scoped
 from clausemill.session import saved
@@ -424,16 +425,6 @@ def _phrases(words: Column, n: int) -> Column:
     )
 
 
-def _grams(letters: Column, n: int) -> Column:
-    """All runs of n characters of a text with at least one."""
-    if n == 1:
-        return letters
-    last = F.greatest(F.size(letters) - n, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.concat_ws("", *[F.get(letters, i + j) for j in range(n)])
-    )
-
-
 def text_fallback_match(
     chunks: DataFrame, clauses: DataFrame, *, top_k: int | None = None, prefix_chars: int = PREFIX_CHARS
 ) -> DataFrame:
@@ -489,7 +480,7 @@ def text_fallback_match(
     anchors = (
         F.when(words_n == ANCHOR_WORDS, _phrases(F.col("_ws"), ANCHOR_WORDS))
         .when(words_n > 0, F.array(F.array_join("_ws", " ")))
-        .when(chars_n == SHORT_ANCHOR_CHARS, _grams(F.col("_ls"), SHORT_ANCHOR_CHARS))
+        .when(chars_n == SHORT_ANCHOR_CHARS, character_runs(F.col("_ls"), SHORT_ANCHOR_CHARS))
         .otherwise(F.array("_chars"))
     )
     # Every pattern is matched once and cut to its k clauses, however many chunks share it.
@@ -527,7 +518,7 @@ def text_fallback_match(
         F.when(F.arrays_overlap(kinds, letter_kinds), F.filter(F.split(F.lower("text"), ""), lambda c: c != "")).alias("_ls"),
     )
     found = [entries(f"w{n}", _phrases(F.col("_ws"), n)) for n in range(1, ANCHOR_WORDS + 1)]
-    found += [entries(f"c{n}", _grams(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
+    found += [entries(f"c{n}", character_runs(F.col("_ls"), n)) for n in range(1, SHORT_ANCHOR_CHARS + 1)]
     by_kind = taken_apart.select("clause_id", F.explode(F.array(*found)).alias("_e")).select("clause_id", "_e._kind", F.explode("_e._held").alias("_anchor"))
     holders = by_kind.join(wanted.select("_kind", "_anchor").distinct(), ["_kind", "_anchor"], "left_semi")
     # The counts and the candidates read the same files, so texts are taken apart once.
