@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import strip
+from clausemill.session import saved
 
 MAX_PAGE = 100
 TEST_VERSION = r"^i?test-"
@@ -15,17 +18,22 @@ class InvalidPage(ValueError):
     """skip or limit is out of range."""
 
 
+def _check_page(skip: int, limit: int) -> None:
+    if skip < 0 or not 1 <= limit <= MAX_PAGE:
+        raise InvalidPage(f"skip must be >= 0 and limit between 1 and {MAX_PAGE}")
+
+
 def paginate(
     rows: DataFrame, order: list[str], *, skip: int = 0, limit: int = 20, after: list | None = None
 ) -> DataFrame:
     """One page of rows plus ``total``, the number of rows on all pages.
 
-    ``skip`` makes one task pass over all rows before the page.  ``after``, the
-    values of the ``order`` columns in the last row of the page before, costs
-    the same for any page; the columns must tell rows apart and hold no nulls.
+    ``skip`` makes one task pass over all rows before the page (``page_ranges``
+    does not).  ``after``, the values of the ``order`` columns in the last row of
+    the page before, costs the same for any page; the columns must tell rows
+    apart and hold no nulls.
     """
-    if skip < 0 or not 1 <= limit <= MAX_PAGE:
-        raise InvalidPage(f"skip must be >= 0 and limit between 1 and {MAX_PAGE}")
+    _check_page(skip, limit)
     total = rows.agg(F.count(F.lit(1))).scalar()
     if after is not None:
         rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]))
@@ -33,6 +41,47 @@ def paginate(
     return (page.offset(skip) if skip else page).limit(limit).withColumn("total", total)
 
 
+@dataclass(frozen=True)
+class PageRanges:
+    """Rows cut into ranges of ``order`` (column ``_range``), with the number of rows in each."""
+
+    rows: DataFrame
+    order: tuple[str, ...]
+    sizes: tuple[int, ...]
+
+    @property
+    def total(self) -> int:
+        return sum(self.sizes)
+
+    def page(self, *, skip: int = 0, limit: int = 20) -> DataFrame:
+        """What ``paginate`` gives, from the ranges that the page lies in; the others are not read."""
+        _check_page(skip, limit)
+        before, opened, start = 0, [], 0
+        for number, size in enumerate(self.sizes):
+            if size and before < skip + limit and before + size > skip:
+                start = start if opened else before
+                opened.append(number)
+            before += size
+        held = self.rows.where(F.col("_range").isin(opened)) if opened else self.rows.where(F.lit(False))
+        page = held.orderBy(*self.order).offset(skip - start if opened else 0).limit(limit)
+        return page.drop("_range").withColumn("total", F.lit(self.total).cast("long"))
+
+
+def page_ranges(rows: DataFrame, order: list[str], *, ranges: int | None = None) -> PageRanges:
+    """Write rows in ranges of the ``order`` columns, once for all pages of a listing.
+
+    The driver sees one count per range (``spark.sql.shuffle.partitions`` of
+    them by default).  Rows equal in all ``order`` columns share a range, so the
+    columns should tell rows apart; nulls come first.  A file holds one range,
+    and its statistics keep it closed where the page lies elsewhere.
+    """
+    number = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.repartitionByRange(number, *order).withColumn("_range", F.spark_partition_id())
+    stored = saved(cut, "page-ranges")
+    counted = {r["_range"]: r["n"] for r in stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return PageRanges(stored, tuple(order), tuple(counted.get(i, 0) for i in range(number)))
+
+
 def list_org_documents(documents: DataFrame, organization_id, *, skip: int = 0, limit: int = 20) -> DataFrame:
     own = documents.where(F.col("organization_id") == F.lit(organization_id)).select(
         "document_id",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions.text import character_runs
 from clausemill.operators.catalog import catalog_text_filter
+from clausemill.session import saved
 
 GRAM = 3
 #: So many postings lists are intersected at most ...
@@ -77,14 +78,15 @@ def build_gram_index(rows: DataFrame, key: str, text: Column, path: str) -> Gram
 
     Keys may repeat or be null; texts that are null or shorter than three
     characters have no postings.  The range partitioning is by gram and key, so
-    a gram that most texts hold is spread over many files; it samples its input,
-    so texts are read twice.
+    a gram that most texts hold is spread over many files. It samples its input,
+    so the entries are written once before; texts are taken apart once.
     """
     letters = F.filter(F.split(folded(text), ""), lambda c: c != "")
-    entries = (
+    entries = saved(
         rows.select(F.col(key).alias("key"), letters.alias("_letters"))
         .where(F.size("_letters") >= GRAM)
-        .select(F.explode(F.array_distinct(character_runs(F.col("_letters"), GRAM))).alias("gram"), "key")
+        .select(F.explode(F.array_distinct(character_runs(F.col("_letters"), GRAM))).alias("gram"), "key"),
+        "gram-entries",
     )
     entries.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{path}/postings")
     postings = rows.sparkSession.read.schema(entries.schema).parquet(f"{path}/postings")

@@ -426,3 +426,16 @@ def retry_candidates(spark, folder):
 @query("retry_candidates_by_id", _retry_sql("version_id IN (1, 2, 3, 4, 5, 6)"))
 def retry_candidates_by_id(spark, folder):
     return _retry(spark, folder, [1, 2, 3, 4, 5, 6])
+
+
+@query(
+    "paginate_ranges",
+    """SELECT o_orderkey, o_totalprice, total FROM (
+  SELECT o_orderkey, o_totalprice, count(*) OVER () AS total, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders) o
+WHERE n > total // 2 AND n <= total // 2 + 50""",
+)
+def paginate_ranges(spark, folder):
+    """The page in the middle of all orders."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    pages = catalog.page_ranges(orders, ["o_totalprice", "o_orderkey"], ranges=32)
+    return pages.page(skip=pages.total // 2, limit=50)
