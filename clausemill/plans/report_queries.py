@@ -87,10 +87,15 @@ def _doc_matches(spark, folder):
 
 @query(
     "match_document_clauses",
-    with_ctes(DOC_MATCHES, "SELECT chunk_id, regulatory_clause_id, matching_score, rank, compliance_score, status FROM doc_matches"),
+    with_ctes(
+        DOC_MATCHES,
+        """SELECT chunk_id, regulatory_clause_id, matching_score, rank, compliance_score, status, 'REGULATION' AS source,
+  'The policy language is semantically aligned with the regulatory requirement and provides relevant evidence for compliance review.' AS explanation
+FROM doc_matches""",
+    ),
 )
 def match_document_clauses(spark, folder):
-    return _doc_matches(spark, folder).drop("explanation", "source")
+    return _doc_matches(spark, folder)
 
 
 _TEXT_HITS = {
