@@ -103,3 +103,32 @@ def test_the_hashed_join_stays(sides, spark):
     vectors, left, _ = sides
     got = knn.knn_join_approx(left, frame(spark, vectors, "right_id"), 5, dim=DIM, skip_self=True)
     assert got.count() > 0
+
+
+def test_a_query_that_looks_everywhere_is_written_once_per_bundle_in_bounded_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    centroids = rng.standard_normal((300, DIM))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    base, pieces = ann._bundles(np.full(300, 4), 8, together=True)
+    asked = rng.standard_normal((700, DIM))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(700)), pa.array(asked.tolist()), pa.array([None] * 700, pa.float64())], names=["left_id", "left_vector", "tau"]
+    )
+    kernel = codes.probes(centroids, base, pieces, 1, lambda near: np.full(near.shape, np.inf), None)
+    out = list(kernel(iter([batch])))
+    assert max(b.num_rows for b in out) <= codes.MAX_OUT_ROWS and sum(b.num_rows for b in out) <= 700 * 150
+    got = pa.Table.from_batches(out)
+    assert {(r["left_id"], r["bundle"]) for r in got.select(["left_id", "bundle"]).to_pylist()} >= {(i, b) for i in (0, 699) for b in range(150)}
+    assert sum(len(c) for c in got["cells"].to_pylist()) == 700 * 299
+
+
+@pytest.mark.parametrize("block_rows", [8192, 16])
+def test_cells_that_share_a_bundle_are_met_once(sides, block_rows):
+    vectors, left, index = sides
+    found = ann.search_pruned(left, index, 5, skip_self=True, block_rows=block_rows)
+    bundles = {r.bundle for r in found.asked.select("bundle").distinct().collect()}
+    assert len(bundles) <= max(1, 2 * 600 // block_rows + 1)
+    pairs = [(r.left_id, r.right_id) for r in found.rows.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(vectors, 5)
