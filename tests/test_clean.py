@@ -74,3 +74,21 @@ def test_threshold_truncates_and_counts_occurrences(spark):
 def test_document_joins_filled_pages(spark):
     row = clean.clean_document(pages(spark, "Chapter 1 content.", " ", "Chapter 2 content.")).first()
     assert (row.text, row.n_pages) == ("Chapter 1 content.\n\nChapter 2 content.", 3)
+
+
+def test_a_text_is_split_once_for_all_its_lines(spark):
+    """The count of lines comes along with each line; beside the explode it would split the whole text again per line."""
+    from clausemill.plans import inputs
+
+    docs = spark.createDataFrame([(1, "a\nb", "s"), (2, None, "s"), (3, "\n" * 20, None)], "doc_id long, text string, source string")
+    pages = inputs.pages_of_documents(docs)
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.doc_id, r.page_number) for r in pages.collect()) == [(1, 1), (3, 1), (3, 2), (3, 3)]
+
+
+def test_squeezing_line_by_line_equals_squeezing_the_text(spark):
+    lines = ["a b", " a  b", "a\tb", "a\x1fb", "é  b", "Σ ", "ΑΣ", "", "a\r\nb", "a\x85 b", "- x"]
+    rows = spark.createDataFrame([("\n".join(lines),)], "t string")
+    whole = F.transform(tx.split_lines(F.lower(tx.squeeze_blanks(F.col("t")))), tx.strip)
+    got = rows.select(tx.line_keys(F.col("t")).alias("a"), whole.alias("b")).first()
+    assert got.a == got.b and got.a[:4] == ["a b"] * 4
