@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash finds who may be alike, exact cells decide."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash with multi-index hashing finds who may be alike,
+all bits and then the shingles themselves decide. (The module keeps the name of an earlier method.)"""
 
 from __future__ import annotations
 
@@ -13,17 +14,19 @@ from pyspark.sql.window import Window
 
 from clausemill.llm.common import row_key, saved
 from clausemill.llm.components import components
-from clausemill.llm.simhash import _blocks
+from clausemill.llm.simhash import FLIPS, RADIUS, SEGMENT_BITS, SEGMENTS, _blocks, set_fingerprint
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Two texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.996 at 0.8, 0.17 at 0.5.
-BANDS, ROWS = 24, 7
-_RANDOM = np.random.default_rng(42)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Sets of so few shingles are also named without any one of theirs: alike by 0.8, two of them share such a name.
+FEW = 9
 #: A block of a cell holds about so many texts and bytes.
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 23
 _COLUMNS = 4096
+_NONE = np.zeros(0, np.int8)
+#: A node has some 170 entries; they are made in tasks of about so many nodes.
+_NODES_A_TASK = 4096
+#: An entry with more open nodes is compared in a grid, not in pairs.
+CROWDED = 16
 
 
 def shingles_of(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -45,15 +48,12 @@ def shingles_of(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """One number per band: the hash of its minima, the band's position included; none without shingles."""
-    if not len(shingles):
+def short_names(shingles: np.ndarray) -> np.ndarray:
+    """The hashes of a set of at most ``FEW`` shingles and of all that lack one of them; none for other sets."""
+    if not 0 < len(shingles) <= FEW:
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        least = np.minimum(least, (shingles[at : at + 512, None] * _FACTORS + _TERMS).min(axis=0))
-    names = [xxhash.xxh64_intdigest(part.tobytes(), n) for n, part in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(names, dtype=np.uint64).view(np.int64)
+    sets = [shingles, *[np.delete(shingles, i) for i in range(len(shingles)) if len(shingles) > 1]]
+    return np.array([xxhash.xxh64_intdigest(s.tobytes(), 9) for s in sets], dtype=np.uint64).view(np.int64)
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -158,46 +158,110 @@ def grid_links(asked: DataFrame, members: DataFrame, sets: DataFrame, *, similar
     return cells.groupBy("entry", "i", "j").applyInPandas(cell, "a long, b long").where("a <> b")
 
 
-def similar_links(rows: DataFrame, texts: DataFrame, *, similarity: float, words: int, block_rows: int) -> DataFrame:
-    """Edges ``(a, b)`` that connect all nodes of ``rows`` (row key, ``node, bands``) that share a band and are alike.
+def entries_of(nodes: DataFrame) -> DataFrame:
+    """``node, entry``: where each node stands in the tables of the index, one table per segment of its fingerprint.
 
-    Bands with the same nodes count once. In each, all nodes are first compared
-    with the smallest; those alike to it are settled. What is not is compared
-    with every node of the band, so that no pair that shares a band is lost.
+    It stands under the segment's value and under the values with one of its
+    ``FLIPS`` least certain bits turned; few shingles bring names of their own.
+    """
+    places = F.transform(
+        "print",
+        lambda value, i: F.transform(
+            F.concat(F.array(F.lit(0)), F.transform(F.slice("weak", i * FLIPS + 1, F.lit(FLIPS)), lambda at: F.call_function("shiftleft", F.lit(1), at.cast("int")))),
+            lambda turned: F.shiftleft(i.cast("long"), SEGMENT_BITS).bitwiseOR(value.bitwiseXOR(turned).cast("long")),
+        ),
+    )
+    return nodes.select("node", F.explode(F.concat(F.flatten(places), "short")).alias("entry"))
+
+
+def near_prints(pairs: DataFrame, nodes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``pairs`` (``head, node``) whose fingerprints differ in at most ``radius`` of all bits."""
+    own = nodes.select("node", "print")
+    both = pairs.join(own, "node").join(own.select(F.col("node").alias("head"), F.col("print").alias("other")), "head")
+    differ = [F.bit_count(F.get("print", F.lit(i)).bitwiseXOR(F.get("other", F.lit(i)))) for i in range(SEGMENTS)]
+    return both.where(sum(differ[1:], differ[0]) <= radius).select("head", "node")
+
+
+def similar_links(
+    rows: DataFrame, texts: DataFrame, *, similarity: float, words: int, block_rows: int, crowded: int = CROWDED
+) -> DataFrame:
+    """Edges ``(a, b)`` that connect all nodes of ``rows`` (row key, ``node, print, weak, short``) that share an entry
+    of the index and are alike.
+
+    Every node is first compared with the smallest it shares an entry with,
+    which ties a crowd of near copies together by one edge each. What shares an
+    entry and is not yet tied is then compared: with the smallest node of the
+    entry, and what is not alike to it with every other one, so that no pair
+    that shares an entry is lost - in pairs, or where an entry holds more than
+    ``crowded`` others in a grid of blocks. Pairs are verified on all bits of
+    their fingerprints, then on all shingles; later edges run between the roots
+    of what is tied.
     """
     names = ["_k_id", "_k_null", "_k_text"]
-    entries = rows.select("node", F.explode("bands").alias("entry")).distinct()
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    heads = entries.groupBy("entry").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
-    heads = heads.groupBy("head", "n", "mark1", "mark2").agg(F.min("entry").alias("entry")).select("entry", "head")
-    members = saved(entries.join(heads, "entry"), "bands")
-    one = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct(*names)).alias("row")).select("node", "row.*")
+    held = [F.first(c).alias(c) for c in ("print", "weak", "short")]
+    parts = rows.count() // _NODES_A_TASK + 1
+    nodes = saved(rows.groupBy("node").agg(F.min(F.struct(*names)).alias("row"), *held).repartition(parts), "nodes")
+    entries = entries_of(nodes)
+    shared = entries.groupBy("entry").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
+    others = saved(entries.join(shared.select("entry", "head"), "entry").where("node <> head"), "entries")
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held = [shingles_of(t, words).tobytes() for t in frame["text"]]
             yield pd.DataFrame({"node": frame["node"], "shingles": held, "bytes": [len(h) for h in held]})
 
-    found = texts.join(one, names).select("node", "text").dropDuplicates(["node"])
-    sets = saved(found.mapInPandas(sets_of, "node long, shingles binary, bytes long"), "sets")
+    def sets_for(asked: DataFrame) -> DataFrame:
+        one = nodes.join(asked.distinct(), "node").select("node", "row.*")
+        found = texts.join(one, names).select("node", "text").dropDuplicates(["node"])
+        return saved(found.mapInPandas(sets_of, "node long, shingles binary, bytes long"), "sets")
+
     options = {"similarity": similarity, "block_rows": block_rows}
-    others = members.where("node <> head")
-    stars = saved(star_links(others.select("head", "node").distinct(), sets, **options), "stars")
-    loose = others.join(stars, ["head", "node"], "left_anti").select("entry", "node")
-    grid = saved(grid_links(loose, others.select("entry", "node"), sets, **options), "links")
-    return stars.select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(grid)
+    ends = lambda pairs: pairs.select("node").unionByName(pairs.select(F.col("head").alias("node")))
+    first = saved(near_prints(others.groupBy("node").agg(F.min("head").alias("head")), nodes), "near")
+    tied = saved(star_links(first, sets_for(ends(first)), **options), "tied")
+    reached = saved(components(tied.select(F.col("node").alias("a"), F.col("head").alias("b"))), "roots")
+
+    def rooted(frame: DataFrame, name: str, root: str) -> DataFrame:
+        found = reached.select(F.col("node").alias(name), F.col("root").alias("_root"))
+        return frame.join(found, name, "left").withColumn(root, F.coalesce("_root", name)).drop("_root")
+
+    apart = rooted(rooted(others, "node", "root"), "head", "head_root").where("root <> head_root")
+    apart = saved(apart.select("entry", "node", "head", "root"), "apart")
+    near = saved(near_prints(apart.select("head", "node").distinct(), nodes), "near")
+    stars = saved(star_links(near, sets_for(ends(near)), **options), "stars")
+
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    left = apart.join(stars, ["head", "node"], "left_anti").select("entry", "node", "root")
+    asked = left.select("entry").distinct()
+    sizes = others.join(asked, "entry").groupBy("entry").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    # Entries with the same nodes count once.
+    once = saved(sizes.groupBy("n", "mark1", "mark2").agg(F.min("entry").alias("entry")).select("entry", "n"), "loose")
+    loose, members = left.join(once, "entry"), rooted(others.select("entry", "node").join(once, "entry"), "node", "root")
+    few = f"n <= {crowded}"
+    one = loose.where(few).select("entry", F.col("node").alias("a"), F.col("root").alias("a_root"))
+    met = one.join(members.where(few).select("entry", F.col("node").alias("b"), F.col("root").alias("b_root")), "entry")
+    pairs = met.where("a_root <> b_root").select(F.least("a", "b").alias("head"), F.greatest("a", "b").alias("node")).distinct()
+    near = saved(near_prints(pairs, nodes), "near")
+    crowds = saved(members.where(f"NOT ({few})").select("entry", "node"), "crowds")
+    sets = sets_for(ends(near).unionByName(crowds.select("node")))
+    grid = grid_links(loose.where(f"NOT ({few})").select("entry", "node"), crowds, sets, **options)
+    as_edges = lambda links: links.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    later = as_edges(stars).unionByName(as_edges(star_links(near, sets, **options))).unionByName(grid)
+    between = rooted(rooted(later, "a", "x"), "b", "y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return saved(as_edges(tied).unionByName(between.distinct()), "links")
 
 
 def drop_similar(
-    docs: DataFrame, *, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, block_rows: int = BLOCK_ROWS
+    docs: DataFrame, *, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, block_rows: int = BLOCK_ROWS, crowded: int = CROWDED
 ) -> DataFrame:
     """``docs`` with one row of each component of similar texts: that with the smallest id, rows without an id last.
 
     Two texts are similar if the Jaccard similarity of their sets of shingles
     is at least ``similarity``. Texts of equal sets (64 bits of a hash over the
-    set) are one node, so copies cost one entry. Nodes that share a band are
-    compared on all shingles, and those alike linked. Of rows that agree in id
-    and text, one stays. Null texts and those without words are alike.
+    set) are one node, so copies cost one entry. Nodes have the SimHash of their
+    set; those that share an entry of the multi-index are compared on all bits,
+    then on all shingles, and those alike linked. Of rows that agree in id and
+    text, one stays. Null texts and those without words are alike.
     """
     names = ["_k_id", "_k_null", "_k_text"]
 
@@ -205,13 +269,16 @@ def drop_similar(
         for frame in frames:
             sets = [shingles_of(t, words) for t in frame.pop("text")]
             frame["node"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
-            frame["bands"] = [bands_of(s) for s in sets]
+            prints = [set_fingerprint(s) if len(s) else (_NONE, _NONE) for s in sets]
+            frame["print"], frame["weak"] = [p for p, _ in prints], [w for _, w in prints]
+            frame["short"] = [short_names(s) for s in sets]
             yield frame
 
     keyed = docs.select(*row_key(), "text")
-    schema = "_k_id long, _k_null boolean, _k_text long, node long, bands array<long>"
-    rows = saved(keyed.mapInPandas(sketch, schema), "minhash")
-    found = similar_links(rows, docs.select(*row_key(), "text"), similarity=similarity, words=words, block_rows=block_rows)
+    schema = "_k_id long, _k_null boolean, _k_text long, node long, print array<int>, weak array<tinyint>, short array<long>"
+    rows = saved(keyed.mapInPandas(sketch, schema), "simhash")
+    options = {"similarity": similarity, "words": words, "block_rows": block_rows, "crowded": crowded}
+    found = similar_links(rows, docs.select(*row_key(), "text"), **options)
     reached = components(found)
     first = F.min(F.struct("_k_null", "_k_id", "_k_text")).alias("first")
     root = F.coalesce(F.col("root"), F.col("node")).alias("root")

@@ -23,6 +23,16 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: A table entry of more fingerprints than this is not paired but linked through points between fingerprints.
 CROWDED = 64
+#: Fingerprints of sets, which reach a similarity instead of a few bits: so many segments, a table each, of so many bits.
+SEGMENTS, SEGMENT_BITS = 24, 28
+#: A fingerprint also stands under the values of a segment with one of so many least certain bits turned. Sets of Jaccard
+#: similarity 0.8 differ in 0.15 of the bits and share an entry in 0.98 of the cases, at 0.85 in more than 0.99.
+FLIPS = 6
+#: A quarter of the bits; sets of similarity 0.8 that differ in more are five standard deviations off.
+RADIUS = SEGMENTS * SEGMENT_BITS // 4
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, -(-SEGMENTS * SEGMENT_BITS // 64), dtype=np.uint64)
+_SHIFTS = np.arange(8, dtype=np.uint64)[:, None, None]
+_LANES = np.uint64(0x0101010101010101)
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
@@ -62,6 +72,21 @@ def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of a set of 64-bit hashes, each spread over all bits, as the values of its segments; and the positions
+    of the ``FLIPS`` bits of each segment that fewest hashes would have to turn."""
+    counts = np.zeros((8, len(_SEEDS), 8), np.int64)
+    for at in range(0, len(hashes), 255):
+        x = hashes[None, at : at + 255] + _SEEDS[:, None]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        counts += ((x[None] >> _SHIFTS) & _LANES).sum(axis=2).view(np.uint8).reshape(counts.shape)
+    lead = (2 * counts.reshape(-1)[: SEGMENTS * SEGMENT_BITS] - len(hashes)).reshape(SEGMENTS, SEGMENT_BITS)
+    weak = np.argsort(np.abs(lead), axis=1, kind="stable")[:, :FLIPS]
+    return ((lead > 0) @ (1 << np.arange(SEGMENT_BITS))).astype(np.int32), weak.astype(np.int8).reshape(-1)
+
+
 def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """SimHash of a text column as a signed long; null texts have the fingerprint 0."""
 

@@ -6,7 +6,8 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from clausemill.llm.minhash import alike, drop_similar, grid_links, star_links
+from clausemill.llm.minhash import alike, drop_similar, entries_of, grid_links, near_prints, star_links
+from clausemill.llm.simhash import FLIPS, RADIUS, SEGMENT_BITS, SEGMENTS, set_fingerprint
 from tests.llm.test_simhash import roots
 
 SCHEMA = "doc_id long, text string, fp string, root int, _k_id int"
@@ -109,3 +110,47 @@ def test_alike_is_exact():
 
 def test_empty_table(spark):
     assert drop_similar(spark.createDataFrame([], SCHEMA)).isEmpty()
+
+
+def test_the_index_is_of_fingerprints_in_segments(spark):
+    """A node stands under its segments and those with one uncertain bit turned; all bits are verified."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [base, np.r_[base[:270], rng.integers(0, 1 << 64, 30, dtype=np.uint64)], rng.integers(0, 1 << 64, 300, dtype=np.uint64)]
+    prints = [set_fingerprint(s) for s in sets]
+    plain = [[sum((int(p) >> b & 1) << b for b in range(SEGMENT_BITS)) for p in value] for value, _ in prints]
+    rows = [(n, p.tolist(), w.tolist(), [7]) for n, (p, w) in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node long, print array<int>, weak array<tinyint>, short array<long>")
+    got = {}
+    for r in entries_of(nodes).collect():
+        got.setdefault(r.node, []).append(r.entry)
+    for n, (_, weak) in enumerate(prints):
+        turns = [[0, *[1 << int(b) for b in weak[i * FLIPS : (i + 1) * FLIPS]]] for i in range(SEGMENTS)]
+        assert sorted(got[n]) == sorted([7, *[i << SEGMENT_BITS | v ^ t for i, v in enumerate(plain[n]) for t in turns[i]]])
+    assert len((set(got[0]) & set(got[1])) - {7}) > 0 and set(got[0]) & set(got[2]) == {7}
+    differ = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(plain[a], plain[b], strict=True))
+    assert differ(0, 1) <= RADIUS < differ(0, 2)
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "head long, node long")
+    assert [tuple(r) for r in near_prints(pairs, nodes).collect()] == [(0, 1)]
+    assert [tuple(r) for r in near_prints(pairs, nodes, radius=differ(0, 1) - 1).collect()] == []
+
+
+def test_fingerprints_follow_the_majority():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 1 << 64, 701, dtype=np.uint64)
+    one = [set_fingerprint(hashes[i : i + 1])[0] for i in range(701)]
+    bits = (np.array(one)[:, :, None] >> np.arange(SEGMENT_BITS)) & 1
+    value, weak = set_fingerprint(hashes)
+    assert ((2 * bits.sum(axis=0) > 701) @ (1 << np.arange(SEGMENT_BITS))).tolist() == value.tolist()
+    lead = np.abs(2 * bits.sum(axis=0) - 701)
+    assert all(sorted(lead[i])[:FLIPS] == lead[i][weak[i * FLIPS : (i + 1) * FLIPS]].tolist() for i in range(SEGMENTS))
+    assert abs(bits.mean() - 0.5) < 0.01
+
+
+def test_crowded_entries_and_short_texts(spark):
+    rng = random.Random(31)
+    short = [words(rng, n) for n in (5, 6, 7, 8, 9, 10, 12) for _ in range(6)]
+    data = chained()[:60] + [(5000 + 2 * i, " ".join(w)) for i, w in enumerate(short)] + [(5001 + 2 * i, " ".join(w[:-1])) for i, w in enumerate(short)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in data], SCHEMA).repartition(4)
+    for crowded in (64, 1):
+        assert sorted(r.doc_id for r in drop_similar(docs, crowded=crowded, block_rows=7).collect()) == want(data)
