@@ -126,3 +126,12 @@ def test_preamble_chunk_has_no_reference(spark):
     records = cl.split_clauses(pages(spark, "Issued by the board\n1. First clause"))
     chunks = cl.chunk_policy(records).orderBy("chunk_index").collect()
     assert [(c.clause_reference, c.section_title) for c in chunks] == [(None, "Preamble"), ("1", "First clause")]
+
+
+def test_the_next_line_is_not_looked_for_to_the_end_of_the_segment(spark):
+    rows = [(1, n, "\n".join(t)) for n, t in enumerate([["1.", "", "(a)", "x"], [""], ["2", ""], ["y", "3."]], 1)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string")
+    merged = cl.merge_standalone_numbers(cl.explode_lines(pages, pages_per_segment=2))
+    assert [r.line for r in merged.orderBy("ord").collect() if r.line] == ["1. (a)", "x", "2 y", "3."]
+    plan = merged._jdf.queryExecution().analyzed().toString()
+    assert "lead(" in plan and "first(CASE WHEN" not in plan

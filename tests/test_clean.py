@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
@@ -92,3 +94,14 @@ def test_squeezing_line_by_line_equals_squeezing_the_text(spark):
     whole = F.transform(tx.split_lines(F.lower(tx.squeeze_blanks(F.col("t")))), tx.strip)
     got = rows.select(tx.line_keys(F.col("t")).alias("a"), whole.alias("b")).first()
     assert got.a == got.b and got.a[:4] == ["a b"] * 4
+
+
+def test_lines_of_odd_texts_and_how_often_they_are_split(spark):
+    rng = random.Random(17)
+    texts = ["", "\n", "a\r\nb\rc\n\r", "x\n", "\n\n"] + ["".join(rng.choice("a b12/-\t\r\n\n\x0b\x0c\x1c\x1d\x1e\x85  ­　é") for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    steps = tx.squeeze_whitespace(tx.drop_page_number_lines(tx.join_broken_words(tx.drop_soft_hyphens(F.col("t")))))
+    rows = frame.select("t", tx.split_lines(F.col("t")).alias("lines"), clean.clean_block(F.col("t")).alias("a"), steps.alias("b")).collect()
+    assert all(r.lines == (None if r.t is None else r.t.splitlines()) and r.a == r.b for r in rows)
+    plan = frame.select(clean.clean_block(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # in one place: by the pattern, or without it
