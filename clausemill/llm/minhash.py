@@ -225,8 +225,10 @@ def similar_links(
         found = reached.select(F.col("node").alias(name), F.col("root").alias("_root"))
         return frame.join(found, name, "left").withColumn(root, F.coalesce("_root", name)).drop("_root")
 
-    apart = rooted(rooted(others, "node", "root"), "head", "head_root").where("root <> head_root")
-    apart = saved(apart.select("entry", "node", "head", "root"), "apart")
+    # Near copies share most of their entries: a pair is looked up once, not in every entry that it shares.
+    met = rooted(rooted(others.select("head", "node").distinct(), "node", "root"), "head", "head_root")
+    met = met.where("root <> head_root").select("head", "node", "root")
+    apart = saved(others.join(met, ["head", "node"]).select("entry", "node", "head", "root"), "apart")
     near = saved(near_prints(apart.select("head", "node").distinct(), nodes), "near")
     stars = saved(star_links(near, sets_for(ends(near)), **options), "stars")
 

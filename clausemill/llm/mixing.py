@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausemill.llm.common import WORD, saved
+from clausemill.llm.common import WORD, saved, unused
 
 #: A word with the white space before it, and after it at the text's end: joined, they give the text.
 _PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"
@@ -26,6 +26,7 @@ _PARTS_BITS = 12
 _ROUNDS = 20
 #: Slots that one task unfolds from one row.
 _RUN = 1024
+SEED = 20_240_601
 
 
 @dataclass(frozen=True)
@@ -151,6 +152,11 @@ def _draws(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     )
 
 
+def _order(seed: int) -> Column:
+    """Where a document stands among those of its source; equal for rows that agree in id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -160,7 +166,7 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     most: int = 2,
-    seed: int = 20_240_601,
+    seed: int = SEED,
 ) -> Mix:
     """The plan of a mix of ``docs`` (``doc_id, text, source``); ``keep`` names columns to carry in ``rows``.
 
@@ -171,7 +177,7 @@ def mix(
     were taken; slots drawn beyond ``most`` turns stay empty, so nothing is
     taken more often. Equal input and seed give the same mix.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    order = _order(seed)
     rows = saved(
         docs.select(
             F.struct(*[F.col(c) for c in keep]).alias("doc"),
@@ -243,17 +249,29 @@ def taken(plan: Mix) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
     """The mix itself: per slot and document in its block, one row with the columns of ``docs``.
 
     ``text`` is the stretch of the document that lies in the block, with its
     white space (and ``n_chars``, where there is such a column, its length).
     Rows are in no order; shards are put in order when they are written.
+    ``docs`` is read twice, first for the sizes, and must give the same rows
+    again: the plan is made without texts, and those join it once. Rows that
+    agree in id, text and source lie one after another, so the first place tells
+    the places of all.
     """
-    plan = mix(docs, keep=docs.columns, **options)
+    name, names = unused(docs, "_key"), ["_order", "_text", "_source", "_none"]
+    source = [F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none")]
+    key = [_order(seed).alias("_order"), F.xxhash64("text").alias("_text"), *source]
+    plan = mix(docs.withColumn(name, F.struct(*key)), keep=[name], seed=seed, **options)
     n = plan.block_words
     first, last = F.expr(f"_offset div {n}"), F.expr(f"(_offset + size - 1) div {n}")
-    held = plan.rows.where("size > 0").withColumn("_words", F.regexp_extract_all("doc.text", F.lit(_PIECE), F.lit(0)))
+    places = plan.rows.where("size > 0").select(f"doc.{name}.*", "source_no", "size", "_offset")
+    places = places.groupBy(*names).agg(*[F.min(c).alias(c) for c in ("source_no", "size", "_offset")])
+    whole = docs.select(F.struct("*").alias("doc"), *key, F.monotonically_increasing_id().alias("_row"))
+    copy = F.row_number().over(Window.partitionBy(*names).orderBy("_row")) - 1
+    held = whole.withColumn("_copy", copy).join(places, names).withColumn("_offset", F.col("_offset") + F.col("_copy") * F.col("size"))
+    held = held.withColumn("_words", F.regexp_extract_all("doc.text", F.lit(_PIECE), F.lit(0)))
     begin = lambda b: F.greatest(b * n - F.col("_offset"), F.lit(0).cast("long"))
     end = lambda b: F.least((b + 1) * n - F.col("_offset"), F.col("size"))
     piece = lambda b: F.struct(

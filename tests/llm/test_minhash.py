@@ -154,3 +154,23 @@ def test_crowded_entries_and_short_texts(spark):
     docs = spark.createDataFrame([(*r, "x", 1, 2) for r in data], SCHEMA).repartition(4)
     for crowded in (64, 1):
         assert sorted(r.doc_id for r in drop_similar(docs, crowded=crowded, block_rows=7).collect()) == want(data)
+
+
+def test_pairs_of_many_entries_are_looked_up_once(spark, monkeypatch):
+    """Near copies share most of their entries; which roots a pair has is asked per pair, not per entry."""
+    from clausemill.llm import minhash
+
+    written, saved = {}, minhash.saved
+    monkeypatch.setattr(minhash, "saved", lambda frame, purpose: written.setdefault(purpose, saved(frame, purpose)) if purpose in ("entries",) else _kept(written, frame, purpose, saved))
+    docs = spark.createDataFrame([(a, b) for a, b in rows()], "doc_id long, text string")
+    drop_similar(docs).collect()
+    pairs = written["entries"].select("head", "node").distinct().count()
+    assert pairs * 3 < written["entries"].count()
+    joins = [line for line in written["apart plan"].split("\n") if "Join LeftOuter" in line]
+    below = written["apart plan"].split("Join LeftOuter")[-1]
+    assert len(joins) == 2 and "Aggregate [head" in below
+
+
+def _kept(written, frame, purpose, saved):
+    written[f"{purpose} plan"] = frame._jdf.queryExecution().optimizedPlan().toString()
+    return saved(frame, purpose)

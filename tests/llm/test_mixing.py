@@ -98,3 +98,19 @@ def test_empty_table(spark):
     assert taken(mix(table(spark, []))).isEmpty()
     assert mixed_documents(table(spark, [])).isEmpty()
     assert [r.taken for r in taken(mix(table(spark, [(1, None, None)]))).collect()] == [0]
+
+
+def test_texts_are_not_written_beside_the_plan(spark, monkeypatch):
+    """The plan of a mix carries no texts; they join it once, copies of a row each at its own place."""
+    from clausemill.llm import mixing
+
+    written, saved = [], mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda frame, purpose: written.append(frame) or saved(frame, purpose))
+    rows = [(1, "a b c " * 50, None, "x", 1, 0)] * 3 + [(1, "a b c " * 50, "", "x", 1, 0), (None, "d " * 90, "s", "x", 1, 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixed_documents(docs, block_words=16, shard_slots=50)
+    assert not any("text:string" in f.schema.simpleString() for f in written)
+    got = {(r.doc_id, r.source): r.n for r in out.groupBy("doc_id", "source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    plan = taken(mix(docs, keep=("doc_id", "source"), block_words=16, shard_slots=50))
+    want = {(r.doc_id, r.source): r.n for r in plan.groupBy("doc.doc_id", "doc.source").agg(F.sum("taken").alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and len(got) == 3
