@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+
+import os
 import random
 
 from clausemill.operators import clauses as cl
@@ -135,3 +138,28 @@ def test_the_next_line_is_not_looked_for_to_the_end_of_the_segment(spark):
     assert [r.line for r in merged.orderBy("ord").collect() if r.line] == ["1. (a)", "x", "2 y", "3."]
     plan = merged._jdf.queryExecution().analyzed().toString()
     assert "lead(" in plan and "first(CASE WHEN" not in plan
+
+
+def plan_of(spark, name):
+    from clausemill.plans import metadata_queries, text_queries  # noqa: F401
+    from clausemill.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["classify_line", "structural_header", "clause_number_full", "clause_level"])
+def test_documents_are_made_into_pages_once(spark, name):
+    assert plan_of(spark, name).count("FileScan parquet") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["clause_pages", "chunk_policy", "meta_enrich_clause"])
+def test_clauses_are_not_split_again_to_be_numbered(spark, name):
+    """Both branches of the numbering read what was written, not the pages."""
+    plan = plan_of(spark, name)
+    assert "listagg" not in plan and "documents.parquet" not in plan

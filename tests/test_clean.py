@@ -105,3 +105,28 @@ def test_lines_of_odd_texts_and_how_often_they_are_split(spark):
     assert all(r.lines == (None if r.t is None else r.t.splitlines()) and r.a == r.b for r in rows)
     plan = frame.select(clean.clean_block(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # in one place: by the pattern, or without it
+
+
+def test_ends_told_by_bytes_are_stripped_alike(spark):
+    ends = ["", " ", "\t", "\n", "\x1f", "\x7f", "!", "~", "a", "\x85", "\xa0", "é", "\u2003", "\u3000", "\u00ad", "😀"]
+    frame = spark.createDataFrame([(a + mid + b,) for a in ends for b in ends for mid in ("", "x y", " ")] + [(None,)], "t string")
+    both = frame.select(tx.strip_plain(F.col("t")).alias("a"), tx.strip(F.col("t")).alias("b"))
+    assert both.where("NOT a <=> b").isEmpty()
+
+
+def test_furniture_is_looked_for_among_lines_that_begin_like_it(spark):
+    """What is no furniture by its first character gets no key, and what has the key goes, however it is written."""
+    heads = ["ΑΣ  x", "\u3000İx", " 😀 a\tb", "ß", "Σ", "- 1 -x"]
+    texts = [[f"{h}{' ' * n}\nbody {n}\n\t{h.lower()}\n\n Σmore {n}" for n in range(3)] for h in heads]
+    rows = spark.createDataFrame([(d, n, t) for d, doc in enumerate(texts) for n, t in enumerate(doc)], "doc_id int, page_number int, text string")
+    furniture = clean.detect_furniture(rows)
+    keys = {}
+    for r in furniture.collect():
+        keys.setdefault(r.doc_id, set()).add(r.line_key)
+    lines = rows.select("doc_id", "page_number", F.posexplode(tx.split_lines(F.col("text"))).alias("i", "line")).select("*", tx.line_key(F.col("line")).alias("key"))
+    want = {}
+    for r in lines.orderBy("doc_id", "page_number", "i").collect():
+        want.setdefault((r.doc_id, r.page_number), []).extend([] if r.key in keys[r.doc_id] else [r.line])
+    stripped = clean.strip_furniture(rows, furniture)
+    assert {(r.doc_id, r.page_number): r.text for r in stripped.collect()} == {k: "\n".join(v) for k, v in want.items()}
+    assert len(keys) == len(heads) and "_starts" in stripped._jdf.queryExecution().optimizedPlan().toString()
