@@ -163,3 +163,40 @@ def test_clauses_are_not_split_again_to_be_numbered(spark, name):
     """Both branches of the numbering read what was written, not the pages."""
     plan = plan_of(spark, name)
     assert "listagg" not in plan and "documents.parquet" not in plan
+
+
+def _odd_pages(spark, n_docs=6, n_pages=7):
+    forms = ["", "2", "(a)", "Section 4 — Scope of duties", "Chapter 2", "3. Opening words", "(1) First item", "(b) second", "(ii) third",
+             "plain words of the text", "(x)", "1.2", "closing words here"]
+    rows = [
+        (d, p, "\n".join(forms[(d * 5 + p * 7 + i * (3 + d)) % len(forms)] for i in range(5)))
+        for d in range(n_docs)
+        for p in range(n_pages if d else 1)
+    ]
+    return spark.createDataFrame(rows, "doc_id long, page_number int, text string")
+
+
+@pytest.mark.parametrize("pages_per_segment", [2, 100])
+def test_only_documents_of_several_segments_are_summarised(spark, pages_per_segment):
+    lines = cl.explode_lines(_odd_pages(spark), pages_per_segment=pages_per_segment)
+    merged, several = cl._merged(lines)
+    left, right = cl.number_lines(cl.classify_lines(merged)), cl.number_lines(cl.classify_lines(merged), cl.classify_lines(several))
+    numbered = [sorted(map(repr, frame.collect())) for frame in (left, right)]
+    assert numbered[0] and numbered[0] == numbered[1]
+    assert {r.doc_id for r in several.collect()} == {d for d in range(6) if d and pages_per_segment < 7}
+
+
+def test_lines_of_short_documents_are_merged_once(spark):
+    """Not again for a state that no segment hands on."""
+    numbered = cl.numbered_lines(_odd_pages(spark).repartition(2))
+    numbered.collect()
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Window [" in step and "lead(" in step for step in plan.split("\n")) == 1
+
+
+def test_cleaned_text_is_not_searched_for_other_line_ends(spark):
+    pages = spark.createDataFrame([(1, 1, "a\nb\n"), (1, 2, ""), (2, 1, "c\n\nd")], "doc_id long, page_number int, text string")
+    cleaned, other = cl.explode_lines(pages, cleaned=True), cl.explode_lines(pages)
+    assert cleaned.collect() == other.collect()
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "\u2028" not in plan and "\u2028" in other._jdf.queryExecution().executedPlan().toString()
