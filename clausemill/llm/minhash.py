@@ -25,6 +25,8 @@ _COLUMNS = 4096
 _NONE = np.zeros(0, np.int8)
 #: A node has some 170 entries; they are made in tasks of about so many nodes.
 _NODES_A_TASK = 4096
+#: Of a batch of rows, so many texts at a time are taken apart.
+_TEXTS_AT_ONCE = 256
 #: An entry with more open nodes is compared in a grid, not in pairs.
 CROWDED = 16
 
@@ -96,6 +98,13 @@ def _forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``frames`` in pieces of bounded rows: the shingles of a whole batch are never held at once."""
+    for frame in frames:
+        for at in range(0, len(frame), _TEXTS_AT_ONCE):
+            yield frame.iloc[at : at + _TEXTS_AT_ONCE].copy()
+
+
 def _sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column]
 
@@ -201,12 +210,13 @@ def similar_links(
     held = [F.first(c).alias(c) for c in ("print", "weak", "short")]
     parts = rows.count() // _NODES_A_TASK + 1
     nodes = saved(rows.groupBy("node").agg(F.min(F.struct(*names)).alias("row"), *held).repartition(parts), "nodes")
-    entries = entries_of(nodes)
+    # Readers put many files into one task; dealt anew, no task combines the entries of more than its share of nodes.
+    entries = entries_of(nodes.select("node", "print", "weak", "short").repartition(parts, "node"))
     shared = entries.groupBy("entry").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     others = saved(entries.join(shared.select("entry", "head"), "entry").where("node <> head"), "entries")
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _pieces(frames):
             held = [shingles_of(t, words).tobytes() for t in frame["text"]]
             yield pd.DataFrame({"node": frame["node"], "shingles": held, "bytes": [len(h) for h in held]})
 
@@ -268,7 +278,7 @@ def drop_similar(
     names = ["_k_id", "_k_null", "_k_text"]
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _pieces(frames):
             sets = [shingles_of(t, words) for t in frame.pop("text")]
             frame["node"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
             prints = [set_fingerprint(s) if len(s) else (_NONE, _NONE) for s in sets]

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 import corpus_pipeline
+from clausemill.llm import minhash
 from clausemill.llm.minhash import alike, drop_similar, entries_of, grid_links, near_prints, star_links
 from clausemill.llm.simhash import FLIPS, RADIUS, SEGMENT_BITS, SEGMENTS, set_fingerprint
 from tests.llm.test_simhash import roots
@@ -174,3 +176,10 @@ def test_pairs_of_many_entries_are_looked_up_once(spark, monkeypatch):
 def _kept(written, frame, purpose, saved):
     written[f"{purpose} plan"] = frame._jdf.queryExecution().optimizedPlan().toString()
     return saved(frame, purpose)
+
+
+def test_batches_are_taken_apart_in_pieces():
+    frame = pd.DataFrame({"text": [f"t{i}" for i in range(2 * minhash._TEXTS_AT_ONCE + 1)]})
+    pieces = list(minhash._pieces(iter([frame, frame.iloc[:0], frame.iloc[:1]])))
+    assert [len(p) for p in pieces] == [minhash._TEXTS_AT_ONCE] * 2 + [1, 1]
+    assert pd.concat(pieces)["text"].tolist() == [*frame["text"], "t0"]
