@@ -129,7 +129,8 @@ def links(prints: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
         points = there.distinct().select("fp", F.explode(F.array(*flips)).alias("point"))
         least = F.min("fp").over(Window.partitionBy("point"))
         tied = points.select("fp", least.alias("a")).where("a < fp").select("a", F.col("fp").alias("b"))
-    met = table.withColumnRenamed("fp", "b").join(probes.withColumnRenamed("fp", "a"), "entry")
+    # The tables are exploded, and Spark takes an exploded table to be as small as the rows it comes from.
+    met = table.withColumnRenamed("fp", "b").hint("merge").join(probes.withColumnRenamed("fp", "a").hint("merge"), "entry")
     near = met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return (pairs if tied is None else pairs.unionByName(tied)).distinct()

@@ -121,3 +121,10 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(docs).isEmpty() and drop_near_duplicates(docs).isEmpty()
     assert near_duplicates(spark.createDataFrame([(1, None, "x", 1, 1)], SCHEMA)).select(F.max("component_id")).first()[0] == 1
+
+
+def test_exploded_entries_are_not_broadcast(spark):
+    """A few fingerprints' entries look small to Spark, however many rows they explode to."""
+    plan = links(spark.createDataFrame([(0,), (1,), (6,)], "fp long"))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "entry" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
