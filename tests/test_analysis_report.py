@@ -126,3 +126,21 @@ def test_whole_ingest(spark):
     docs = spark.createDataFrame([(1, 5, "Doc", "SOP", "2")], "doc_id long, organization_id long, document_name string, document_type string, version string")
     chunks = ingest.ingest_policies(pages, docs, dim=16).orderBy("chunk_index").collect()
     assert [(c.clause_reference, c.organization_id, c.metadata.document_type) for c in chunks] == [(None, 5, "SOP"), ("1", 5, "SOP"), ("2", 5, "SOP")]
+
+
+def test_asked_pairs_with_their_hits_are_made_once(spark, tmp_path):
+    """Every clause meets every organisation, but fields are added and hits gathered for the two that are asked."""
+    import numpy as np
+
+    from clausemill.plans.risk_queries import _pairs_with_hits
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(64)], i % 10) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(1, 5).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = _pairs_with_hits(spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan and "CoGroups" not in plan
+    got = {(r.organization_id, r.clause_id): len(r.hits) for r in pairs.collect()}
+    assert set(got) == {((i + o) % 10, i) for i in range(200) for o in (0, 1)}
+    assert max(got.values()) <= 5 and any(got.values())

@@ -193,3 +193,43 @@ def test_a_query_meets_its_own_scope_only(spark):
     want = knn.knn_join_exact(left.drop("scope"), right, 4).join(left.select("left_id", "scope"), ["left_id", "scope"], "left_semi")
     key = lambda frame: sorted(tuple(r) for r in frame.select("left_id", "scope", "right_id", "similarity", "rank").collect())
     assert key(got) == key(want) and len(key(got)) == 240
+
+
+def test_a_block_gives_each_left_row_and_scope_no_more_than_k_rows(spark):
+    """However many right rows pass, and however many of them are alike."""
+    import pyarrow as pa
+
+    from clausemill.operators.cells import RIGHT_TILE, stream_kernel
+
+    rng = np.random.default_rng(6)
+    left, right = rng.standard_normal((300, 8)), rng.standard_normal((3 * RIGHT_TILE, 8))
+    right[100 : 2 * RIGHT_TILE] = right[100]
+    right[5] = 0.0
+    scope = np.sort(rng.integers(0, 3, len(right)))
+    schema = pa.schema([("left_id", pa.int64()), ("scope", pa.int32()), ("right_id", pa.int64()), ("similarity", pa.float64())])
+    batches = [
+        pa.record_batch({
+            "block": np.zeros(len(left), np.int32), "side": np.zeros(len(left), np.int32), "scope": pa.nulls(len(left), pa.int32()),
+            "left_id": np.arange(len(left)), "left_vector": pa.array(left.tolist()), "right_id": pa.nulls(len(left), pa.int64()),
+            "right_vector": pa.nulls(len(left), pa.list_(pa.float64())),
+        })
+    ]
+    for at in range(0, len(right), 5000):
+        n = len(right[at : at + 5000])
+        batches.append(
+            pa.record_batch({
+                "block": np.zeros(n, np.int32), "side": np.ones(n, np.int32), "scope": pa.array(scope[at : at + n], pa.int32()),
+                "left_id": pa.nulls(n, pa.int64()), "left_vector": pa.nulls(n, pa.list_(pa.float64())),
+                "right_id": np.arange(at, at + n), "right_vector": pa.array(right[at : at + n].tolist()),
+            })
+        )
+    got = [r for b in stream_kernel(4, None, schema, True)(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(left) * 3 * 4
+    with np.errstate(invalid="ignore"):
+        sims = (left / np.linalg.norm(left, axis=1, keepdims=True)) @ (right / np.linalg.norm(right, axis=1, keepdims=True)).T
+    sims[np.arange(len(left)), np.arange(len(left))] = np.nan
+    for i in range(0, len(left), 7):
+        for s in range(3):
+            some = [j for j in np.flatnonzero(scope == s) if not np.isnan(sims[i, j])]
+            want = sorted(some, key=lambda j: (-round(sims[i, j], 12), j))[:4]
+            assert [r["right_id"] for r in got if r["left_id"] == i and r["scope"] == s] == want
