@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.operators import report
 from clausemill.plans import inputs as inp
 from clausemill.plans.registry import query, table, with_ctes
+from clausemill.session import saved
 
 CUT = inp.POLICY_CUT
 
@@ -281,7 +282,8 @@ def report_from_history(spark, folder):
 )
 def snk_insert_if_absent(spark, folder):
     chunks = inp.org_chunks(spark, folder)
-    fresh = report.assessments_from_matches(_doc_matches(spark, folder), chunks)
+    # Written once: the matches are what takes the time, and the rows are read three times.
+    fresh = saved(report.assessments_from_matches(_doc_matches(spark, folder), chunks), "assessments")
     stored = fresh.where((F.col("policy_clause_id") + F.col("regulatory_clause_id")) % 3 == 0)
     twice = fresh.unionByName(fresh.where(F.col("policy_clause_id") % 2 == 1))
     return report.insert_if_absent(stored, twice).select(

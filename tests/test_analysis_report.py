@@ -144,3 +144,17 @@ def test_asked_pairs_with_their_hits_are_made_once(spark, tmp_path):
     got = {(r.organization_id, r.clause_id): len(r.hits) for r in pairs.collect()}
     assert set(got) == {((i + o) % 10, i) for i in range(200) for o in (0, 1)}
     assert max(got.values()) <= 5 and any(got.values())
+
+
+def test_assessments_to_store_are_matched_once(spark, tmp_path):
+    """The matches are read three times, so that they are written and not made three times."""
+    from clausemill.plans.report_queries import snk_insert_if_absent
+
+    rows = [(i, [1.0, 0.1 * i], i % 2) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(1, 5).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    fresh = snk_insert_if_absent(spark, str(tmp_path))
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "CoGroups" not in plan
+    pairs = [(r.policy_clause_id, r.regulatory_clause_id) for r in fresh.collect()]
+    assert pairs and len(pairs) == len(set(pairs)) and all((a + b) % 3 for a, b in pairs)
