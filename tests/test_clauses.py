@@ -192,3 +192,16 @@ def test_cleaned_text_is_not_searched_for_other_line_ends(spark):
     assert cleaned.collect() == other.collect()
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "\u2028" not in plan and "\u2028" in other._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_report_lists_groups_with_pages_and_texts(spark):
+    from clausemill.operators import catalog
+
+    rows = [(1, 5, "2", 3, "zwei – é"), (1, 3, "2", 2, "two"), (1, 1, "10", 1, "ten"), (1, 9, "10", 4, "ten"), (1, 7, "3", 4, "x"), (2, 1, "1", 1, "y")]
+    report = catalog.duplicate_clause_report(spark.createDataFrame(rows, "doc_id long, seq long, clause_number string, page_number int, text string"))
+    got = {r.doc_id: r for r in report.collect()}
+    assert (got[1].total_clauses, got[1].unique_numbers, got[1].duplicate_numbers) == (5, 3, 2)
+    assert got[1].duplicate_ids == ["10", "2"]
+    assert got[1].duplicate_pages == [[1, 4], [2, 3]]
+    assert got[1].duplicate_texts == [["ten", "ten"], ["two", "zwei ? ?"]]
+    assert (got[2].total_clauses, got[2].duplicate_ids, got[2].duplicate_pages, got[2].duplicate_texts) == (1, [], [], [])
