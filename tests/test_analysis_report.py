@@ -158,3 +158,17 @@ def test_assessments_to_store_are_matched_once(spark, tmp_path):
     assert "MapInArrow" not in plan and "CoGroups" not in plan
     pairs = [(r.policy_clause_id, r.regulatory_clause_id) for r in fresh.collect()]
     assert pairs and len(pairs) == len(set(pairs)) and all((a + b) % 3 for a, b in pairs)
+
+
+def test_ingestion_makes_and_cleans_pages_once(spark, tmp_path):
+    """Clauses and metadata read the same written pages; pages of no document are in no result."""
+    from clausemill.operators import ingest
+
+    text = "1. General\nBanks shall keep records of all transactions.\n(a) for ten years at least"
+    rows = [(1, 1, text), (1, 2, "2. More\n" + text), (2, 1, text), (None, 1, text), (None, 2, text)]
+    spark.createDataFrame(rows, "doc_id long, page_number int, text string").write.parquet(f"{tmp_path}/raw")
+    files = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf"), (None, "c.pdf")], "doc_id long, filename string")
+    result = ingest.ingest_regulations(spark.read.parquet(f"{tmp_path}/raw"), files, dim=16)
+    read = result.clauses.inputFiles()
+    assert any("cleaned-pages" in f for f in read) and not any("/raw/" in f for f in read)
+    assert {r.version_id for r in result.clauses.collect()} == {1, 2}
